@@ -37,20 +37,22 @@ def _run(df: DataFrame) -> list[str]:
     return [RUN] if RUN in df.columns else []
 
 
-def tempo_adaptive(onsets: DataFrame, fraction: float, bpm: float | None = None) -> DataFrame:
+def tempo_adaptive(onsets: DataFrame, fraction: float, bpm: float | None = None, default_ms: float = 0.0) -> DataFrame:
     """Minimum interval as a share of the beat; the beat comes from the median interval unless given.
 
-    Recordings with fewer than three onsets have no tempo and are not part of the result of the estimated form.
+    Recordings with fewer than three onsets have no estimate and use the default interval.
     """
     if bpm:
         return spaced(onsets, "recording", "t", max(1, int(60_000 / bpm * fraction)) / 1000.0, ties=["event_id"])
-    gaps = with_ioi(onsets).filter(F.col("ioi_ms") > 0)
+    gaps = with_ioi(onsets)
     tempo = exact_quantiles(gaps, "recording", "ioi_ms", [0.5], "_q")
-    enough = gaps.groupBy("recording").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    ms = F.floor(F.lit(60_000.0) / (F.lit(60_000.0) / F.col("_q")[0]) * fraction)
-    limits = tempo.join(enough, "recording").select(
-        "recording", (F.greatest(ms, F.lit(1)) / F.lit(1000.0)).alias("_gap"))
-    rows = onsets.join(limits, "recording")
+    enough = gaps.groupBy("recording").agg(F.count("ioi_ms").alias("_n")).filter("_n >= 2")
+    median = F.col("_q")[0]
+    ms = F.floor(F.lit(60_000.0) / (F.lit(60_000.0) / F.nullif(median, F.lit(0.0))) * fraction)
+    limits = tempo.join(enough, "recording").filter(median > 0).select(
+        "recording", (F.greatest(ms, F.lit(1)) / F.lit(1000.0)).alias("_g"))
+    rows = onsets.join(limits, "recording", "left").withColumn(
+        "_gap", F.coalesce("_g", F.lit(default_ms / 1000.0))).drop("_g")
     return spaced(rows, "recording", "t", "_gap", ties=["event_id"]).drop("_gap")
 
 

@@ -40,6 +40,19 @@ def _spaced_in_arrays(df: DataFrame, keys, t, gap, inclusive, strength, ties) ->
         *[c for c in df.columns if c != RUN])
 
 
+def _scan_bridge(times, gaps, base, dup, start):
+    """Accept rows near the fixed set or the last accepted row, but not closer than `dup` to either."""
+    done: list[int] = []
+    open_row, last = (-1, start) if start is not None else (None, None)
+    for i, now in enumerate(times):
+        dist = base[i] if last is None else min(base[i], now - last)
+        if dup < dist <= gaps[i]:
+            if open_row is not None and open_row >= 0:
+                done.append(open_row)
+            open_row, last = i, now
+    return done, open_row
+
+
 def _scan(times, gaps, strengths, inclusive, start, start_strength):
     """Scan one ordered stretch. Row -1 stands for the carried row. Returns finished rows and the open one."""
     done: list[int] = []
@@ -58,7 +71,7 @@ def _scan(times, gaps, strengths, inclusive, start, start_strength):
     return done, open_row
 
 
-def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties) -> DataFrame:
+def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=None) -> DataFrame:
     """Ordered Arrow scans per (key, run); the open row of each run is carried into the key's next run.
 
     Pass 1 finds each run's closing row. A run that contains a wide gap closes the same way whatever came
@@ -81,7 +94,15 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties) -> D
         gaps = rows[gap].tolist() if isinstance(gap, str) else [float(gap)] * len(times)
         return rows, times, gaps, rows[strength].tolist() if strength else None
 
-    def pick(rows: pd.DataFrame, i: int, carry):
+    def scan(times, gaps, strengths, carry):
+        if dup is not None:
+            return _scan_bridge(times, gaps, strengths, dup, carry[t] if carry else None)
+        return _scan(times, gaps, strengths, inclusive, carry[t] if carry else None,
+                     carry[strength] if carry and strength else None)
+
+    def pick(rows: pd.DataFrame, i: int | None, carry):
+        if i is None:
+            return None
         return carry if i < 0 else _as_row(rows, i, columns)
 
     def close_alone(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,15 +113,15 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties) -> D
             if step >= gaps[i] if inclusive else step > gaps[i]:
                 at = i
                 break
-        _, last = _scan(times[at:], gaps[at:], strengths[at:] if strengths else None, inclusive, None, None)
-        return pdf[by].iloc[[0]].assign(_end=[_as_row(rows, at + last, columns)], _settled=at > 0)
+        _, last = scan(times[at:], gaps[at:], strengths[at:] if strengths else None, None)
+        end = _as_row(rows, at + last, columns) if last is not None else None
+        return pdf[by].iloc[[0]].assign(_end=[end], _settled=at > 0)
 
     def carried(pdf: pd.DataFrame):
         carry = pdf["_carry"].iloc[0]
         carry = carry if isinstance(carry, dict) else None
         rows, times, gaps, strengths = ordered(pdf)
-        done, last = _scan(times, gaps, strengths, inclusive, carry[t] if carry else None,
-                           carry[strength] if carry and strength else None)
+        done, last = scan(times, gaps, strengths, carry)
         return rows, carry, done, last
 
     def close_after(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +130,8 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties) -> D
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, carry, done, last = carried(pdf)
-        wanted = done + ([last] if bool(pdf["_final"].iloc[0]) else [])
+        final = bool(pdf["_final"].iloc[0]) if dup is None else last is not None and last >= 0
+        wanted = done + ([last] if final else [])
         return pd.DataFrame({"_kept": [pick(rows, i, carry) for i in wanted]})
 
     kept_type = T.StructType([T.StructField("_kept", held)])
@@ -158,3 +180,25 @@ def spaced(df: DataFrame, keys: str | Sequence[str], t: str, gap: float | str, *
         if largest <= fold_rows:
             return _spaced_in_arrays(df, keys, t, gap, inclusive, strength, ties)
     return _spaced_in_runs(df, keys, t, gap, inclusive, strength, ties)
+
+
+def bridged(df: DataFrame, keys: str | Sequence[str], t: str, base: str, dup: float, reach: float, *,
+            ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Rows accepted in time order when the nearest of (fixed set, rows accepted so far) is in (dup, reach].
+
+    `base` holds the distance to the fixed set (infinity when it is empty).
+    """
+    keys, ties = as_list(keys), list(ties)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if not fold_rows or largest > fold_rows:
+        return _spaced_in_runs(df, keys, t, reach, False, base, ties, dup)
+    rest = [c for c in df.columns if c not in {*keys, t, *ties, RUN}]
+    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(t, *ties, *rest))).alias("_rows"))
+
+    def step(kept, row):
+        dist = F.least(row[base], row[t] - F.try_element_at(kept, F.lit(-1))[t])
+        return F.when((dist > dup) & (dist <= reach), F.concat(kept, F.array(row))).otherwise(kept)
+
+    folded = F.aggregate("_rows", F.slice("_rows", 1, 0), step)
+    return grouped.select(*keys, F.explode(folded).alias("_k")).select(*keys, "_k.*").select(
+        *[c for c in df.columns if c != RUN])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tactus.functions.numeric import tidy
-from tactus.layout import exact_quantiles, plain, row_index
+from tactus.layout import plain
 from tactus.operators import intervals as iv
 from tactus.operators import metrics, sweeps
 from tactus.operators.thinning import spaced
@@ -127,8 +127,8 @@ _spaced_query("w5_minimum_interval", 43200.0)
 
 @query("w6_tempo_adaptive_interval", f"""WITH RECURSIVE {SQL_IOI},
   m AS (SELECT recording, greatest(1, CAST(trunc(60000 / (60000 / median(ioi_ms)) * 0.5) AS BIGINT)) / 1000.0::DOUBLE AS gap
-    FROM i WHERE ioi_ms > 0 GROUP BY 1 HAVING count(*) >= 2),
-  q0 AS (SELECT o.recording, o.event_id, o.t, o.strength, m.gap FROM o JOIN m USING (recording)),
+    FROM i WHERE ioi_ms IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND median(ioi_ms) > 0),
+  q0 AS (SELECT o.recording, o.event_id, o.t, o.strength, coalesce(m.gap, 0) AS gap FROM o LEFT JOIN m USING (recording)),
   {sql_spaced('SELECT * FROM q0', 'a.gap')}
   SELECT recording, count(*) AS n_kept FROM kept GROUP BY 1""")
 def _(spark, sf):
@@ -209,8 +209,7 @@ def _(spark, sf):
     return counts.select("recording", tidy(metrics.entropy([F.col(f"_b{i}") for i in range(10)])).alias("rk_entropy"))
 
 
-@query("a4_explorer_metrics", f"""WITH {SQL_METRICS}, x AS (SELECT recording, round(i1, 3) AS i1, round(r_k, 6) AS r FROM d)
-  SELECT recording, n_onsets, {sql_tidy('nullif(cv, 0)', 4)} AS cv, {sql_tidy('npvi', 4)} AS npvi, {sql_tidy('rk_std', 4)} AS rk_std
+@query("a4_explorer_metrics", f"""WITH {SQL_METRICS} SELECT recording, n_onsets, {sql_tidy('nullif(cv, 0)', 4)} AS cv, {sql_tidy('npvi', 4)} AS npvi, {sql_tidy('rk_std', 4)} AS rk_std
   FROM m JOIN cvs USING (recording)""")
 def _(spark, sf):
     rows = metrics.rhythm_metrics(_dyads(spark, sf), zero=None)
@@ -230,11 +229,6 @@ def _(spark, sf):
     return metrics.speech_metrics(onsets(spark, sf), pause_ms=36_000_000.0)
 
 
-SQL_TURNS = """tn AS (SELECT CAST(conv_id AS VARCHAR) AS recording, turn AS seq, role AS label, role = 'user' AS is_vowel,
-  length(text)::DOUBLE / 10 AS dur FROM conversations),
-  iv AS (SELECT *, sum(dur) OVER (PARTITION BY recording ORDER BY seq) AS e FROM tn)"""
-
-
 @query("a6_label_interval_metrics", """WITH tn AS (SELECT CAST(conv_id AS VARCHAR) AS recording, turn AS seq, role = 'user' AS v, length(text)::DOUBLE AS d FROM conversations),
   p AS (SELECT *, lag(d) OVER (PARTITION BY recording, v ORDER BY seq) AS pd FROM tn)
   SELECT recording, round(100.0 * sum(d) FILTER (v) / nullif(sum(d), 0), 6) AS percent_v, round(1000 * stddev_pop(d) FILTER (v), 6) AS delta_v_ms,
