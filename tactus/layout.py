@@ -11,12 +11,13 @@ The helpers below then partition by (key, run) and pass a small carry between th
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 RUN = "_run"
 HOT_ROWS = 2_000_000
@@ -132,6 +133,24 @@ def shift(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     return inside.unionByName(across).drop("_head", "_tail")
 
 
+def framed(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
+           aggs: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int) -> DataFrame:
+    """Aggregates over the rows from `before` preceding to `after` following; exact across runs."""
+    keys, order = as_list(keys), as_list(order)
+    frame = lambda *by: Window.partitionBy(*by).orderBy(*_specs(order)).rowsBetween(-before, after)
+    if RUN not in df.columns:
+        return df.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()})
+    inner = Window.partitionBy(*keys, RUN).orderBy(*_specs(order))
+    short = lambda far, k: (F.col(RUN) > 0) & far(F.lit(1), k).over(inner).isNull() if k else F.lit(False)
+    here = df.withColumns({name: fn(frame(*keys, RUN)) for name, fn in aggs.items()}).withColumns({
+        "_cut": short(F.lag, before) | short(F.lead, after),
+        "_near": short(F.lag, before + after) | short(F.lead, before + after)})
+    inside = here.filter(~F.col("_cut"))
+    across = here.filter("_near").drop(*aggs)
+    across = across.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()}).filter("_cut")
+    return inside.unionByName(across).drop("_cut", "_near")
+
+
 _COMBINE = {
     "sum": lambda carry, value: F.when(carry.isNull(), value).otherwise(carry + F.coalesce(value, F.lit(0))),
     "max": lambda carry, value: F.greatest(carry, value),
@@ -253,7 +272,7 @@ def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs:
         return counted.groupBy(*keys).agg(F.percentile("_v", list(probs), F.col("_c")).alias(name))
     ranked = running(layout.mark(counted), keys, "_v", {"_cum": ("sum", "_c")})
     totals = ranked.groupBy(*keys).agg(F.max("_cum").alias("_n"))
-    ranked = ranked.join(F.broadcast(totals) if layout.split and layout.hot is not None and not keys else totals, keys)
+    ranked = ranked.join(totals, keys)
     picks, outs = [], []
     for i, p in enumerate(probs):
         if rule == "linear":
