@@ -135,16 +135,20 @@ def shift(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
 
 def framed(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
            aggs: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int) -> DataFrame:
-    """Aggregates over the rows from `before` preceding to `after` following; exact across runs."""
+    """Aggregates over the rows from `before` preceding to `after` following; exact across runs.
+
+    A negative bound lies on the other side, so (9, -2) is the ninth to the second preceding row.
+    """
     keys, order = as_list(keys), as_list(order)
     frame = lambda *by: Window.partitionBy(*by).orderBy(*_specs(order)).rowsBetween(-before, after)
     if RUN not in df.columns:
         return df.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()})
     inner = Window.partitionBy(*keys, RUN).orderBy(*_specs(order))
-    short = lambda far, k: (F.col(RUN) > 0) & far(F.lit(1), k).over(inner).isNull() if k else F.lit(False)
+    short = lambda far, k: (F.col(RUN) > 0) & far(F.lit(1), k).over(inner).isNull() if k > 0 else F.lit(False)
+    reach = max(before, 0) + max(after, 0)
     here = df.withColumns({name: fn(frame(*keys, RUN)) for name, fn in aggs.items()}).withColumns({
         "_cut": short(F.lag, before) | short(F.lead, after),
-        "_near": short(F.lag, before + after) | short(F.lead, before + after)})
+        "_near": short(F.lag, reach) | short(F.lead, reach)})
     inside = here.filter(~F.col("_cut"))
     across = here.filter("_near").drop(*aggs)
     across = across.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()}).filter("_cut")
@@ -236,26 +240,35 @@ def around(points: DataFrame, frames: DataFrame, key: str | Sequence[str], pt: s
            how: str = "inner") -> DataFrame:
     """Pair each point with the frames at most `half` seconds away.
 
-    Equi-join on (key, time bucket); a point visits at most two buckets, so the output is points times frames
+    Equi-join on (key, time bucket); a point visits two buckets (three by rounding), so the output is points times frames
     per window, never all pairs of a key. Column names of both sides must differ except for the key.
     """
     key = as_list(key)
+    points, frames = points.drop(RUN), frames.drop(RUN)
     width = 2.0 * half
     bucket = lambda c: F.floor(c / F.lit(width))
     lo, hi = bucket(F.col(pt) - half), bucket(F.col(pt) + half)
-    left = points.withColumn("_b", F.explode(F.array_distinct(F.array(lo, hi))))
+    left = points.withColumn("_b", F.explode(F.sequence(lo, hi)))
     right = frames.withColumn("_b", bucket(F.col(ft)))
     near = (F.col(ft) >= F.col(pt) - half) & (F.col(ft) <= F.col(pt) + half)
     joined = left.join(right, [*key, "_b"], "inner").filter(near).drop("_b")
     if how == "inner":
         return joined
-    ids = [c for c in points.columns if c != RUN]
+    ids = points.columns
     extra = [c for c in frames.columns if c not in key]
     matched = joined.select(*ids, *extra)
     missing = points.select(*ids).join(joined.select(*ids).distinct(), ids, "left_anti")
     return matched.unionByName(missing, allowMissingColumns=True)
 
 
+def within_spans(spans: DataFrame, frames: DataFrame, key: str, start: str, end: str, ft: str, width: float) -> DataFrame:
+    """Pair each closed span with the frames inside it, by equi-join on (key, time bucket)."""
+    first, last = F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width))
+    left = spans.drop(RUN).filter(F.col(end) >= F.col(start)).withColumn("_b", F.explode(F.sequence(first, last)))
+    right = frames.drop(RUN).withColumn("_b", F.floor(F.col(ft) / F.lit(width)))
+    return left.join(right, [key, "_b"]).filter(F.col(ft).between(F.col(start), F.col(end))).drop("_b")
+
+
 def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs: Sequence[float], name: str,
                     *, rule: str = "linear", hot_rows: int = HOT_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Exact quantiles per key as an array column.

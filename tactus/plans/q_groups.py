@@ -11,6 +11,7 @@ from tactus.operators import intervals as iv
 from tactus.operators import metrics, stats
 from tactus.plans.q_sequences import SQL_DYADS, SQL_IOI, SQL_METRICS, TOL
 from tactus.plans.registry import query
+from tactus.session import settled
 from tactus.sources.tables import SQL_GROUPS, grouping, onsets, sql_tidy, table
 
 SQL_GD = f"{SQL_DYADS}, {SQL_GROUPS}, gd AS (SELECT d.*, grp, unit FROM d JOIN gm USING (recording)), rk AS (SELECT * FROM gd WHERE r_k > 0 AND r_k < 1)"
@@ -72,7 +73,7 @@ def _(spark, sf):
 
 def _file_metrics(spark, sf):
     rows = metrics.rhythm_metrics(iv.dyads(onsets(spark, sf), tolerance=TOL))
-    return rows.join(grouping(spark, sf), "recording")
+    return settled(rows.join(grouping(spark, sf), "recording"))
 
 
 SQL_FILES = f"{SQL_METRICS}, {SQL_GROUPS}, fm AS (SELECT m.recording, npvi, cv, rk_std, rk_entropy, n_onsets, grp, unit, mass FROM m JOIN cvs USING (recording) JOIN ent USING (recording) JOIN gm USING (recording))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -33,3 +33,9 @@ def reliable_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return os.path.join(named, "tactus")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small derived table that several steps read, written once to reliable storage."""
+    reliable_folder(df.sparkSession)
+    return df.checkpoint()
