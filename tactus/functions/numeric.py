@@ -119,3 +119,10 @@ def draw_sql(seed: int, rep: str, item: str) -> str:
     a = stir(f"({seed} + ({rep})::BIGINT * 104729) % {m}")
     b = stir(f"({a} + ({item})::BIGINT * 1299709) % {m}")
     return stir(f"({stir(f'({b} + {a}) % {m}')} + ({item})::BIGINT) % {m}")
+
+
+def sample_bounds(frame: Column, total: Column, hop: int, window: int) -> list[Column]:
+    """First, centre and last sample of a frame's window, inside the clip."""
+    centre = frame * hop
+    return [F.greatest(centre - window // 2, F.lit(0)).alias("sample_start"), centre.alias("sample_center"),
+            F.least(centre + window // 2, total).alias("sample_end")]

@@ -14,8 +14,13 @@ def parse_times(text: Column) -> Column:
     return F.array_sort(F.coalesce(keep, F.array().cast("array<double>")))
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """Fixed decimals, halves to even as in most C-based formatting (the JVM formatter rounds them up)."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
 def format_times(times: Column, digits: int = 6) -> Column:
-    return F.array_join(F.transform(F.array_sort(times), lambda x: F.format_string(f"%.{digits}f", x)), ", ")
+    return F.array_join(F.transform(F.array_sort(times), lambda x: fixed(x, digits)), ", ")
 
 
 def base_name(path: Column) -> Column:

@@ -93,7 +93,8 @@ def selection_onsets(selected: DataFrame, hop: float, *, method: str = "spectral
 def event_intervals(events: DataFrame) -> DataFrame:
     """Seconds since the previous event of the recording, never negative."""
     rows = shift(events, KEY, ["t", "frame"], {"_pt": ("t", -1)})
-    return rows.withColumn("ioi_sec", F.greatest(F.col("t") - F.col("_pt"), F.lit(0.0))).drop("_pt")
+    gap = F.greatest(F.col("t") - F.col("_pt"), F.lit(0.0))
+    return rows.withColumn("ioi_sec", F.when(F.col("_pt").isNotNull(), gap)).drop("_pt")
 
 
 def spaced_maxima(curve: DataFrame, value: str, t: str, spacing_ms: float, hop: float) -> DataFrame:

@@ -51,10 +51,9 @@ def rules(itemsets: DataFrame, *, min_confidence: float = 0.6, min_lift: float =
     """Every split of an itemset into antecedent and consequent that is confident and lifted enough."""
     name = lambda c: F.array_join(c, " & ")
     sets = itemsets.withColumn("key", name(F.col("items")))
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.col("size")) - 2)
-    cut = sets.filter("size >= 2").withColumn("_m", F.explode(masks))
-    bit = lambda want: F.filter("items", lambda x, i: (F.expr("shiftright(_m, 0)").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0) == F.lit(want))
-    cut = cut.select("items", "size", "support", bit(True).alias("_a"), bit(False).alias("_c"))
+    cut = sets.filter("size >= 2").withColumn("_m", F.explode(F.expr("sequence(1, shiftleft(1, size) - 2)")))
+    bit = lambda want: F.expr(f"filter(items, (x, i) -> (shiftright(_m, i) & 1) = {want})")
+    cut = cut.select("items", "size", "support", bit(1).alias("_a"), bit(0).alias("_c"))
     if group_consequent:
         cut = cut.filter(F.exists("_c", lambda x: x.startswith("Group=")))
     cut = cut.select("size", "support", name(F.col("_a")).alias("antecedent"), name(F.col("_c")).alias("consequent"))

@@ -81,7 +81,7 @@ def _(spark, sf):
     return rows.select("recording", "frame", tidy("strength").alias("strength"))
 
 
-@query("w18_flux_events_with_intervals", f"WITH RECURSIVE {SQL_RISES}, {sql_events('sx')} SELECT recording, event_id AS frame, 'spectral_flux' AS method, {sql_tidy('greatest(t - lag(t) OVER (PARTITION BY recording ORDER BY t, event_id), 0)')} AS ioi_sec FROM kept")
+@query("w18_flux_events_with_intervals", f"WITH RECURSIVE {SQL_RISES}, {sql_events('sx')} SELECT recording, event_id AS frame, 'spectral_flux' AS method, {sql_tidy('t - lag(t) OVER (PARTITION BY recording ORDER BY t, event_id)')} AS ioi_sec FROM kept")
 def _(spark, sf):
     rows = fr.event_intervals(dt.detect_onsets("spectral_flux", _selected(spark, sf)))
     return rows.select("recording", "frame", "method", tidy("ioi_sec").alias("ioi_sec"))
