@@ -132,14 +132,15 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
         rows, carry, done, last = carried(pdf)
         final = bool(pdf["_final"].iloc[0]) if dup is None else last is not None and last >= 0
         wanted = done + ([last] if final else [])
-        return pd.DataFrame({"_kept": [pick(rows, i, carry) for i in wanted]})
+        if not wanted:
+            return pd.DataFrame()
+        return pd.DataFrame.from_records([pick(rows, i, carry) for i in wanted], columns=columns)
 
-    kept_type = T.StructType([T.StructField("_kept", held)])
     hot = F.col(RUN) > 0
     cold = body.filter(~hot).withColumns({"_carry": F.lit(None).cast(held), "_final": F.lit(True)})
-    kept = cold.groupBy(*by).applyInPandas(finish, kept_type)
+    kept = cold.groupBy(*by).applyInPandas(finish, held)
     if RUN in columns or df.select(RUN).filter(hot).limit(1).count() == 0:
-        return kept.select("_kept.*")
+        return kept
 
     reliable_folder(df.sparkSession)
     long = body.filter(hot)
@@ -156,8 +157,8 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
         ends = ends.join(closed, by, "left_anti").unionByName(closed).checkpoint()
     bounds = ends.select(*by, F.lag("_end").over(along).alias("_carry"),
                          F.lead("_settled").over(along).isNull().alias("_final"))
-    more = long.join(bounds, by).groupBy(*by).applyInPandas(finish, kept_type)
-    return kept.unionByName(more).select("_kept.*")
+    more = long.join(bounds, by).groupBy(*by).applyInPandas(finish, held)
+    return kept.unionByName(more)
 
 
 def _as_row(rows: pd.DataFrame, i: int, columns: list[str]) -> dict:
