@@ -6,7 +6,9 @@ recording is of moderate size, so it is the plan used by default. `plan_layout`
 *runs*: value ranges of the ordering column between approximate quantiles. The run number depends on the
 row's own values only, so it is stable under recomputation and needs neither a checkpoint nor a shuffle.
 
-The helpers below then partition by (key, run) and pass a small carry between the runs of a key.
+The helpers below leave ordinary keys to the plain window. They write the rows of oversized keys to reliable
+storage once per step, because those are read twice (rows and run boundaries): the plan then grows by a constant
+per step instead of doubling. Those rows are partitioned by (key, run) and a small carry passes between runs.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tactus.session import settled
+
 RUN = "_run"
 HOT_ROWS = 2_000_000
 RUN_ROWS = 500_000
@@ -95,6 +99,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.drop(RUN)
 
 
+def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and the written rows of oversized keys."""
+    return df.filter(F.col(RUN) == 0), settled(df.filter(F.col(RUN) > 0))
+
+
 def _specs(order: Sequence[str], reverse: bool = False) -> list[Column]:
     return [F.desc(c) if reverse else F.asc(c) for c in order]
 
@@ -114,23 +123,24 @@ def shift(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
             for name, (c, k) in cols.items()
         })
 
+    whole = Window.partitionBy(*keys).orderBy(*_specs(order))
     if RUN not in df.columns:
-        return apply(df, Window.partitionBy(*keys).orderBy(*_specs(order)))
+        return apply(df, whole)
+    cold, df = _parts(df)
+    cold = apply(cold, whole)
     reach = max(abs(k) for _, k in cols.values())
     inner = Window.partitionBy(*keys, RUN).orderBy(*_specs(order))
-    here = apply(df, inner).withColumns({
-        "_head": (F.col(RUN) > 0) & F.lag(F.lit(1), reach).over(inner).isNull(),
-        "_tail": (F.col(RUN) > 0) & F.lead(F.lit(1), reach).over(inner).isNull()})
+    here = apply(df, inner).withColumns({"_head": F.lag(F.lit(1), reach).over(inner).isNull(),
+                                         "_tail": F.lead(F.lit(1), reach).over(inner).isNull()})
     edge = F.col("_head") | F.col("_tail")
     inside = here.filter(~edge)
-    whole = Window.partitionBy(*keys).orderBy(*_specs(order))
     across = here.filter(edge).withColumns({
         f"_across_{name}": F.lag(c, -k).over(whole) if k < 0 else F.lead(c, k).over(whole)
         for name, (c, k) in cols.items()})
     across = across.withColumns({
         name: F.when(F.col("_head" if k < 0 else "_tail"), F.col(f"_across_{name}")).otherwise(F.col(name))
         for name, (_, k) in cols.items()}).drop(*[f"_across_{name}" for name in cols])
-    return inside.unionByName(across).drop("_head", "_tail")
+    return cold.unionByName(inside.unionByName(across).drop("_head", "_tail"))
 
 
 def framed(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
@@ -143,8 +153,10 @@ def framed(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     frame = lambda *by: Window.partitionBy(*by).orderBy(*_specs(order)).rowsBetween(-before, after)
     if RUN not in df.columns:
         return df.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()})
+    cold, df = _parts(df)
+    cold = cold.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()})
     inner = Window.partitionBy(*keys, RUN).orderBy(*_specs(order))
-    short = lambda far, k: (F.col(RUN) > 0) & far(F.lit(1), k).over(inner).isNull() if k > 0 else F.lit(False)
+    short = lambda far, k: far(F.lit(1), k).over(inner).isNull() if k > 0 else F.lit(False)
     reach = max(before, 0) + max(after, 0)
     here = df.withColumns({name: fn(frame(*keys, RUN)) for name, fn in aggs.items()}).withColumns({
         "_cut": short(F.lag, before) | short(F.lead, after),
@@ -152,7 +164,7 @@ def framed(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     inside = here.filter(~F.col("_cut"))
     across = here.filter("_near").drop(*aggs)
     across = across.withColumns({name: fn(frame(*keys)) for name, fn in aggs.items()}).filter("_cut")
-    return inside.unionByName(across).drop("_cut", "_near")
+    return cold.unionByName(inside.unionByName(across).drop("_cut", "_near"))
 
 
 _COMBINE = {
@@ -167,12 +179,15 @@ def running(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
     """Running sum / max / min up to and including the current row (from the other end if `reverse`)."""
     keys, order = as_list(keys), as_list(order)
     prefix = (Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy(*keys).orderBy(*_specs(order, reverse)).rowsBetween(*prefix)
+    over = lambda frame, w: frame.withColumns({a: getattr(F, fn)(c).over(w) for a, (fn, c) in aggs.items()})
     if RUN not in df.columns:
-        window = Window.partitionBy(*keys).orderBy(*_specs(order, reverse)).rowsBetween(*prefix)
-        return df.withColumns({a: getattr(F, fn)(c).over(window) for a, (fn, c) in aggs.items()})
+        return over(df, window)
+    cold, df = _parts(df)
+    cold = over(cold, window)
     inner = Window.partitionBy(*keys, RUN).orderBy(*_specs(order, reverse)).rowsBetween(*prefix)
-    here = df.withColumns({a: getattr(F, fn)(c).over(inner) for a, (fn, c) in aggs.items()})
-    totals = df.filter(F.col(RUN) > 0).groupBy(*keys, RUN).agg(
+    here = over(df, inner)
+    totals = df.groupBy(*keys, RUN).agg(
         *[getattr(F, fn)(c).alias(f"_tot_{a}") for a, (fn, c) in aggs.items()])
     before = Window.partitionBy(*keys).orderBy(*_specs([RUN], reverse)).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, RUN, *[
@@ -180,7 +195,7 @@ def running(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
     joined = here.join(carry, [*keys, RUN], "left")
     joined = joined.withColumns({
         a: _COMBINE[fn](F.col(f"_carry_{a}"), F.col(a)) for a, (fn, _) in aggs.items()})
-    return joined.select(*df.columns, *aggs)
+    return cold.unionByName(joined.select(*df.columns, *aggs))
 
 
 def row_index(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], name: str) -> DataFrame:

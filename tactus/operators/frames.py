@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tactus.functions.numeric import positive_rise, ratio
 from tactus.layout import RUN, as_list, exact_quantiles, framed, row_index, running, shift
 from tactus.operators.thinning import spaced
+from tactus.session import settled
 
 KEY = "recording"
 
@@ -84,6 +85,9 @@ def selection_onsets(selected: DataFrame, hop: float, *, method: str = "spectral
     """Onset events of a frame selection: flux when bins exist, else volume; close events keep the strongest."""
     used = method if method == "volume_delta" or has_bins else "volume_delta"
     rows = with_strength(selection_windows(with_bounds(selected, hop), hop), used)
+    # The peak rule reads these few columns several times; the bins stay behind.
+    need = (KEY, "frame", "t", "strength", "window_index", "_inner", RUN)
+    rows = settled(rows.select(*[c for c in need if c in rows.columns]))
     peaks = window_peaks(rows, sensitivity=sensitivity, scale=scale)
     keep = [c for c in (KEY, "frame", "t", "strength", "threshold", "window_index", RUN) if c in peaks.columns]
     events = spaced(peaks.select(*keep), KEY, "t", max(0.01, hop * 1.5), inclusive=False, strength="strength", ties=["frame"])
