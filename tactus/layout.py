@@ -24,7 +24,8 @@ from pyspark.sql.window import WindowSpec
 from tactus.session import settled
 
 RUN = "_run"
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
+QUANTILE_ROWS = 200_000
 RUN_ROWS = 500_000
 MAX_RUNS = 10_000
 MAX_LISTED_KEYS = 1_000
@@ -43,6 +44,7 @@ class Layout:
     cuts: tuple[float, ...] = ()
     hot: tuple[tuple, ...] | None = ()
     largest: int = 0
+    parts: int = 1
 
     @property
     def split(self) -> bool:
@@ -55,12 +57,20 @@ class Layout:
         edges = [float("-inf"), *self.cuts, float("inf")]
         wide = df.withColumn("_pos", F.col(order or self.order).cast("double"))
         wide = Bucketizer(splits=edges, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(wide)
-        run = F.col("_bucket").cast("int") + 1
+        run = F.col("_bucket").cast("long") + 1
+        if self.parts > 1:
+            # Even steps inside a range of values refine it further; the order of the runs still follows the values.
+            cuts = F.array(*[F.lit(c) for c in (self.cuts[0], *self.cuts, self.cuts[-1])])
+            at = F.col("_bucket").cast("int") + 1
+            low, high = F.element_at(cuts, at), F.element_at(cuts, at + 1)
+            share = F.coalesce((F.col("_pos") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+            step = F.least(F.greatest(F.floor(share * self.parts), F.lit(0)), F.lit(self.parts - 1))
+            run = F.col("_bucket").cast("long") * self.parts + step + 1
         if self.hot is not None:
             listed = F.struct(*self.keys).isin(
                 [F.struct(*[F.lit(v) for v in key]) for key in self.hot]
             ) if len(self.keys) > 1 else F.col(self.keys[0]).isin([key[0] for key in self.hot])
-            run = F.when(listed, run).otherwise(F.lit(0))
+            run = F.when(listed, run).otherwise(F.lit(0).cast("long"))
         return wide.withColumn(RUN, run).drop("_pos", "_bucket")
 
 
@@ -82,11 +92,12 @@ def plan_layout(df: DataFrame, keys: str | Sequence[str], order: str, *, hot_row
         rows = probe.mark(df).filter(F.col(RUN) > 0)
     else:
         total = df.count()
-    runs = max(2, min(MAX_RUNS, -(-total // run_rows)))
+    wanted = max(2, -(-total // run_rows))
+    runs = min(MAX_RUNS, wanted)
     probs = [i / runs for i in range(1, runs)]
     cuts = rows.select(F.col(order).cast("double").alias(order)).approxQuantile(order, probs, 1.0 / (4 * runs))
     cuts = tuple(sorted(set(cuts)))
-    return Layout(tuple(keys), order, cuts=cuts, largest=largest,
+    return Layout(tuple(keys), order, cuts=cuts, largest=largest, parts=-(-wanted // runs),
                   hot=tuple(tuple(row[k] for k in keys) for row in hot) if listed else None)
 
 
@@ -285,7 +296,7 @@ def within_spans(spans: DataFrame, frames: DataFrame, key: str, start: str, end:
 
 
 def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs: Sequence[float], name: str,
-                    *, rule: str = "linear", hot_rows: int = HOT_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
+                    *, rule: str = "linear", hot_rows: int = QUANTILE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Exact quantiles per key as an array column.
 
     Equal values are combined first. `linear` interpolates between ranks; `upper` takes element floor(p*n).

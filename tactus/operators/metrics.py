@@ -21,11 +21,9 @@ def bin_counts(r: Column, when: Column, bins: int = BINS) -> list[Column]:
 
 def entropy(counts: Sequence[Column], base: float | None = None) -> Column:
     """Shannon entropy of counts; natural logarithm unless a base is given."""
-    total = sum(counts[1:], counts[0])
-    def term(c: Column) -> Column:
-        p = c / F.nullif(total.cast("double"), F.lit(0.0))
-        return F.when(c > 0, -p * F.log(p)).otherwise(F.lit(0.0))
-    nats = sum((term(c) for c in counts[1:]), term(counts[0]))
+    total = sum(counts[1:], counts[0]).cast("double")
+    weigh = lambda c: F.when(c > 0, c * F.log(c)).otherwise(F.lit(0.0))
+    nats = F.log(F.nullif(total, F.lit(0.0))) - sum((weigh(c) for c in counts[1:]), weigh(counts[0])) / F.nullif(total, F.lit(0.0))
     return nats if base is None else nats / F.log(F.lit(float(base)))
 
 

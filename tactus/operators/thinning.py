@@ -81,7 +81,7 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
     columns = [c for c in df.columns if c != RUN]
     held = T.StructType([df.schema[c] for c in columns])
     if RUN not in df.columns:
-        df = df.withColumn(RUN, F.lit(0))
+        df = df.withColumn(RUN, F.lit(0).cast("long"))
     by = [*keys, RUN]
     body = df.select(*by, F.struct(*columns).alias("_row"))
     end_type = T.StructType([*[df.schema[c] for c in by], T.StructField("_end", held),

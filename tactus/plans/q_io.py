@@ -320,7 +320,7 @@ def _(spark, sf):
 
 @query("k10_region_manifests", f"WITH {SQL_FRAMES}, {SQL_FREG} SELECT recording, polarity, 'base' AS layer, count(*)::INT AS n_regions FROM rg GROUP BY 1, 2")
 def _(spark, sf):
-    return wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).drop("document")
+    return wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).drop("document", "part")
 
 
 @query("k11_asset_publish", """WITH c AS (SELECT p_partkey AS id, 'rev-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS r, p_size, p_name FROM part), e AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 49)

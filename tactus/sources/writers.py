@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactus.functions.text import base_name, clock, fixed, format_times, stem
+from tactus.layout import RUN, lay_out, plain, row_index
 from tactus.operators.frames import gap_filled
 from tactus.operators.intervals import dyads
 from tactus.operators.matching import match_names
@@ -168,22 +169,31 @@ def write_lines(lines: DataFrame, path: str, *, order: Sequence[str], column: st
     rows.select("recording", F.col(column).alias("value")).write.mode(mode).partitionBy("recording").text(path)
 
 
-def analysis_payload(bounds: DataFrame, windows: DataFrame, events: DataFrame) -> DataFrame:
-    """Analysis of a selection as one JSON document per window: bounds, window and its events.
+DOCUMENT_ROWS = 10_000
 
-    One document per (recording, window) keeps documents small however large the recording is.
-    """
-    inside = events.groupBy("recording", "window_index").agg(F.sort_array(F.collect_list(
+
+def _in_parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds `part`: consecutive blocks of at most DOCUMENT_ROWS rows of a key, so that documents stay of bounded size."""
+    rows = row_index(lay_out(rows, keys, order[0]), keys, order, "_i")
+    return plain(rows.withColumn("part", F.floor((F.col("_i") - 1) / DOCUMENT_ROWS).cast("int")).drop("_i"))
+
+
+def analysis_payload(bounds: DataFrame, windows: DataFrame, events: DataFrame) -> DataFrame:
+    """Analysis of a selection as JSON documents: bounds, window and its events, one document per window and part."""
+    by = ["recording", "window_index"]
+    inside = _in_parts(events.drop(RUN), by, ["t", "frame"]).groupBy(*by, "part").agg(F.sort_array(F.collect_list(
         F.struct("t", "frame", "strength", "threshold", "ioi_sec"))).alias("onset_events"))
-    rows = windows.join(inside, ["recording", "window_index"], "left").join(bounds, "recording")
+    rows = windows.join(inside, by, "left").fillna(0, ["part"]).join(bounds, "recording")
     body = [c for c in rows.columns if c != "recording"]
-    return rows.select("recording", "window_index", F.to_json(F.struct("recording", *body)).alias("document"))
+    return rows.select(*by, "part", F.to_json(F.struct("recording", *body)).alias("document"))
 
 
 def region_manifests(regions: DataFrame) -> DataFrame:
-    """Saved-selection documents: one per recording, polarity and layer, with the regions in time order."""
-    rows = regions.groupBy("recording", "polarity", "layer").agg(F.sort_array(F.collect_list(F.struct("t_start", "t_end", "f_low", "f_high"))).alias("regions"))
-    return rows.select("recording", "polarity", "layer", F.size("regions").alias("n_regions"), F.to_json(F.struct(
+    """Saved-selection documents per recording, polarity and layer (and part), with the regions in time order."""
+    by = ["recording", "polarity", "layer"]
+    rows = _in_parts(regions, by, ["t_start", "t_end", "f_low", "f_high"]).groupBy(*by, "part").agg(
+        F.sort_array(F.collect_list(F.struct("t_start", "t_end", "f_low", "f_high"))).alias("regions"))
+    return rows.select(*by, "part", F.size("regions").alias("n_regions"), F.to_json(F.struct(
         F.lit(1).alias("version"), F.col("recording").alias("source_file"), "polarity", F.col("layer").alias("layer_name"), "regions")).alias("document"))
 
 

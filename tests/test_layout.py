@@ -40,6 +40,17 @@ def test_only_the_hot_key_is_split(plan, rows):
     assert max(r["count"] for r in runs if r[lo.RUN] > 0) < 200
 
 
+def test_ranges_are_refined_beyond_the_largest_number_of_cuts(rows, monkeypatch):
+    monkeypatch.setattr(lo, "MAX_RUNS", 4)
+    many = lo.plan_layout(rows, "recording", "t", hot_rows=100, run_rows=20)
+    assert many.parts > 1
+    marked = many.mark(rows).filter("recording = 'hot'")
+    assert marked.select(lo.RUN).distinct().count() > 6
+    pairs = [(r.t, r[lo.RUN]) for r in marked.orderBy("t").collect()]
+    assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
+    same(lo.row_index(rows, "recording", ["t", "event_id"], "n"), lo.plain(lo.row_index(many.mark(rows), "recording", ["t", "event_id"], "n")))
+
+
 def test_every_row_is_split_when_too_many_keys_are_hot(rows, monkeypatch):
     monkeypatch.setattr(lo, "MAX_LISTED_KEYS", 3)
     many = lo.plan_layout(rows, "recording", "t", hot_rows=10, run_rows=100)
