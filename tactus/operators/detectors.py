@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactus.functions.numeric import MEL_BREAK_HZ, MEL_LOG_FACTOR, MEL_LOG_STEPS, MEL_STEP_HZ
-from tactus.layout import framed, running, shift
+from tactus.layout import RUN, framed, running, shift
 from tactus.operators.frames import KEY, selection_onsets
-from tactus.operators.thinning import spaced
+from tactus.operators.thinning import FOLD_ROWS, parted_by_dips, spaced
+from tactus.session import settled
 
 Detector = Callable[..., DataFrame]
 DETECTORS: dict[str, Detector] = {}
@@ -124,11 +125,12 @@ def baseline_crossing(frames: DataFrame, *, narrow: int = 1, wide: int = 5) -> D
 
 @detector("intensity_nuclei")
 def intensity_nuclei(frames: DataFrame, *, threshold_db: float = -10.0, min_dip_db: float = 2.0, min_pause: float = 0.1,
-                     level: str = "level_db", voiced: str | None = "voiced") -> DataFrame:
+                     level: str = "level_db", voiced: str | None = "voiced", fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Loud local maxima separated by dips of at least `min_dip_db` on both sides, voiced, with a minimum spacing.
 
     Where the dip is too small the louder maximum stays. A valley so deep that every loud maximum clears it
-    divides the sequence, so only stretches between such valleys are folded together.
+    divides the sequence. Short stretches between such valleys fold inside the JVM; where one is long, the maxima are
+    scanned in order per run with a carried row.
     """
     rows = shift(frames, KEY, "frame", {"_p": (level, -1), "_n": (level, 1)})
     tops = rows.groupBy(KEY).agg((F.max(level) + threshold_db).alias("_floor"))
@@ -141,9 +143,23 @@ def intensity_nuclei(frames: DataFrame, *, threshold_db: float = -10.0, min_dip_
     valleys = rows.withColumn("_seg", ends).groupBy(KEY, "_seg").agg(F.min(level).alias("_valley"))
     peaks = rows.filter("_peak").withColumn("_seg", F.col("_seg") - 1).join(valleys, [KEY, "_seg"])
     deep = (F.col("_seg") == 0) | (F.col("_valley") <= F.col("_floor") - min_dip_db)
-    peaks = running(peaks.withColumn("_cut", deep.cast("long")), KEY, "frame", {"_island": ("sum", "_cut")})
-    rest = [c for c in frames.columns if c != KEY and c not in ("frame", level, "_run")]
-    packed = peaks.groupBy(KEY, "_island").agg(F.sort_array(F.collect_list(
+    keep = [KEY, "frame", level, *[c for c in frames.columns if c not in (KEY, "frame", level)]]
+    peaks = settled(peaks.withColumn("_deep", deep).select(*keep, "_valley", "_deep"))
+    islands = running(peaks.withColumn("_cut", F.col("_deep").cast("long")), KEY, "frame", {"_island": ("sum", "_cut")})
+    largest = islands.groupBy(KEY, "_island").count().agg(F.max("count")).first()[0] or 0
+    if largest <= fold_rows:
+        nuclei = _folded_nuclei(islands, [c for c in keep if c not in (KEY, "frame", level, RUN)], level, min_dip_db)
+    else:
+        nuclei = parted_by_dips(peaks, KEY, "frame", level, "_deep", min_dip_db)
+    nuclei = nuclei.drop("_valley", "_deep")
+    if voiced:
+        nuclei = nuclei.filter(F.col(voiced))
+    return spaced(nuclei, KEY, "t", min_pause, strength=level, ties=["frame"]) if min_pause > 0 else nuclei
+
+
+def _folded_nuclei(islands: DataFrame, rest: list[str], level: str, min_dip_db: float) -> DataFrame:
+    """The dip rule folded over each stretch between deep valleys."""
+    packed = islands.groupBy(KEY, "_island").agg(F.sort_array(F.collect_list(
         F.struct("frame", level, "_valley", *rest))).alias("_rows"))
     start = F.struct(F.slice("_rows", 1, 1).alias("kept"), F.lit(float("inf")).alias("low"))
 
@@ -158,10 +174,7 @@ def intensity_nuclei(frames: DataFrame, *, threshold_db: float = -10.0, min_dip_
             .otherwise(kept).alias("kept"), F.when(apart | louder, inf).otherwise(low).alias("low"))
 
     merged = F.aggregate(F.slice("_rows", 2, F.size("_rows")), start, step, lambda s: s["kept"])
-    nuclei = packed.select(KEY, F.explode(merged).alias("_k")).select(KEY, "_k.*").drop("_valley")
-    if voiced:
-        nuclei = nuclei.filter(F.col(voiced))
-    return spaced(nuclei, KEY, "t", min_pause, strength=level, ties=["frame"]) if min_pause > 0 else nuclei
+    return packed.select(KEY, F.explode(merged).alias("_k")).select(KEY, "_k.*")
 
 
 @detector("volume_delta")

@@ -53,6 +53,23 @@ def _scan_bridge(times, gaps, base, dup, start):
     return done, open_row
 
 
+def _scan_dips(levels, valleys, dip, start, start_low):
+    """Keep maxima parted by a dip on both sides, else the louder one. Also returns the lowest level since the open row."""
+    done: list[int] = []
+    open_row, last, low = (-1, start, start_low) if start is not None else (None, None, None)
+    for i, level in enumerate(levels):
+        if open_row is None:
+            open_row, last, low = i, level, float("inf")
+            continue
+        low = min(low, valleys[i])
+        if last - low >= dip and level - low >= dip:
+            done.append(open_row)
+            open_row, last, low = i, level, float("inf")
+        elif level > last:
+            open_row, last, low = i, level, float("inf")
+    return done, open_row, low
+
+
 def _scan(times, gaps, strengths, inclusive, start, start_strength):
     """Scan one ordered stretch. Row -1 stands for the carried row. Returns finished rows and the open one."""
     done: list[int] = []
@@ -71,7 +88,7 @@ def _scan(times, gaps, strengths, inclusive, start, start_strength):
     return done, open_row
 
 
-def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=None) -> DataFrame:
+def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=None, dip=None) -> DataFrame:
     """Ordered Arrow scans per (key, run); the open row of each run is carried into the key's next run.
 
     Pass 1 finds each run's closing row. A run that contains a wide gap closes the same way whatever came
@@ -89,39 +106,53 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
 
     def ordered(pdf: pd.DataFrame):
         rows = pd.DataFrame.from_records(pdf["_row"].tolist(), columns=columns)
-        rows = rows.sort_values([t, *ties], kind="stable").reset_index(drop=True)
+        return rows.sort_values([t, *ties], kind="stable").reset_index(drop=True)
+
+    def scan(rows: pd.DataFrame, carry):
         times = rows[t].tolist()
+        strengths = rows[strength].tolist() if strength else None
+        if dip is not None:
+            done, last, low = _scan_dips(strengths, rows["_valley"].tolist(), dip, carry[strength] if carry else None,
+                                         carry["_valley"] if carry else None)
+            if last is not None and last >= 0:
+                rows.loc[last, "_valley"] = low
+            elif carry:
+                carry["_valley"] = low
+            return done, last
         gaps = rows[gap].tolist() if isinstance(gap, str) else [float(gap)] * len(times)
-        return rows, times, gaps, rows[strength].tolist() if strength else None
-
-    def scan(times, gaps, strengths, carry):
         if dup is not None:
             return _scan_bridge(times, gaps, strengths, dup, carry[t] if carry else None)
         return _scan(times, gaps, strengths, inclusive, carry[t] if carry else None,
                      carry[strength] if carry and strength else None)
 
+    def last_reset(rows: pd.DataFrame) -> int:
+        """Last row at which the rule starts afresh whatever came before; 0 without one."""
+        if dip is not None:
+            fresh = rows[gap].astype(bool)
+        else:
+            step = rows[t].diff()
+            limit = rows[gap] if isinstance(gap, str) else float(gap)
+            fresh = step >= limit if inclusive else step > limit
+        at = fresh.iloc[1:].to_numpy().nonzero()[0]
+        return int(at[-1]) + 1 if len(at) else 0
+
     def pick(rows: pd.DataFrame, i: int | None, carry):
         if i is None:
             return None
         return carry if i < 0 else _as_row(rows, i, columns)
 
     def close_alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, times, gaps, strengths = ordered(pdf)
-        at = 0
-        for i in range(len(times) - 1, 0, -1):
-            step = times[i] - times[i - 1]
-            if step >= gaps[i] if inclusive else step > gaps[i]:
-                at = i
-                break
-        _, last = scan(times[at:], gaps[at:], strengths[at:] if strengths else None, None)
-        end = _as_row(rows, at + last, columns) if last is not None else None
-        return pdf[by].iloc[[0]].assign(_end=[end], _settled=at > 0)
+        rows = ordered(pdf)
+        at = last_reset(rows)
+        rest = rows.iloc[at:].reset_index(drop=True)
+        _, last = scan(rest, None)
+        return pdf[by].iloc[[0]].assign(_end=[pick(rest, last, None)], _settled=at > 0)
 
     def carried(pdf: pd.DataFrame):
         carry = pdf["_carry"].iloc[0]
-        carry = carry if isinstance(carry, dict) else None
-        rows, times, gaps, strengths = ordered(pdf)
-        done, last = scan(times, gaps, strengths, carry)
+        carry = dict(carry) if isinstance(carry, dict) else None
+        rows = ordered(pdf)
+        done, last = scan(rows, carry)
         return rows, carry, done, last
 
     def close_after(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,6 +214,13 @@ def spaced(df: DataFrame, keys: str | Sequence[str], t: str, gap: float | str, *
     return _spaced_in_runs(df, keys, t, gap, inclusive, strength, ties)
 
 
+def parted_by_dips(df: DataFrame, keys: str | Sequence[str], order: str, level: str, fresh: str, dip: float) -> DataFrame:
+    """Maxima (rows with their level and `_valley`, the lowest level since the previous one) parted by dips of at least
+    `dip` on both sides; otherwise the louder stays. `fresh` names a flag for valleys that any maximum clears.
+    """
+    return _spaced_in_runs(df, as_list(keys), order, fresh, True, level, [], dip=dip)
+
+
 def bridged(df: DataFrame, keys: str | Sequence[str], t: str, base: str, dup: float, reach: float, *,
             ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Rows accepted in time order when the nearest of (fixed set, rows accepted so far) is in (dup, reach].

@@ -188,3 +188,27 @@ def test_group_tests_of_split_values(rows, monkeypatch):
     for left, right in zip(a, b):
         for l, r in zip(left, right):
             assert l == pytest.approx(r, abs=1e-9) if all(isinstance(v, float) for v in l) else [v if not isinstance(v, float) else round(v, 9) for v in l] == [v if not isinstance(v, float) else round(v, 9) for v in r]
+
+
+def test_nuclei_of_long_stretches(rows):
+    f = rows.select("recording", F.col("event_id").alias("frame"), (F.col("event_id") * 0.05).alias("t"), (F.col("strength") * 20).alias("level_db"),
+                    (F.col("strength") > 0.2).alias("voiced"))
+    part = lo.plan_layout(f, "recording", "frame", hot_rows=100, run_rows=40)
+    settings = {"threshold_db": -12.0, "min_dip_db": 7.0, "min_pause": 0.0}
+    a = dt.detect_onsets("intensity_nuclei", f, **settings).select("recording", "frame")
+    b = dt.detect_onsets("intensity_nuclei", part.mark(f), fold_rows=0, **settings).select("recording", "frame")
+    same(a, b)
+    want = []
+    for name in {r.recording for r in f.select("recording").distinct().collect()}:
+        v = [(r.frame, r.level_db, r.voiced) for r in f.filter(F.col("recording") == name).orderBy("frame").collect()]
+        floor = max(x[1] for x in v) - 12.0
+        peaks = [i for i in range(1, len(v) - 1) if v[i][1] > v[i - 1][1] and v[i][1] >= v[i + 1][1] and v[i][1] >= floor]
+        kept = peaks[:1]
+        for j in peaks[1:]:
+            low = min(x[1] for x in v[kept[-1]: j + 1])
+            if v[kept[-1]][1] - low >= 7.0 and v[j][1] - low >= 7.0:
+                kept.append(j)
+            elif v[j][1] > v[kept[-1]][1]:
+                kept[-1] = j
+        want += [(name, v[i][0]) for i in kept if v[i][2]]
+    assert sorted(map(tuple, a.collect())) == sorted(want)
