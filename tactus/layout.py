@@ -299,13 +299,14 @@ def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs:
                     *, rule: str = "linear", hot_rows: int = QUANTILE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Exact quantiles per key as an array column.
 
-    Equal values are combined first. `linear` interpolates between ranks; `upper` takes element floor(p*n).
+    Equal values are combined first and written once, as the size check and the ranking both read them. `linear` interpolates between ranks; `upper` takes element floor(p*n).
     While every key has a moderate number of distinct values the built-in percentile serves; beyond that the
     ranks come from running counts over runs, so no task holds a whole key.
     """
     keys = as_list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
+    counted = settled(counted)
     layout = plan_layout(counted, keys, "_v", hot_rows=hot_rows, run_rows=run_rows)
     if rule == "linear" and not layout.split:
         return counted.groupBy(*keys).agg(F.percentile("_v", list(probs), F.col("_c")).alias(name))
@@ -335,6 +336,7 @@ def average_ranks(df: DataFrame, keys: str | Sequence[str], value: str, *, hot_r
     """
     keys = as_list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    counted = settled(counted)
     layout = plan_layout(counted, keys, value, hot_rows=hot_rows, run_rows=run_rows)
     ranked = running(layout.mark(counted), keys, value, {"cum": ("sum", "n_equal")})
     return plain(ranked).withColumn(

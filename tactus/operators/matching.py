@@ -50,7 +50,8 @@ def add_shared(main: DataFrame, others: Sequence[DataFrame], tolerance: float, *
     current = main.select("recording", "event_id", "t", *_run(main))
     for other in others:
         base = with_nearest_distance(other.select("recording", "event_id", "t", *_run(other)), current, layout=layout)
-        added = bridged(base, "recording", "t", "distance", duplicate, tolerance, ties=["event_id"]).drop("distance")
+        added = bridged(base, "recording", "t", "distance", duplicate, tolerance, ties=["event_id"],
+                        at_most=layout.largest if layout else None).drop("distance")
         current = _append(current, added, layout)
     return current
 
@@ -62,7 +63,7 @@ def merge_sources(existing: DataFrame, sources: Sequence[DataFrame], tolerance:
     for source in sources:
         moved = source.select("recording", "event_id", (F.col("t") + F.lit(offset)).alias("t"), *_run(source))
         free = with_nearest_distance(moved, current, layout=layout).filter(F.col("distance") >= tolerance)
-        added = spaced(free.drop("distance"), "recording", "t", tolerance, ties=["event_id"])
+        added = spaced(free.drop("distance"), "recording", "t", tolerance, ties=["event_id"], at_most=layout.largest if layout else None)
         current = _append(current, added, layout)
     return current
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tactus.functions import tails
 from tactus.functions.numeric import DRAW_MODULUS, draw, draw_array, ratio
 from tactus.layout import as_list, average_ranks, exact_quantiles, plain, plan_layout, running, shift
+from tactus.session import settled
 
 ARRAY_DRAWS = 50_000
 # Cumulative probabilities of the Poisson law with mean 1, for 0, 1, 2, ... events.
@@ -46,7 +47,7 @@ def ks_rest(rows: DataFrame, value: str = "r_k", key: str = "grp") -> DataFrame:
     is not repeated per group. Only the group's own values need checking: the distance peaks at one of them or
     just before one.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")))
     overall = counted.groupBy(value).agg(F.sum("_c").alias("_all")).withColumn("_one", F.lit(0))
     layout = plan_layout(overall, "_one", value)
     overall = running(layout.mark(overall), "_one", value, {"_cum_all": ("sum", "_all")})
@@ -79,7 +80,7 @@ def resample_rest(rows: DataFrame, draws: int, seed: int, value: str = "r_k", ke
 
     Positions are drawn by hash and looked up in the cumulative counts of the pool. (group, value, n).
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")))
     groups = counted.select(key).distinct()
     # One pool per target group: distinct values with counts, repeated once per other group.
     pool = counted.withColumnRenamed(key, "_g").join(groups, F.col("_g") != F.col(key)).groupBy(key, value).agg(
@@ -99,8 +100,8 @@ def resample_rest(rows: DataFrame, draws: int, seed: int, value: str = "r_k", ke
 def two_samples(rows: DataFrame, keys: str | Sequence[str], value: str, side: Column) -> DataFrame:
     """Rank-sum U, its tie term and the two-sample KS distance for each key; `side` is true for the first sample."""
     keys = as_list(keys)
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.when(side, 1)).alias("_a"), F.count(F.when(~side, 1)).alias("_b"))
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.when(side, 1)).alias("_a"), F.count(F.when(~side, 1)).alias("_b")))
     layout = plan_layout(counted, keys, value)
     ranked = plain(running(layout.mark(counted), keys, value, {"_ca": ("sum", "_a"), "_cb": ("sum", "_b")}))
     sizes = counted.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
@@ -117,7 +118,7 @@ def two_samples(rows: DataFrame, keys: str | Sequence[str], value: str, side: Co
 
 def signed_rank(rows: DataFrame, value: str, centre: float, key: str = "grp", alternative: str = "two-sided") -> DataFrame:
     """Wilcoxon signed-rank statistic of value - centre per group; zeros are dropped, fewer than two rows give null."""
-    diffs = rows.select(key, (F.col(value) - F.lit(centre)).alias("_d"))
+    diffs = settled(rows.select(key, (F.col(value) - F.lit(centre)).alias("_d")))
     sizes = diffs.groupBy(key).agg(F.count("_d").alias("n_units"))
     live = diffs.filter("_d <> 0").select(key, F.abs("_d").alias("_m"), (F.col("_d") > 0).alias("_pos"))
     counted = live.groupBy(key, "_m").agg(F.count(F.lit(1)).alias("_t"), F.count(F.when(F.col("_pos"), 1)).alias("_p"))
@@ -139,6 +140,7 @@ def adjusted(tests: DataFrame, method: str, p: str = "p", within: Sequence[str]
     if method == "none":
         return tests.withColumn("p_adj", F.col(p))
     keys = list(within) or ["_all"]
+    tests = settled(tests)
     rows = tests if within else tests.withColumn("_all", F.lit(0))
     known = rows.filter(F.col(p).isNotNull())
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
@@ -209,7 +211,7 @@ def _interval(reps: DataFrame, key: str, level: float) -> DataFrame:
 
 def _resampled(rows: DataFrame, terms: dict[str, Column], reps: int, seed: int, key: str, array_rows: int) -> DataFrame:
     """Weighted sums of the terms per (key, replicate)."""
-    data = rows.select(key, *[c.cast("double").alias(n) for n, c in terms.items()]).dropna()
+    data = settled(rows.select(key, *[c.cast("double").alias(n) for n, c in terms.items()]).dropna())
     largest = data.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     names = list(terms)
     if largest <= array_rows:

@@ -197,19 +197,26 @@ def _as_row(rows: pd.DataFrame, i: int, columns: list[str]) -> dict:
     return {c: None if v is None or v != v else v for c, v in zip(columns, values, strict=True)}
 
 
+def _largest(df: DataFrame, keys: list[str], at_most: int | None, limit: int) -> int:
+    """Rows of the largest key, or a known bound that is small enough."""
+    if at_most is not None and at_most <= limit:
+        return at_most
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def spaced(df: DataFrame, keys: str | Sequence[str], t: str, gap: float | str, *, inclusive: bool = True,
-           strength: str | None = None, ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS) -> DataFrame:
+           strength: str | None = None, ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS,
+           at_most: int | None = None) -> DataFrame:
     """Rows kept by the greedy spacing rule.
 
     A row is kept when its distance from the last kept row is >= gap (> gap if not `inclusive`). With `strength`
     a closer row replaces the last kept one when it is strictly stronger. `gap` may name a column.
     Small keys are folded inside the JVM; the array copy is quadratic, so larger keys use ordered Arrow scans,
-    divided by run when the key is oversized.
+    divided by run when the key is oversized. `at_most` is a known bound of the rows per key, which spares the count.
     """
     keys, ties = as_list(keys), list(ties)
     if fold_rows:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= fold_rows:
+        if _largest(df, keys, at_most, fold_rows) <= fold_rows:
             return _spaced_in_arrays(df, keys, t, gap, inclusive, strength, ties)
     return _spaced_in_runs(df, keys, t, gap, inclusive, strength, ties)
 
@@ -222,14 +229,13 @@ def parted_by_dips(df: DataFrame, keys: str | Sequence[str], order: str, level:
 
 
 def bridged(df: DataFrame, keys: str | Sequence[str], t: str, base: str, dup: float, reach: float, *,
-            ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS) -> DataFrame:
+            ties: Sequence[str] = (), fold_rows: int = FOLD_ROWS, at_most: int | None = None) -> DataFrame:
     """Rows accepted in time order when the nearest of (fixed set, rows accepted so far) is in (dup, reach].
 
     `base` holds the distance to the fixed set (infinity when it is empty).
     """
     keys, ties = as_list(keys), list(ties)
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if not fold_rows or largest > fold_rows:
+    if not fold_rows or _largest(df, keys, at_most, fold_rows) > fold_rows:
         return _spaced_in_runs(df, keys, t, reach, False, base, ties, dup)
     rest = [c for c in df.columns if c not in {*keys, t, *ties, RUN}]
     grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(t, *ties, *rest))).alias("_rows"))

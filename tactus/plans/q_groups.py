@@ -214,10 +214,33 @@ def _(spark, sf):
     return stats.signed_rank(gr.isochrony_by_recording(_ratios(spark, sf)), "prop_iso", 0.1).select("grp", "n_units", "v")
 
 
-@query("g4_g6_g25_wilcoxon_p_adjusted")
+def sql_erfc(x: str) -> str:
+    """Complementary error function of a non-negative number by its power series."""
+    x = f"greatest({x}, 1e-12)"
+    series = f"list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln({x}) - lgamma(k + 1)) / (2 * k + 1)))"
+    return f"CASE WHEN {x} > 4.5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * {series} END"
+
+
+def sql_adjusted(tests: str, within: str = "") -> str:
+    """Step-up adjustment over the tests with a p-value, and the marks."""
+    part = f"PARTITION BY {within} " if within else ""
+    return f"""aj AS (SELECT *, least(1, min(p * m / i) OVER ({part}ORDER BY p DESC, i DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM
+    (SELECT *, row_number() OVER ({part}ORDER BY p) AS i, count(*) OVER ({part}) AS m FROM {tests}))"""
+
+
+SQL_MARK = "CASE WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE '' END AS mark"
+
+
+# Without ties the exact law applies: the number of subsets of the ranks with each sum.
+@query("g4_g6_g25_wilcoxon_p_adjusted", f"""WITH RECURSIVE {SQL_WIL}, dp AS (SELECT 0 AS r, [1.0::DOUBLE] AS w UNION ALL
+    SELECT r + 1, list_transform(range(1, (r + 1) * (r + 2) // 2 + 2), lambda s: coalesce(w[s], 0) + CASE WHEN s > r + 1 THEN coalesce(w[s - (r + 1)], 0) ELSE 0 END) FROM dp WHERE r < 50), tt AS (SELECT grp, count(*) AS n, sum(t * t - 1) AS ties FROM nz GROUP BY 1),
+  zz AS (SELECT grp, vp, n, ties, (coalesce(vp, 0) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM v JOIN tt USING (grp)),
+  pp AS (SELECT grp, vp AS v, CASE WHEN ties = 0 AND n <= 50 THEN list_sum(list_slice(w, CAST(ceil(vp) AS INT) + 1, len(w))) / 2 ** n WHEN z >= 0 THEN 0.5 * ({sql_erfc('abs(z) / sqrt(2)')}) ELSE 1 - 0.5 * ({sql_erfc('abs(z) / sqrt(2)')}) END AS p FROM zz LEFT JOIN dp ON dp.r = n), {sql_adjusted('pp')}
+  SELECT grp, v, {sql_tidy('p')} AS p, {sql_tidy('p_adj')} AS p_adj, {SQL_MARK} FROM aj""")
 def _(spark, sf):
     tests = stats.signed_rank(gr.isochrony_by_recording(_ratios(spark, sf)), "prop_iso", 0.1, alternative="greater")
-    return stats.adjusted(tests, "fdr_bh").withColumn("mark", stats.stars(F.col("p_adj")))
+    rows = stats.adjusted(tests, "fdr_bh").withColumn("mark", stats.stars(F.col("p_adj")))
+    return rows.select("grp", "v", tidy("p").alias("p"), tidy("p_adj").alias("p_adj"), "mark")
 
 
 @query("g5_bootstrap_mean_interval", f"""WITH {SQL_GD}, {SQL_ISO}, q AS (SELECT grp, prop_iso, row_number() OVER (PARTITION BY grp ORDER BY prop_iso) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM iso),
@@ -265,10 +288,18 @@ def _(spark, sf):
     return rows.select("metric", "group_a", "group_b", "n_a", "n_b", "u", tidy("d").alias("d"))
 
 
-@query("g7_pairwise_p_values")
+@query("g7_pairwise_p_values", f"""WITH {SQL_PAIRS}, us AS (SELECT metric, group_a, group_b, count(*) FILTER (fa) AS na, count(*) FILTER (NOT fa) AS nb, sum(r) FILTER (fa) - count(*) FILTER (fa) * (count(*) FILTER (fa) + 1) / 2 AS u FROM rk2 GROUP BY 1, 2, 3),
+  pp AS (SELECT metric, group_a, group_b, least(1, {sql_erfc('greatest(0, greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sqrt(na * nb * (na + nb + 1) / 12) / sqrt(2)')}) AS p FROM us), {sql_adjusted('pp', 'metric')}
+  SELECT metric, group_a, group_b, {sql_tidy('p')} AS p, {sql_tidy('p_adj')} AS p_adj, {SQL_MARK} FROM aj""")
+def _(spark, sf):
+    rows = stats.pairwise(_file_metrics(spark, sf), THREE)
+    return rows.select("metric", "group_a", "group_b", tidy("p").alias("p"), tidy("p_adj").alias("p_adj"), stats.stars(F.col("p_adj")).alias("mark"))
+
+
+@query("g7_pairwise_ks_p_values")
 def _(spark, sf):
-    rows = stats.pairwise(_file_metrics(spark, sf), THREE, test="ks")
-    return rows.select("metric", "group_a", "group_b", "p", "p_adj", stats.stars(F.col("p_adj")).alias("mark"))
+    rows = stats.pairwise(_file_metrics(spark, sf), THREE, test="ks", correction="bonferroni")
+    return rows.select("metric", "group_a", "group_b", tidy("p").alias("p"), tidy("p_adj").alias("p_adj"))
 
 
 # Autocorrelation
@@ -294,7 +325,11 @@ def _(spark, sf):
     return _rounded(stats.fisher_interval(stats.lag_one(_lag_pairs(spark, sf))).select("recording", "ci_low", "ci_high"), "recording")
 
 
-@query("g9_bootstrap_pair_interval")
+@query("g9_bootstrap_pair_interval", f"""WITH {SQL_LAG.replace("ioi_ms - (regr_slope(ioi_ms, i) OVER (PARTITION BY recording) * i + regr_intercept(ioi_ms, i) OVER (PARTITION BY recording)) AS a", "ioi_ms - avg(ioi_ms) OVER (PARTITION BY recording) AS a")},
+  ps AS (SELECT recording, a, b, row_number() OVER (PARTITION BY recording ORDER BY a, b) - 1 AS pos, count(*) OVER (PARTITION BY recording) AS m FROM pp WHERE b IS NOT NULL),
+  dr AS (SELECT recording, rep, {draw_sql(42, 'rep', 'pos')} % m AS pos FROM ps, (SELECT unnest(range(100)) AS rep)),
+  rs AS (SELECT dr.recording, rep, corr(a, b) AS r FROM dr JOIN ps ON ps.recording = dr.recording AND ps.pos = dr.pos GROUP BY 1, 2)
+  SELECT recording, {sql_tidy('quantile_cont(r, 0.025)')} AS ci_low, {sql_tidy('quantile_cont(r, 0.975)')} AS ci_high FROM rs GROUP BY 1""")
 def _(spark, sf):
     return _rounded(stats.bootstrap_lag_one(_lag_pairs(spark, sf, "mean"), 100, 42), "recording")
 

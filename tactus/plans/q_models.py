@@ -87,9 +87,11 @@ def _(spark, sf):
     return _rounded(di.multivariate_distances(_units(spark, sf), THREE), "unit_a", "unit_b")
 
 
-@query("k12_wide_distance_matrix")
+@query("k12_wide_distance_matrix", f"""WITH {SQL_UNITS}, bo AS (SELECT unit_a, unit_b, {sql_tidy('dp', 3)} AS d FROM pa UNION ALL SELECT unit_b, unit_a, {sql_tidy('dp', 3)} FROM pa UNION ALL SELECT unit, unit, 0 FROM un)
+  PIVOT bo ON unit_b USING first(d) GROUP BY unit_a""")
 def _(spark, sf):
-    return di.wide_matrix(di.geographic_distances(_units(spark, sf)))
+    rows = di.geographic_distances(_units(spark, sf), planar=True)
+    return di.wide_matrix(rows.withColumn("d", tidy("d", 3)))
 
 
 SQL_SWAP = f"""ui AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM un), pm AS (SELECT perm, unit, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql(42, 'perm', 'i')}, i) - 1 AS at FROM ui, (SELECT unnest(range(1, 100)) AS perm)),
