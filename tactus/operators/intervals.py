@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.layout import RUN, row_index, shift
+from tactus.layout import row_index, shift
 
 KEY = "recording"
 ORDER = ("t", "event_id")
@@ -87,6 +87,3 @@ def without_range(onsets: DataFrame, start: float, end: float, tolerance: float
     lo, hi = min(start, end) - tolerance, max(start, end) + tolerance
     return onsets.filter(~F.col("t").between(lo, hi))
 
-
-def onset_values(df: DataFrame) -> DataFrame:
-    return df.drop(RUN)

@@ -11,12 +11,11 @@ from tactus.functions import text as tx
 from tactus.functions.numeric import tidy
 from tactus.layout import lay_out, plain, row_index, running, shift
 from tactus.operators import frames as fr
-from tactus.operators import intervals as iv
-from tactus.operators import metrics, profiles
+from tactus.operators import profiles
 from tactus.operators import selection as sl
 from tactus.plans.q_frames import SQL_FREG, SQL_RISES, SQL_WINDOWS, _regions, _selected, _windows, sql_events
-from tactus.plans.q_matching import SQL_MATCHED, SQL_META, _meta, _names
-from tactus.plans.q_sequences import SQL_DYADS, SQL_METRICS, TOL, sql_strongest
+from tactus.plans.q_matching import SQL_MATCHED, _names
+from tactus.plans.q_sequences import SQL_METRICS, TOL, sql_strongest
 from tactus.plans.registry import query
 from tactus.session import reliable_folder, settled
 from tactus.sources import readers as rd

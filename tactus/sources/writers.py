@@ -31,7 +31,7 @@ def read_result_set(spark: SparkSession, path: str, names: Sequence[str] = TABLE
 
 def analysed(onsets: DataFrame, *, tolerance: float = 0.1, digits: tuple[int, int] | None = (2, 4)) -> dict[str, DataFrame]:
     """Summaries, pairs and stable pairs of recordings from their onsets."""
-    pairs = dyads(onsets, tolerance=tolerance, digits=digits)
+    pairs = plain(dyads(onsets, tolerance=tolerance, digits=digits))
     return {"summaries": rhythm_metrics(pairs), "dyads": pairs, "stable_dyads": pairs.filter("stable")}
 
 
