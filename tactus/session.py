@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
@@ -26,15 +30,30 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
 
 
 def reliable_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the one the cluster names, else a fresh local one."""
+    """Folder for written intermediate tables: the one the cluster names; a fresh one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-tactus-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return os.path.join(named, "tactus")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, so that functions run there find it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tactus-")) / "tactus.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A small derived table that several steps read, written once to reliable storage."""
     reliable_folder(df.sparkSession)
