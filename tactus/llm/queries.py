@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import additive, arrow_files, bpe, sharding, suffixes, token_counts, toxicity
+from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, sharding, suffixes, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,16 @@ def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.score(found, model).select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of every whole text; rows with remainder 2 are held out from counting."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = _held_out(7, 2)
+    model = kneser_ney.train_model(docs, ~held_out)
+    found = kneser_ney.score(docs, model)
+    return found.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near equal bytes."""
@@ -82,3 +92,9 @@ def op8_spliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     found = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op9_minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their five-word n-grams, and each document's number of links."""
+    return jaccard.links(table(spark, sf_dir, "documents"))
