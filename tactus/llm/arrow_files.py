@@ -161,7 +161,7 @@ def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                             [some.column(0), pa.array([row["base"] + s for s in starts], pa.int64()), some.column(2), pa.array(ids, pa.binary())],
                             ["doc_id", "start", "n_tokens", "ids"])
 
-    parts = based.repartition("part")
+    parts = based.repartitionByRange(max(1, manifest.count()), "part")  # a task for each file pair
     return parts.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, sharding, suffixes, token_counts, toxicity
+from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, neighbours, sharding, suffixes, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op8_spliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their five-word n-grams, and each document's number of links."""
     return jaccard.links(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product to every row whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
