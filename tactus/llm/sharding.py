@@ -56,7 +56,7 @@ def rebalanced(current: list[tuple], sizes: list[tuple[int, int, int]], shards:
     """The next version of a map for `shards` shards, with few moves.
 
     Slots of shards that no longer exist move first. Then slots leave shards above the mean, largest first, for the
-    emptiest shard, as long as the giver stays at or above the mean less the tolerance and the taker gains by it.
+    emptiest shard, while that is below the mean less the tolerance and the giver does not fall below it.
     """
     version = max((r[0] for r in current), default=-1) + 1
     size = {s: (b, n) for s, b, n in sizes}
@@ -88,7 +88,7 @@ def rebalanced(current: list[tuple], sizes: list[tuple[int, int, int]], shards:
     mean = sum(held) / max(1, shards)
     for slot in order:
         giver, n, to = owner[slot], size[slot][0], emptiest()
-        if n and held[giver] - n >= mean * (1 - tolerance) and held[to] + n < held[giver]:
+        if n and held[to] < mean * (1 - tolerance) and held[giver] - n >= mean * (1 - tolerance) and held[to] + n < held[giver]:
             move(slot, to)
     return [(version, s, owner[s], *size[s]) for s in sorted(owner)]
 
