@@ -57,19 +57,24 @@ class Layout:
         edges = [float("-inf"), *self.cuts, float("inf")]
         wide = df.withColumn("_pos", F.col(order or self.order).cast("double"))
         wide = Bucketizer(splits=edges, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(wide)
-        run = F.col("_bucket").cast("long") + 1
+        step = F.lit(0).cast("long")
         if self.parts > 1:
             # Even steps inside a range of values refine it further; the order of the runs still follows the values.
             cuts = F.array(*[F.lit(c) for c in (self.cuts[0], *self.cuts, self.cuts[-1])])
-            at = F.col("_bucket").cast("int") + 1
+            at = F.least(F.col("_bucket").cast("int") + 1, F.lit(len(self.cuts) + 1))
             low, high = F.element_at(cuts, at), F.element_at(cuts, at + 1)
             share = F.coalesce((F.col("_pos") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-            step = F.least(F.greatest(F.floor(share * self.parts), F.lit(0)), F.lit(self.parts - 1))
-            run = F.col("_bucket").cast("long") * self.parts + step + 1
+            step = F.when(F.isnan("_pos"), step).otherwise(
+                F.least(F.greatest(F.floor(share * self.parts), F.lit(0)), F.lit(self.parts - 1)))
+        # Rows without an order come first and NaN last, as in sorting: run 1, and the bucket after all others.
+        run = F.when(F.col("_pos").isNull(), F.lit(1).cast("long")).otherwise(F.col("_bucket").cast("long") * self.parts + step + 2)
         if self.hot is not None:
-            listed = F.struct(*self.keys).isin(
-                [F.struct(*[F.lit(v) for v in key]) for key in self.hot]
-            ) if len(self.keys) > 1 else F.col(self.keys[0]).isin([key[0] for key in self.hot])
+            if len(self.keys) > 1:
+                listed = F.struct(*self.keys).isin([F.struct(*[F.lit(v) for v in key]) for key in self.hot])
+            else:
+                key = F.col(self.keys[0])
+                listed = key.isin([k for k, in self.hot if k is not None]) if any(k is not None for k, in self.hot) else F.lit(False)
+                listed = F.coalesce(listed, F.lit(False)) | (key.isNull() if (None,) in self.hot else F.lit(False))
             run = F.when(listed, run).otherwise(F.lit(0).cast("long"))
         return wide.withColumn(RUN, run).drop("_pos", "_bucket")
 
@@ -110,6 +115,13 @@ def plain(df: DataFrame) -> DataFrame:
     return df.drop(RUN)
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same name, a null key matching a null key."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys, and the written rows of oversized keys."""
     return df.filter(F.col(RUN) == 0), settled(df.filter(F.col(RUN) > 0))
@@ -203,7 +215,7 @@ def running(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
     before = Window.partitionBy(*keys).orderBy(*_specs([RUN], reverse)).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, RUN, *[
         getattr(F, fn)(f"_tot_{a}").over(before).alias(f"_carry_{a}") for a, (fn, _) in aggs.items()])
-    joined = here.join(carry, [*keys, RUN], "left")
+    joined = matched(here, carry, [*keys, RUN], "left")
     joined = joined.withColumns({
         a: _COMBINE[fn](F.col(f"_carry_{a}"), F.col(a)) for a, (fn, _) in aggs.items()})
     return cold.unionByName(joined.select(*df.columns, *aggs))
@@ -312,7 +324,7 @@ def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs:
         return counted.groupBy(*keys).agg(F.percentile("_v", list(probs), F.col("_c")).alias(name))
     ranked = running(layout.mark(counted), keys, "_v", {"_cum": ("sum", "_c")})
     totals = ranked.groupBy(*keys).agg(F.max("_cum").alias("_n"))
-    ranked = ranked.join(totals, keys)
+    ranked = matched(ranked, totals, keys)
     picks, outs = [], []
     for i, p in enumerate(probs):
         if rule == "linear":

@@ -9,7 +9,6 @@ from tactus.layout import lay_out, row_index
 
 HOP_SEC = 0.05
 BIN_HZ = 100.0
-LEVEL_BINS = 16
 ORDER = ["t", "event_id"]
 
 
@@ -39,8 +38,9 @@ def frames(spark: SparkSession, sf: str, *, split: bool = True) -> DataFrame:
         F.element_at("embedding", 3).cast("double").alias("z"))
     rows = lay_out(rows, "recording", "vec_id") if split else rows
     rows = row_index(rows, "recording", "vec_id", "frame").withColumn("frame", F.col("frame") - 1)
-    # The vectors have unit length, so the level is taken over the lower bins only.
-    rms = F.sqrt(F.aggregate(F.slice("bins", 1, LEVEL_BINS), F.lit(0.0), lambda s, v: s + v * v) / LEVEL_BINS)
+    # The vectors have unit length, so the level weights the energy of bin k by k, over all bins.
+    weighted = F.transform("bins", lambda v, k: v * v * (k + 1))
+    rms = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v) / (F.size("bins") * (F.size("bins") + 1) / 2))
     return rows.withColumns({
         "t": F.col("frame") * F.lit(HOP_SEC),
         "rms": rms,
@@ -73,7 +73,7 @@ SQL_FRAMES = """f0 AS (SELECT CAST(label AS VARCHAR) AS recording, vec_id,
     row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame,
     list_transform(embedding, lambda x: abs(x::DOUBLE)) AS bins, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y,
     embedding[3]::DOUBLE AS z FROM embeddings),
-  f AS (SELECT *, frame * 0.05::DOUBLE AS t, sqrt(list_sum(list_transform(bins[1:16], lambda b: b * b)) / 16) AS rms,
+  f AS (SELECT *, frame * 0.05::DOUBLE AS t, sqrt(list_sum(list_transform(bins, lambda b, k: b * b * k)) / (len(bins) * (len(bins) + 1) / 2)) AS rms,
     list_sum(bins) AS volume FROM f0)"""
 SQL_SPECTRUM = SQL_FRAMES + """,
   sp AS (SELECT recording, frame, t, unnest(bins) AS mag, unnest(range(len(bins))) AS bin,

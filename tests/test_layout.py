@@ -29,7 +29,7 @@ def plan(rows):
 
 
 def same(a, b, digits=9):
-    key = lambda r: tuple(round(v, digits) if isinstance(v, float) else str(v) for v in r)
+    key = lambda r: tuple(round(v, digits) if isinstance(v, float) and v == v else str(v) for v in r)
     b = b.select(*a.columns)
     assert sorted(map(key, a.collect()), key=str) == sorted(map(key, b.collect()), key=str)
 
@@ -51,6 +51,25 @@ def test_ranges_are_refined_beyond_the_largest_number_of_cuts(rows, monkeypatch)
     same(lo.row_index(rows, "recording", ["t", "event_id"], "n"), lo.plain(lo.row_index(many.mark(rows), "recording", ["t", "event_id"], "n")))
 
 
+@pytest.mark.parametrize("most_runs", [10_000, 4])
+def test_rows_without_order_or_key_stay(rows, monkeypatch, most_runs):
+    monkeypatch.setattr(lo, "MAX_RUNS", most_runs)
+    odd = rows.withColumns({
+        "recording": F.when(F.col("recording") == "hot", F.lit(None)).otherwise(F.col("recording")),
+        "t": F.when(F.col("event_id") % 31 == 0, F.lit(None)).when(F.col("event_id") % 37 == 0, F.lit(float("nan"))).otherwise(F.col("t"))})
+    plan = lo.plan_layout(odd, "recording", "t", hot_rows=100, run_rows=40)
+    assert plan.hot == ((None,),) and (plan.parts > 1) == (most_runs == 4)
+    marked, order = plan.mark(odd), ["t", "event_id"]
+    assert marked.filter(F.col(lo.RUN).isNull()).isEmpty()
+    cols = {"a": ("event_id", -2), "b": ("event_id", 1)}
+    same(lo.shift(odd, "recording", order, cols), lo.plain(lo.shift(marked, "recording", order, cols)))
+    same(lo.row_index(odd, "recording", order, "n"), lo.plain(lo.row_index(marked, "recording", order, "n")))
+    total = {"s": ("sum", "event_id"), "m": ("max", "event_id")}
+    same(lo.running(odd, "recording", order, total), lo.plain(lo.running(marked, "recording", order, total)))
+    frame = {"f": lambda w: F.sum("event_id").over(w)}
+    same(lo.framed(odd, "recording", order, frame, 3, 2), lo.plain(lo.framed(marked, "recording", order, frame, 3, 2)))
+
+
 def test_every_row_is_split_when_too_many_keys_are_hot(rows, monkeypatch):
     monkeypatch.setattr(lo, "MAX_LISTED_KEYS", 3)
     many = lo.plan_layout(rows, "recording", "t", hot_rows=10, run_rows=100)
