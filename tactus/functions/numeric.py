@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,13 +102,13 @@ def draw(seed: int, rep: Column, item: Column) -> Column:
     return stir((stir((b + a) % F.lit(DRAW_MODULUS).cast("long")) + item) % F.lit(DRAW_MODULUS).cast("long"))
 
 
-def draw_array(seed: int, rep: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """The same generator on integer arrays."""
-    stir = lambda x: (x * (x + DRAW_OFFSET)) % DRAW_MODULUS
-    rep, item = rep.astype(np.int64), item.astype(np.int64)
-    a = stir((seed + rep * 104_729) % DRAW_MODULUS)
-    b = stir((a + item * 1_299_709) % DRAW_MODULUS)
-    return stir((stir((b + a) % DRAW_MODULUS) + item) % DRAW_MODULUS)
+def wide_draw(seed: int, rep: Column, item: Column) -> Column:
+    """Two draws in one integer below 2^62, for positions and orders among very many items."""
+    return draw(seed, rep, item) * F.lit(DRAW_MODULUS).cast("long") + draw(seed + 1, rep, item)
+
+
+def wide_draw_sql(seed: int, rep: str, item: str) -> str:
+    return f"({draw_sql(seed, rep, item)} * {DRAW_MODULUS} + {draw_sql(seed + 1, rep, item)})"
 
 
 def draw_sql(seed: int, rep: str, item: str) -> str:

@@ -228,9 +228,11 @@ def row_index(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[st
 
 def nearest(left: DataFrame, right: DataFrame, key: str | Sequence[str], lt: str, rt: str,
             take: Sequence[str] = (), *, layout: Layout | None = None, tie: str = "earlier",
-            name: str = "near") -> DataFrame:
+            name: str = "near", accept: Callable[[Column], Column] | None = None) -> DataFrame:
     """Nearest right row in time for every left row, without forming pairs.
 
+    With `accept`, a condition on the left row (`_t`) and a candidate, only accepted ones of the two candidates count.
+
     Both sides are merged in time order; a running max of past right rows and a running min of future right
     rows give the two candidates. Adds `<name>` (struct of the right time and the taken columns, null when the
     key has no right rows). A tie goes to the earlier or the later candidate.
@@ -246,6 +248,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str | Sequence[str], lt: str
         both = layout.mark(both, "_t")
     both = running(both, key, ["_t", "_side"], {"_prev": ("max", "_mark")})
     both = running(both, key, ["_t", "_side"], {"_next": ("min", "_mark")}, reverse=True)
+    if accept:
+        both = both.withColumns({c: F.when(accept(F.col(c)), F.col(c)) for c in ("_prev", "_next")})
     back = F.col("_t") - F.col("_prev.t")
     ahead = F.col("_next.t") - F.col("_t")
     closer = (back <= ahead) if tie == "earlier" else (back < ahead)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tactus.functions.numeric import draw
+from tactus.functions.numeric import draw, wide_draw
 from tactus.layout import lay_out, plain, row_index
 
 RIDGE = 1e-8
@@ -110,8 +110,9 @@ def classify(rows: DataFrame, label: str, features: Sequence[str], *, mode: str
             F.array(*[F.sum(F.element_at("_p", i + 1)) for i in range(d * d)]).alias("_p"))
         solved = _solved(train, "_key", k, d, prior)
     else:
-        data = data.withColumn("_key", F.lit(0))
-        solved = _solved(_blocks(data, ["_key"], d), "_key", k, d, prior)
+        # One model for all rows: k means and a d x d matrix, sent to every task. The key is no literal, else the join would have none.
+        data = data.withColumn("_key", F.pmod(F.xxhash64(id_column), F.lit(1)).cast("int"))
+        solved = F.broadcast(_solved(_blocks(data, ["_key"], d), "_key", k, d, prior))
     scored = _scored(data.join(solved, "_key"), k, d, leave_one_out=mode == "leave_one_out", equal=prior == "equal")
     names = F.array(*[F.lit(c) for c in classes])
     return scored.withColumn("predicted", F.element_at(names, F.col("_pred") + 1)).drop("_key", "_y", "_pred")
@@ -138,7 +139,7 @@ def permutation_test(rows: DataFrame, label: str, features: Sequence[str], *, pe
         data = data.withColumn("_holder", F.col(id_column))
     base = plain(row_index(lay_out(holders.withColumn("_all", F.lit(0)).withColumn("_h", F.xxhash64("_holder")), "_all", "_h"),
                            "_all", ["_h", "_holder"], "_i")).select("_holder", "_l", "_i")
-    perms = base.withColumn("_key", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_u", draw(seed, F.col("_key"), F.col("_i")))
+    perms = base.withColumn("_key", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_u", wide_draw(seed, F.col("_key"), F.col("_i")))
     shuffled = plain(row_index(lay_out(perms, "_key", "_u"), "_key", ["_u", "_i"], "_at"))
     labels = base.select(F.col("_i").alias("_at"), F.col("_l").alias("_new"))
     moved = shuffled.select("_key", "_holder", "_at").join(labels, "_at").select("_key", "_holder", "_new")
@@ -156,9 +157,9 @@ def permutation_test(rows: DataFrame, label: str, features: Sequence[str], *, pe
         ((F.count(F.when((F.col("_key") > 0) & (F.col("ccr") >= F.col("_obs")), 1)) + 1) / F.lit(permutations + 1.0)).alias("p"))
 
 
-def confusion(predictions: DataFrame, label: str) -> DataFrame:
-    """Counts of actual by predicted class, every predicted class a column."""
-    return predictions.groupBy(label).pivot("predicted").count().na.fill(0)
+def confusion(predictions: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
+    """Counts of actual by predicted class, a column for each given class."""
+    return predictions.groupBy(label).pivot("predicted", list(classes)).count().na.fill(0)
 
 
 def loadings(rows: DataFrame, label: str, features: Sequence[str], axes: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.functions.numeric import draw, haversine_km
+from tactus.functions.numeric import draw, wide_draw, haversine_km
 from tactus.layout import average_ranks, lay_out, row_index
 from tactus.operators.matching import unit_pairs
 
@@ -35,12 +35,12 @@ def geographic_distances(units: DataFrame, *, lat: str = "lat", lon: str = "lon"
     return pairs.select("unit_a", "unit_b", d.alias("d"))
 
 
-def wide_matrix(distances: DataFrame) -> DataFrame:
-    """Square matrix with one column per unit, zero on the diagonal."""
+def wide_matrix(distances: DataFrame, units: Sequence[str]) -> DataFrame:
+    """Matrix with one column per given unit, zero on the diagonal; the distances in long form are the general result."""
     flipped = distances.select(F.col("unit_b").alias("unit_a"), F.col("unit_a").alias("unit_b"), "d")
     both = distances.unionByName(flipped)
     diagonal = both.select("unit_a").distinct().select("unit_a", F.col("unit_a").alias("unit_b"), F.lit(0.0).alias("d"))
-    return both.unionByName(diagonal).groupBy("unit_a").pivot("unit_b").agg(F.first("d"))
+    return both.unionByName(diagonal).groupBy("unit_a").pivot("unit_b", list(units)).agg(F.first("d"))
 
 
 def _ranked(distances: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _permuted_units(distances: DataFrame, permutations: int, seed: int) -> DataF
     units = distances.select(F.explode(F.array("unit_a", "unit_b")).alias("unit")).distinct().withColumn("_all", F.lit(0))
     units = row_index(units, "_all", "unit", "_i").select("unit", (F.col("_i") - 1).alias("_i"))
     rows = units.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    rows = rows.withColumn("_u", draw(seed, F.col("perm"), F.col("_i")))
+    rows = rows.withColumn("_u", wide_draw(seed, F.col("perm"), F.col("_i")))
     rows = row_index(lay_out(rows, "perm", "_u"), "perm", ["_u", "_i"], "_at").withColumn("_at", F.col("_at") - 1)
     names = units.select(F.col("unit").alias("stand_in"), F.col("_i").alias("_at"))
     return rows.join(names, "_at").select("perm", "unit", "stand_in")

@@ -142,14 +142,16 @@ def frame_at(onsets: DataFrame, frames: DataFrame, *, tie: str = "later", layout
 
 
 def into_windows(onsets: DataFrame, windowed: DataFrame, hop: float, *, layout: Layout | None = None) -> DataFrame:
-    """Attach each onset to the nearest selected frame, if that frame's window, padded by half a hop (at least
-    10 ms), contains the onset. `windowed` has recording, frame, t, window_index, w_start, w_end.
+    """Attach each onset to the nearest of the selected frames whose window, padded by half a hop (at least 10 ms),
+    contains the onset. `windowed` has recording, frame, t, window_index, w_start, w_end.
+
+    Windows are runs of frames with rising ends, so a window that holds the onset has one of the frames next to it.
     """
     pad = max(0.01, max(0.01, hop) * 0.5)
     rows = nearest(onsets, windowed.select("recording", F.col("t").alias("_ft"), "frame", "window_index", "w_start", "w_end"),
-                   "recording", "t", "_ft", ["frame", "window_index", "w_start", "w_end"], layout=layout)
-    inside = F.col("t").between(F.col("near.w_start") - pad, F.col("near.w_end") + pad)
-    return rows.filter(inside).withColumns({"frame": F.col("near.frame"), "window_index": F.col("near.window_index")}).drop("near")
+                   "recording", "t", "_ft", ["frame", "window_index", "w_start", "w_end"], layout=layout,
+                   accept=lambda c: F.col("_t").between(c["w_start"] - pad, c["w_end"] + pad))
+    return rows.filter(F.col("near").isNotNull()).withColumns({"frame": F.col("near.frame"), "window_index": F.col("near.window_index")}).drop("near")
 
 
 def recall_score(examples: DataFrame, detections: DataFrame, tolerance: DataFrame, *,

@@ -328,11 +328,11 @@ def filter_settings(profile: DataFrame, *, top_hz: float) -> DataFrame:
 
 
 def method_choice(marked: DataFrame) -> DataFrame:
-    """Suggested detector from the characters of wanted and unwanted onsets (columns pos_* and neg_*)."""
+    """Suggested detector, by its registered name, from the characters of wanted and unwanted onsets (columns pos_* and neg_*)."""
     c = F.col
     harmonic = F.coalesce(c("pos_harmonicity"), F.lit(0.5)) > 0.7
     sharp = F.coalesce(c("pos_sharpness"), F.lit(0.3)) > 0.5
     tonal = (c("pos_character") == "harmonic") & F.coalesce(c("neg_character") == "percussive", F.lit(False))
     clash = (c("pos_character") == "percussive") & F.coalesce(c("neg_character") == "harmonic", F.lit(False))
-    method = F.when(harmonic, "superflux").when(sharp | clash, "adaptive_hp").when(tonal, "superflux").otherwise("adaptive_hp")
+    method = F.when(harmonic, "spectral_flux").when(sharp | clash, "baseline_crossing").when(tonal, "spectral_flux").otherwise("baseline_crossing")
     return marked.withColumn("method", method)

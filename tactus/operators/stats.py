@@ -6,23 +6,20 @@ spread over tasks. Tail probabilities are taken on the finished one-row-per-test
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tactus.functions import tails
-from tactus.functions.numeric import DRAW_MODULUS, draw, draw_array, ratio
-from tactus.layout import as_list, average_ranks, exact_quantiles, plain, plan_layout, running, shift
+from tactus.functions.numeric import DRAW_MODULUS, draw, ratio, wide_draw
+from tactus.layout import as_list, average_ranks, exact_quantiles, lay_out, plain, plan_layout, row_index, running, shift
 from tactus.session import settled
 
-ARRAY_DRAWS = 50_000
-# Cumulative probabilities of the Poisson law with mean 1, for 0, 1, 2, ... events.
-POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021, 0.9999998885745217)
+# Cumulative probabilities of the Poisson law with mean 1 for 0 to 12 events; more are rarer than a draw's resolution.
+POISSON_ONE = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13))
 
 
 def ks_uniform(rows: DataFrame, value: str = "r_k", key: str = "grp") -> DataFrame:
@@ -81,14 +78,14 @@ def resample_rest(rows: DataFrame, draws: int, seed: int, value: str = "r_k", ke
     Positions are drawn by hash and looked up in the cumulative counts of the pool. (group, value, n).
     """
     counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")))
-    groups = counted.select(key).distinct()
+    groups = sorted((r[0] for r in counted.select(key).distinct().collect()), key=str)  # names of groups, few by meaning
     # One pool per target group: distinct values with counts, repeated once per other group.
-    pool = counted.withColumnRenamed(key, "_g").join(groups, F.col("_g") != F.col(key)).groupBy(key, value).agg(
-        F.sum("_c").alias("_c"))
+    pool = counted.withColumnRenamed(key, "_g").withColumn(key, F.explode(F.array(*[F.lit(g) for g in groups]))).filter(
+        ~F.col("_g").eqNullSafe(F.col(key))).groupBy(key, value).agg(F.sum("_c").alias("_c"))
     pool = plain(running(plan_layout(pool, key, value).mark(pool), key, value, {"_cum": ("sum", "_c")}))
     sizes = pool.groupBy(key).agg(F.max("_cum").alias("_n"))
     wanted = sizes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
-        key, (draw(seed, F.hash(key).cast("long") % 1000003 + 1000003, F.col("_i")) % F.col("_n") + 1).alias("_at"))
+        key, (wide_draw(seed, F.hash(key).cast("long") % 1000003 + 1000003, F.col("_i")) % F.col("_n") + 1).alias("_at"))
     picks = wanted.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("n"))
     marks = pool.select(key, F.col("_cum").alias("_at"), F.lit(1).alias("_side"), F.struct("_cum", value).alias("_v"))
     both = picks.withColumn("_side", F.lit(0)).unionByName(marks, allowMissingColumns=True)
@@ -192,14 +189,14 @@ def paired_signed_rank(rows: DataFrame, first: str, second: str, key: str) -> Da
 
 # Resampling
 
-def bootstrap_mean(rows: DataFrame, value: str, reps: int, seed: int, *, key: str = "grp", level: float = 0.95,
-                   array_rows: int = ARRAY_DRAWS) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, reps: int, seed: int, *, key: str = "grp", level: float = 0.95) -> DataFrame:
     """Percentile interval of the resampled mean per group.
 
-    Groups of moderate size are drawn with replacement from an array of their values. Larger ones give each row
-    a Poisson(1) count per replicate, which the bootstrap tends to, and combine map-side without a shuffle of rows.
+    Every row counts a Poisson(1) number of times in every replicate, which drawing with replacement tends to. The
+    number depends on seed, replicate and the row's rank in its group alone, so results are the same at every size and
+    partitioning, and replicates are summed map-side without moving rows.
     """
-    means = _resampled(rows, {"m": F.col(value)}, reps, seed, key, array_rows)
+    means = _resampled(rows, {"m": F.col(value)}, reps, seed, key)
     return _interval(means.withColumn("stat", F.col("s_m") / F.col("w")), key, level)
 
 
@@ -209,49 +206,22 @@ def _interval(reps: DataFrame, key: str, level: float) -> DataFrame:
     return out.select(key, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
-def _resampled(rows: DataFrame, terms: dict[str, Column], reps: int, seed: int, key: str, array_rows: int) -> DataFrame:
+def _resampled(rows: DataFrame, terms: dict[str, Column], reps: int, seed: int, key: str) -> DataFrame:
     """Weighted sums of the terms per (key, replicate)."""
-    data = settled(rows.select(key, *[c.cast("double").alias(n) for n, c in terms.items()]).dropna())
-    largest = data.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     names = list(terms)
-    if largest <= array_rows:
-        return _drawn_from_arrays(data, names, reps, seed, key)
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    item = F.pmod(F.xxhash64(key, *names), F.lit(DRAW_MODULUS).cast("long"))
-    spread = data.withColumn("_item", item + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_003))).withColumn("_rep", replicate)
-    u = draw(seed, F.col("_rep"), F.col("_item")) / F.lit(float(DRAW_MODULUS))
+    data = rows.select(key, *[c.cast("double").alias(n) for n, c in terms.items()]).dropna(subset=names)
+    data = plain(row_index(lay_out(data, key, names[0]), key, names, "_i"))
+    spread = data.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    u = draw(seed, F.col("_rep"), F.col("_i") - 1) / F.lit(float(DRAW_MODULUS))
     weight = sum((F.when(u >= p, 1.0).otherwise(0.0) for p in POISSON_ONE[1:]), F.when(u >= POISSON_ONE[0], 1.0).otherwise(0.0))
     spread = spread.withColumn("_w", weight)
     return spread.groupBy(key, "_rep").agg(F.sum("_w").alias("w"), *[
         F.sum(F.col("_w") * F.col(n)).alias(f"s_{n}") for n in names]).filter("w > 0")
 
 
-REP_BATCH = 100
-
-
-def _drawn_from_arrays(data: DataFrame, names: list[str], reps: int, seed: int, key: str) -> DataFrame:
-    """Draw rows of each key with replacement; batches of replicates are spread over the tasks."""
-    packed = data.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_v"))
-    packed = packed.select(key, *[F.col(f"_v.{n}").alias(n) for n in names],
-                           F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REP_BATCH))).alias("_from"))
-    packed = packed.repartition(key, "_from")
-    out_type = T.StructType([data.schema[key], T.StructField("_rep", T.IntegerType()), T.StructField("w", T.DoubleType()),
-                             *[T.StructField(f"s_{n}", T.DoubleType()) for n in names]])
-
-    def sums(batches):
-        for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                values = [np.asarray(v, dtype=float) for v in row[1:-1]]
-                n = len(values[0])
-                rep = np.arange(row[-1], min(row[-1] + REP_BATCH, reps))
-                at = draw_array(seed, rep[:, None], np.arange(n)[None, :]) % n
-                parts.append(pd.DataFrame({key: row[0], "_rep": rep.astype("int32"), "w": float(n),
-                                           **{f"s_{c}": v[at].sum(axis=1) for c, v in zip(names, values, strict=True)}}))
-            if parts:
-                yield pd.concat(parts)
-
-    return packed.mapInPandas(sums, out_type)
+def poisson_sql(u: str) -> str:
+    """The number of times a row counts, as SQL, from a draw."""
+    return "(" + " + ".join(f"(({u}) / {float(DRAW_MODULUS)!r}::DOUBLE >= {p!r}::DOUBLE)::INT" for p in POISSON_ONE) + ")"
 
 
 # Lag-1 autocorrelation
@@ -288,8 +258,7 @@ def fisher_interval(rows: DataFrame, level: float = 0.95) -> DataFrame:
     return rows.withColumns({"ci_low": F.when(ok, F.tanh(z - half)), "ci_high": F.when(ok, F.tanh(z + half))})
 
 
-def bootstrap_lag_one(pairs: DataFrame, reps: int, seed: int, *, key: str = "recording", level: float = 0.95,
-                      array_rows: int = ARRAY_DRAWS) -> DataFrame:
+def bootstrap_lag_one(pairs: DataFrame, reps: int, seed: int, *, key: str = "recording", level: float = 0.95) -> DataFrame:
     """Percentile limits of the correlation when whole pairs are drawn with replacement."""
     a, b = F.col("a"), F.col("b")
     sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"),
@@ -297,7 +266,7 @@ def bootstrap_lag_one(pairs: DataFrame, reps: int, seed: int, *, key: str = "rec
     live = pairs.join(sizes.filter("_n >= 3 AND _sa > 0 AND _sb > 0"), key)
     # Correlation does not change under shift and scale; working on unit scale keeps the sums accurate.
     a, b = (F.col("a") - F.col("_ma")) / F.col("_sa"), (F.col("b") - F.col("_mb")) / F.col("_sb")
-    sums = _resampled(live, {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}, reps, seed, key, array_rows)
+    sums = _resampled(live, {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}, reps, seed, key)
     mean = lambda n: F.col(f"s_{n}") / F.col("w")
     va, vb = mean("aa") - mean("a") * mean("a"), mean("bb") - mean("b") * mean("b")
     r = F.when((va > 1e-15) & (vb > 1e-15), (mean("ab") - mean("a") * mean("b")) / F.nullif(F.sqrt(va * vb), F.lit(0.0)))

@@ -452,7 +452,7 @@ def _(spark, sf):
 
 
 @query("a32_method_choice_rules", f"""WITH {SQL_FRAMES}, {SQL_FREG}, s AS (SELECT recording, avg(harmonicity) FILTER (polarity = 'positive') AS ph, CASE WHEN avg(harmonicity) FILTER (polarity = 'positive') > 0.5 THEN 'harmonic' ELSE 'percussive' END AS pc, CASE WHEN avg(harmonicity) FILTER (polarity = 'negative') > 0.5 THEN 'harmonic' ELSE 'percussive' END AS nc, avg(f_low) / 2000 AS ps FROM rg GROUP BY 1)
-  SELECT recording, CASE WHEN coalesce(ph, 0.5) > 0.7 THEN 'superflux' WHEN ps > 0.5 THEN 'adaptive_hp' WHEN pc = 'percussive' AND nc = 'harmonic' THEN 'adaptive_hp' WHEN pc = 'harmonic' AND nc = 'percussive' THEN 'superflux' ELSE 'adaptive_hp' END AS method FROM s""")
+  SELECT recording, CASE WHEN coalesce(ph, 0.5) > 0.7 THEN 'spectral_flux' WHEN ps > 0.5 THEN 'baseline_crossing' WHEN pc = 'percussive' AND nc = 'harmonic' THEN 'baseline_crossing' WHEN pc = 'harmonic' AND nc = 'percussive' THEN 'spectral_flux' ELSE 'baseline_crossing' END AS method FROM s""")
 def _(spark, sf):
     pos, neg = (F.avg(F.when(F.col("polarity") == p, F.col("harmonicity"))) for p in ("positive", "negative"))
     rows = _regions(spark, sf).groupBy("recording").agg(

@@ -196,7 +196,7 @@ def _(spark, sf):
 @query("g2_resampled_null_distance")
 def _(spark, sf):
     rows = _ratios(spark, sf)
-    null = stats.resample_rest(rows, 2_000, 42)
+    null = stats.resample_rest(rows, 10_000, 42)
     own = rows.groupBy("grp", "r_k").agg(F.count(F.lit(1)).alias("n")).withColumn("_own", F.lit(True))
     both = own.unionByName(null.withColumn("_own", F.lit(False)))
     both = both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -244,11 +244,11 @@ def _(spark, sf):
 
 
 @query("g5_bootstrap_mean_interval", f"""WITH {SQL_GD}, {SQL_ISO}, q AS (SELECT grp, prop_iso, row_number() OVER (PARTITION BY grp ORDER BY prop_iso) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM iso),
-  dr AS (SELECT s.grp, rep, i, {draw_sql(42, 'rep', 'i')} % n AS pos FROM (SELECT grp, count(*) AS n FROM iso GROUP BY 1) s, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(s.n)) AS i)),
-  bm AS (SELECT dr.grp, rep, avg(prop_iso) AS m FROM dr JOIN q ON q.grp = dr.grp AND q.pos = dr.pos GROUP BY 1, 2)
+  dr AS (SELECT grp, rep, prop_iso, {stats.poisson_sql(draw_sql(42, 'rep', 'pos'))} AS w FROM q, (SELECT unnest(range(2000)) AS rep)),
+  bm AS (SELECT grp, rep, sum(w * prop_iso) / sum(w) AS m FROM dr GROUP BY 1, 2 HAVING sum(w) > 0)
   SELECT grp, {sql_tidy('quantile_cont(m, 0.025)')} AS ci_low, {sql_tidy('quantile_cont(m, 0.975)')} AS ci_high FROM bm GROUP BY 1""")
 def _(spark, sf):
-    return _rounded(stats.bootstrap_mean(gr.isochrony_by_recording(_ratios(spark, sf)), "prop_iso", 200, 42), "grp")
+    return _rounded(stats.bootstrap_mean(gr.isochrony_by_recording(_ratios(spark, sf)), "prop_iso", 2_000, 42), "grp")
 
 
 # Multiple comparison, on one z-test per recording of the mean ratio against one half.
@@ -327,11 +327,14 @@ def _(spark, sf):
 
 @query("g9_bootstrap_pair_interval", f"""WITH {SQL_LAG.replace("ioi_ms - (regr_slope(ioi_ms, i) OVER (PARTITION BY recording) * i + regr_intercept(ioi_ms, i) OVER (PARTITION BY recording)) AS a", "ioi_ms - avg(ioi_ms) OVER (PARTITION BY recording) AS a")},
   ps AS (SELECT recording, a, b, row_number() OVER (PARTITION BY recording ORDER BY a, b) - 1 AS pos, count(*) OVER (PARTITION BY recording) AS m FROM pp WHERE b IS NOT NULL),
-  dr AS (SELECT recording, rep, {draw_sql(42, 'rep', 'pos')} % m AS pos FROM ps, (SELECT unnest(range(100)) AS rep)),
-  rs AS (SELECT dr.recording, rep, corr(a, b) AS r FROM dr JOIN ps ON ps.recording = dr.recording AND ps.pos = dr.pos GROUP BY 1, 2)
+  sd AS (SELECT recording, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM ps GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0),
+  un AS (SELECT recording, pos, (a - ma) / sa AS a, (b - mb) / sb AS b FROM ps JOIN sd USING (recording)),
+  dr AS (SELECT *, {stats.poisson_sql(draw_sql(42, 'rep', 'pos'))} AS w FROM un, (SELECT unnest(range(1000)) AS rep)),
+  sm AS (SELECT recording, rep, sum(w * a) / sum(w) AS xa, sum(w * b) / sum(w) AS xb, sum(w * a * a) / sum(w) AS aa, sum(w * b * b) / sum(w) AS bb, sum(w * a * b) / sum(w) AS ab FROM dr GROUP BY 1, 2 HAVING sum(w) > 0),
+  rs AS (SELECT recording, rep, (ab - xa * xb) / sqrt((aa - xa * xa) * (bb - xb * xb)) AS r FROM sm WHERE aa - xa * xa > 1e-15 AND bb - xb * xb > 1e-15)
   SELECT recording, {sql_tidy('quantile_cont(r, 0.025)')} AS ci_low, {sql_tidy('quantile_cont(r, 0.975)')} AS ci_high FROM rs GROUP BY 1""")
 def _(spark, sf):
-    return _rounded(stats.bootstrap_lag_one(_lag_pairs(spark, sf, "mean"), 100, 42), "recording")
+    return _rounded(stats.bootstrap_lag_one(_lag_pairs(spark, sf, "mean"), 1_000, 42), "recording")
 
 
 @query("g10_pooled_autocorrelation", f"""WITH {SQL_LAG}, z AS (SELECT grp, count(*) AS n_files, sum(atanh(r) * greatest(n_pairs - 3, 1)) / sum(greatest(n_pairs - 3, 1)) AS z, 1 / sqrt(sum(greatest(n_pairs - 3, 1))) AS se FROM lg JOIN gm USING (recording) GROUP BY 1)

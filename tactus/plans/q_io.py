@@ -20,7 +20,7 @@ from tactus.plans.registry import query
 from tactus.session import reliable_folder, settled
 from tactus.sources import readers as rd
 from tactus.sources import writers as wr
-from tactus.sources.tables import HOP_SEC, SQL_FRAMES, SQL_ONSETS, frames, onsets, sql_tidy, table
+from tactus.sources.tables import HOP_SEC, SQL_FRAMES, SQL_ONSETS, frames, onsets, sql_tidy, table, table_stream
 from tactus.streaming import sessions as ss
 
 
@@ -149,8 +149,8 @@ def _(spark, sf):
     name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     # The table names recordings without ending for half of the segments: those resolve by stem.
     sheet = c.select(F.when(F.col("c_mktsegment") < "F", name).otherwise(F.concat(name, F.lit(".wav"))).alias("File Name"), F.when(F.col("c_acctbal") < 0, " ").otherwise(
-        F.col("c_mktsegment")).alias("Population"), F.col("c_nationkey").cast("string").alias("Latitude"))
-    return rd.import_metadata(sheet, c.select(F.concat(name, F.lit(".wav")).alias("recording")), ["grp", "lat", "lon"])
+        F.col("c_mktsegment")).alias("Population"), F.col("c_nationkey").cast("string").alias("Latitude"), "c_custkey")
+    return rd.import_metadata(sheet, c.select(F.concat(name, F.lit(".wav")).alias("recording")), ["grp", "lat", "lon"], order="c_custkey")
 
 
 @query("s17_frame_table_scan", f"WITH {SQL_FRAMES} SELECT recording, frame, {', '.join(f'{sql_tidy(c)} AS {c}' for c in 'xy')}, {sql_tidy('CASE WHEN z < 0 THEN 0 ELSE z END')} AS z FROM f")
@@ -382,11 +382,14 @@ def _(spark, sf):
     return rows.select("recording", "frame", tidy(nm.cosine(a, b)).alias("cosine"), tidy(nm.norm(a)).alias("norm"), tidy(nm.positive_rise(a, b)).alias("rise"))
 
 
-@query("x14_canonical_equality", "SELECT event_id, true AS same FROM events")
+@query("x14_canonical_equality", "SELECT event_id, event_id % 3 <> 0 AS same FROM events")
 def _(spark, sf):
+    # Nested keys in another order are equal; a number and its text are not.
     e = table(spark, sf, "events")
-    one = F.concat(F.lit('{"a": "'), "event_type", F.lit('", "b": '), F.col("event_id").cast("string"), F.lit("}"))
-    two = F.concat(F.lit('{"b":'), F.col("event_id").cast("string"), F.lit(' , "a":"'), "event_type", F.lit('"}'))
+    ident = F.col("event_id").cast("string")
+    number = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), ident, F.lit('"'))).otherwise(ident)
+    one = F.concat(F.lit('{"a": "'), "event_type", F.lit('", "n": {"x": '), ident, F.lit(', "y": [1, {"p": null, "q": true}]}}'))
+    two = F.concat(F.lit('{"n":{"y":[1,{"q":true,"p":null}],"x":'), number, F.lit('} , "a":"'), "event_type", F.lit('"}'))
     return e.select("event_id", (tx.canonical_json(one) == tx.canonical_json(two)).alias("same"))
 
 
@@ -430,25 +433,24 @@ def _(spark, sf):
 
 @query("e1_change_events_streamed", f"WITH {SQL_STATES} SELECT * FROM ev")
 def _(spark, sf):
-    source = table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    stream = table_stream(spark, sf, "events")
     path = _fresh(spark)
     ss.run_to_files(ss.change_event_stream(states_of(stream)), f"{path}/events", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/events")
 
 
-SQL_LOG = f"{SQL_STATES}, nu AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, pos) AS event_id, count(*) OVER (PARTITION BY session_id) AS n FROM ev), lg AS (SELECT * FROM nu WHERE event_id > n - 100)"
+SQL_LOG = f"{SQL_STATES}, nu AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, pos) AS event_id, count(*) OVER (PARTITION BY session_id) AS n FROM ev), lg AS (SELECT * FROM nu WHERE event_id > n - 256)"
 
 
 @query("e2_numbered_retained_log", f"WITH {SQL_LOG} SELECT session_id, event_id, kind, payload FROM lg")
 def _(spark, sf):
-    return ss.numbered(ss.change_events(_states(spark, sf)), retained=100).select("session_id", "event_id", "kind", "payload")
+    return ss.numbered(ss.change_events(_states(spark, sf)), retained=256).select("session_id", "event_id", "kind", "payload")
 
 
 @query("e3_poll_after_cursor", f"""WITH {SQL_LOG}, cu AS (SELECT DISTINCT session_id, CAST(session_id AS BIGINT) AS after FROM ev), r AS (SELECT lg.session_id, event_id, kind, after > 0 AND after < min(event_id) OVER p - 1 AS reset_required, max(event_id) OVER p AS latest_event_id, after FROM lg JOIN cu USING (session_id) WINDOW p AS (PARTITION BY lg.session_id)),
   k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM r WHERE event_id > after) SELECT session_id, event_id, kind, reset_required, latest_event_id FROM k WHERE k <= 25""")
 def _(spark, sf):
-    log = settled(ss.numbered(ss.change_events(_states(spark, sf)), retained=100))
+    log = settled(ss.numbered(ss.change_events(_states(spark, sf)), retained=256))
     cursors = log.select("session_id").distinct().withColumn("after", F.col("session_id").cast("long"))
     return ss.poll(log, cursors, limit=25).select("session_id", "event_id", "kind", "reset_required", "latest_event_id")
 
@@ -482,19 +484,22 @@ def _(spark, sf):
 @query("e7_incremental_reanalysis", f"WITH {SQL_METRICS} SELECT recording, n_onsets, {sql_tidy('npvi')} AS npvi FROM m")
 def _(spark, sf):
     path = _fresh(spark)
-    source = table(spark, sf, "events")
     old = _result_set(spark, sf, "click")
     wr.write_result_set(old, f"{path}/v0")
     versions = [f"{path}/v0"]
 
     def replace(batch, epoch):
         rows = batch.select(F.col("user_id").cast("string").alias("recording"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+        # A recording may arrive over several batches: what came before is analysed again with what comes now.
+        rows.write.mode("overwrite").parquet(f"{path}/onsets/epoch={epoch}")
+        known = spark.read.parquet(f"{path}/onsets").filter(F.col("epoch") <= epoch).select(*rows.columns)
+        rows = known.join(rows.select("recording").distinct(), "recording", "left_semi")
         now = wr.upsert(wr.read_result_set(spark, versions[-1], ["summaries", "dyads", "stable_dyads"]), wr.analysed(rows, tolerance=TOL, digits=None))
         target = f"{path}/v{epoch + 1}"
         wr.write_result_set(now, target, mode="overwrite")
         versions.append(target)
 
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = table_stream(spark, sf, "events")
     ss.reanalyse_stream(stream, replace, f"{path}/checkpoint")
     return spark.read.parquet(f"{versions[-1]}/summaries").select("recording", "n_onsets", tidy("npvi").alias("npvi"))
 

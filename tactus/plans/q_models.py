@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tactus.functions.numeric import draw_sql, tidy
+from tactus.functions.numeric import wide_draw_sql, tidy
 from tactus.operators import discriminant as ds
 from tactus.operators import distance as di
 from tactus.operators import groups as gr
@@ -87,14 +87,19 @@ def _(spark, sf):
     return _rounded(di.multivariate_distances(_units(spark, sf), THREE), "unit_a", "unit_b")
 
 
+# Names of the units and groups of the provided tables.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query("k12_wide_distance_matrix", f"""WITH {SQL_UNITS}, bo AS (SELECT unit_a, unit_b, {sql_tidy('dp', 3)} AS d FROM pa UNION ALL SELECT unit_b, unit_a, {sql_tidy('dp', 3)} FROM pa UNION ALL SELECT unit, unit, 0 FROM un)
-  PIVOT bo ON unit_b USING first(d) GROUP BY unit_a""")
+  SELECT unit_a, {', '.join(f"max(d) FILTER (unit_b = '{u}') AS {u}" for u in NATIONS)} FROM bo GROUP BY 1""")
 def _(spark, sf):
     rows = di.geographic_distances(_units(spark, sf), planar=True)
-    return di.wide_matrix(rows.withColumn("d", tidy("d", 3)))
+    return di.wide_matrix(rows.withColumn("d", tidy("d", 3)), NATIONS)
 
 
-SQL_SWAP = f"""ui AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM un), pm AS (SELECT perm, unit, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql(42, 'perm', 'i')}, i) - 1 AS at FROM ui, (SELECT unnest(range(1, 100)) AS perm)),
+SQL_SWAP = f"""ui AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM un), pm AS (SELECT perm, unit, row_number() OVER (PARTITION BY perm ORDER BY {wide_draw_sql(42, 'perm', 'i')}, i) - 1 AS at FROM ui, (SELECT unnest(range(1, 1000)) AS perm)),
   sw AS (SELECT perm, pm.unit, ui.unit AS si FROM pm JOIN ui ON ui.i = pm.at)"""
 
 
@@ -107,7 +112,7 @@ def sql_permuted(a: str, b: str) -> str:
   SELECT {sql_tidy('ro')} AS r_obs, {sql_tidy('(count(*) FILTER (r >= ro) + 1) / (count(*) + 1)')} AS p FROM r, b WHERE perm > 0 GROUP BY ro""")
 def _(spark, sf):
     u = _units(spark, sf)
-    return _rounded(di.mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), permutations=99))
+    return _rounded(di.mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), permutations=999))
 
 
 @query("g15_mantel_spearman_two_sided", f"""WITH {SQL_UNITS}, {SQL_SWAP}, p2 AS (SELECT unit_a, unit_b, rank() OVER (ORDER BY dm) + (count(*) OVER (PARTITION BY dm) - 1) / 2 AS dm, rank() OVER (ORDER BY dg) + (count(*) OVER (PARTITION BY dg) - 1) / 2 AS dg, dc FROM pa),
@@ -115,7 +120,7 @@ def _(spark, sf):
   SELECT {sql_tidy('ro')} AS r_obs, {sql_tidy('(count(*) FILTER (abs(r) >= abs(ro)) + 1) / (count(*) + 1)')} AS p FROM r, b WHERE perm > 0 GROUP BY ro""")
 def _(spark, sf):
     u = _units(spark, sf)
-    return _rounded(di.mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), permutations=99, method="spearman", alternative="two-sided"))
+    return _rounded(di.mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), permutations=999, method="spearman", alternative="two-sided"))
 
 
 @query("g16_partial_mantel", f"""WITH {SQL_UNITS}, {SQL_SWAP}, {sql_permuted('dm', 'dg')}, rs AS (SELECT perm, d - regr_slope(d, dc) OVER p * dc AS ra, db - regr_slope(db, dc) OVER p * dc AS rb FROM mv WINDOW p AS (PARTITION BY perm)),
@@ -123,7 +128,7 @@ def _(spark, sf):
   SELECT {sql_tidy('ro')} AS r_obs, {sql_tidy('(count(*) FILTER (r >= ro) + 1) / (count(*) + 1)')} AS p FROM r, b WHERE perm > 0 GROUP BY ro""")
 def _(spark, sf):
     u = _units(spark, sf)
-    return _rounded(di.partial_mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), di.metric_distances(u, "mass"), permutations=99))
+    return _rounded(di.partial_mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), di.metric_distances(u, "mass"), permutations=999))
 
 
 # Classification
@@ -160,18 +165,18 @@ def _(spark, sf):
 @query("g18_discriminant_permutation_test")
 def _(spark, sf):
     rows = _file_metrics(spark, sf).select("recording", "grp", "unit", *TWO)
-    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=99, mode="leave_one_out"), "n", "n_classes")
+    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=999, mode="leave_one_out"), "n", "n_classes")
 
 
 @query("g18_unit_level_permutation_test")
 def _(spark, sf):
     rows = _file_metrics(spark, sf).select("recording", "grp", "unit", *TWO)
-    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=99, unit="unit"), "n", "n_classes")
+    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=999, unit="unit"), "n", "n_classes")
 
 
-@query("g19_confusion_matrix", f"""WITH {SQL_LDA} PIVOT (SELECT grp, predicted FROM pd) ON predicted USING count(*) GROUP BY grp""")
+@query("g19_confusion_matrix", f"""WITH {SQL_LDA} SELECT grp, {', '.join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in SEGMENTS)} FROM pd GROUP BY 1""")
 def _(spark, sf):
-    return ds.confusion(ds.classify(_file_metrics(spark, sf).select("recording", "grp", *TWO), "grp", TWO), "grp")
+    return ds.confusion(ds.classify(_file_metrics(spark, sf).select("recording", "grp", *TWO), "grp", TWO), "grp", SEGMENTS)
 
 
 @query("g19_discriminant_loadings")

@@ -169,21 +169,22 @@ def metadata_columns(header: Sequence[str], aliases: Mapping[str, Sequence[str]]
     return found
 
 
-def import_metadata(table: DataFrame, recordings: DataFrame, fields: Sequence[str], *, order: str | None = None) -> DataFrame:
-    """Metadata of each recording by exact name, else by stem; what is missing becomes NA.
+def import_metadata(table: DataFrame, recordings: DataFrame, fields: Sequence[str], *, order: str) -> DataFrame:
+    """Metadata of each recording by exact name, else by its stem as a name, else by stem; what is missing becomes NA.
 
-    A repeated name gives the last row, a repeated stem the first.
+    A repeated name gives the last row, a repeated stem the first, in the order of the column `order`.
     """
     columns = metadata_columns(table.columns)
     picked = table.select(F.trim(F.col(columns["recording"])).alias("_name"),
-                          (F.col(order) if order else F.monotonically_increasing_id()).alias("_o"),
+                          F.col(order).alias("_o"),
                           *[F.trim(F.col(columns[f])).alias(f) if f in columns else F.lit(None).cast("string").alias(f) for f in fields])
     picked = picked.filter("_name <> ''").withColumn("_row", F.struct(*fields))
     by_name = picked.groupBy("_name").agg(F.max_by("_row", "_o").alias("_a"))
     keys = picked.withColumn("_s", stem(F.regexp_extract("_name", r"([^/\\]*)$", 1)))
     by_stem = keys.groupBy("_s").agg(F.min_by("_row", "_o").alias("_b"))
-    rows = recordings.withColumn("_s", stem(F.col("recording"))).join(by_name, F.col("recording") == F.col("_name"), "left").join(by_stem, "_s", "left")
-    value = lambda f: F.coalesce(F.when(F.col("_a").isNotNull(), F.col(f"_a.{f}")).otherwise(F.col(f"_b.{f}")), F.lit(""))
+    rows = recordings.withColumn("_s", stem(F.col("recording"))).join(by_name, F.col("recording") == F.col("_name"), "left")
+    rows = rows.join(by_name.select(F.col("_name").alias("_s"), F.col("_a").alias("_c")), "_s", "left").join(by_stem, "_s", "left")
+    value = lambda f: F.coalesce(F.when(F.col("_a").isNotNull(), F.col(f"_a.{f}")).when(F.col("_c").isNotNull(), F.col(f"_c.{f}")).otherwise(F.col(f"_b.{f}")), F.lit(""))
     return rows.select("recording", *[F.when(F.lower(value(f)).isin("", "nan"), "NA").otherwise(value(f)).alias(f) for f in fields])
 
 

@@ -48,6 +48,15 @@ def frames(spark: SparkSession, sf: str, *, split: bool = True) -> DataFrame:
     })
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is a folder or a single file."""
+    source = table(spark, sf, name)
+    reader = spark.readStream.schema(source.schema)
+    if all(f.endswith(f"/{name}.parquet") for f in source.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return reader.parquet(f"{sf}/{name}.parquet")
+
+
 def spectrum(spark: SparkSession, sf: str) -> DataFrame:
     """Frames in long form, one row per bin."""
     rows = frames(spark, sf)

@@ -1,12 +1,19 @@
 """Files, updates and streams."""
 
+import functools
 import json
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from tactus import layout as lo
+from tactus.functions import text as tx
+from tactus.operators import detectors as dt
+from tactus.operators import matching as mt
+from tactus.operators import profiles as pf
 from tactus.operators import stats
+from tactus.plans.catalog import QUERIES
 from tactus.sources import readers as rd
 from tactus.sources import writers as wr
 from tactus.streaming import sessions as ss
@@ -95,9 +102,56 @@ def test_session_stream_over_several_batches_equals_batch(spark, folder):
     assert got == want and ("s1", 3, 0, "asset/cleared", "|") in got and ("s1", 2, 0, "asset/revision_changed", "a|rev-2") in got
 
 
-def test_bootstrap_paths_agree(spark):
+def test_bootstrap_is_the_same_at_every_partitioning_and_layout(spark, monkeypatch):
     rows = spark.range(400).select(F.lit("g").alias("grp"), (F.col("id") % 17).cast("double").alias("v"))
-    a = stats.bootstrap_mean(rows, "v", 300, 1).first()
-    b = stats.bootstrap_mean(rows, "v", 300, 1, array_rows=10).first()
-    assert a.ci_low == pytest.approx(b.ci_low, abs=0.25) and a.ci_high == pytest.approx(b.ci_high, abs=0.25)
-    assert a.ci_low < 7.9 < a.ci_high
+    a = stats.bootstrap_mean(rows.repartition(3), "v", 300, 1).first()
+    b = stats.bootstrap_mean(rows.repartition(7), "v", 300, 1).first()
+    monkeypatch.setattr(lo, "HOT_ROWS", 50)
+    split = functools.partial(lo.lay_out, hot_rows=50, run_rows=20)
+    monkeypatch.setattr(stats, "lay_out", split)
+    c = stats.bootstrap_mean(rows, "v", 300, 1).first()
+    assert a == b and a.ci_low == pytest.approx(c.ci_low, abs=1e-9) and a.ci_high == pytest.approx(c.ci_high, abs=1e-9)
+    assert 7 < a.ci_low < 7.9 < a.ci_high < 9
+
+
+def test_windows_are_tested_before_the_nearest_frame(spark):
+    onsets = spark.createDataFrame([("r", 1, 1.0), ("r", 2, 5.0)], "recording string, event_id long, t double")
+    frames = spark.createDataFrame([("r", 0, 0.5, 0, 0.0, 1.0), ("r", 1, 1.2, 1, 1.15, 1.4)],
+                                   "recording string, frame long, t double, window_index long, w_start double, w_end double")
+    got = mt.into_windows(onsets, frames, 0.01).select("event_id", "frame", "window_index").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0)]
+
+
+def test_metadata_prefers_the_stem_as_a_name(spark):
+    sheet = spark.createDataFrame([(1, "a.mp3", "x"), (2, "a", "y"), (3, "b.mp3", "z"), (4, "b.ogg", "w")], "row long, recording string, grp string")
+    names = spark.createDataFrame([("a.wav",), ("b.wav",), ("c.wav",)], "recording string")
+    got = rd.import_metadata(sheet, names, ["grp"], order="row").collect()
+    assert {r.recording: r.grp for r in got} == {"a.wav": "y", "b.wav": "z", "c.wav": "NA"}
+
+
+def test_canonical_json(spark):
+    rows = [('{"a": 1, "n": {"x": [1, {"p": 2, "q": 3}], "y": 0}}', '{"n":{"y":0,"x":[1,{"q":3,"p":2}]},"a":1}', True),
+            ('{"a":1}', '{"a":"1"}', False), ('[1,2]', '[2,1]', False), ('{"a":null}', '{}', False)]
+    df = spark.createDataFrame(rows, "one string, two string, same boolean")
+    got = df.select("same", (tx.canonical_json(F.col("one")) == tx.canonical_json(F.col("two"))).alias("found")).collect()
+    assert all(r.same == r.found for r in got)
+
+
+def test_suggested_detectors_are_registered(spark):
+    values = [(a, b, c, d) for a in (0.1, 0.9) for b in (0.1, 0.9) for c in ("harmonic", "percussive") for d in ("harmonic", "percussive", None)]
+    rows = spark.createDataFrame(values, "pos_harmonicity double, pos_sharpness double, pos_character string, neg_character string")
+    assert {r.method for r in pf.method_choice(rows).collect()} <= set(dt.DETECTORS)
+
+
+def test_streams_read_folder_tables(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("e1_change_events_streamed", "e7_incremental_reanalysis"):
+        one, many = (sorted(map(str, QUERIES[name](spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one == many
+
+
+@pytest.mark.parametrize("name", ["g2_resampled_null_distance", "g17_discriminant_resubstitution", "g17_discriminant_leave_one_out", "g19_confusion_matrix"])
+def test_no_cartesian_plan(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
