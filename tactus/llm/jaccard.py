@@ -4,9 +4,11 @@
    band hashes. Texts with equal sets are one class from here on, so thousands of copies cost one row.
 2. Band and row counts follow from the recall wanted at the similarity: a linked pair shares a band with at least
    `RECALL`. Classes are shuffled on band hashes.
-3. A bucket is never turned into pairs. Its members are compared with one pivot by signature. Jaccard distance is a
-   metric: if a member is near the pivot (a link's distance or less), members far from it (more than twice that) can't be
-   linked to it, so only buckets with far members go on, without pivot and near ones; small rests are compared whole.
+3. A bucket is never turned into pairs. Members of small buckets are compared by signature inside a task. A large bucket
+   begins with one pivot. Jaccard distance is a metric: if most members are near the pivot (a link's distance or less),
+   all that may be linked to a near one (twice that) are hung on the pivot, near ones are done, and far ones, if there
+   are any, go on with those in between. Other large buckets, as those of a passage that many texts share, are cut into
+   blocks, and pairs of blocks are compared by signature.
 4. Components of these comparisons are candidates. Every class sends its full set once to its component (large components
    are cut into blocks, and each pair of blocks is a task). There all pairs are verified on the full sets, as matrix
    products; what leaves is a count of links per class and a spanning forest, not pairs.
@@ -38,10 +40,10 @@ RECALL = 0.9999
 MOST_HASHES = 128
 #: Classes in a block of a component; a task verifies one block or a pair of blocks.
 BLOCK = 1_000
-#: Members of a bucket's rest that are compared whole.
+#: Members of a bucket that are compared whole at once; larger buckets begin with a pivot.
 SMALL = 200
-#: Similarities by signature: near is surely within a link's distance, far surely beyond twice that.
-NEAR, FAR = 0.9, 0.45
+#: Similarities by signature: near is surely within a link's distance, far surely beyond twice that; a link is surely above.
+NEAR, FAR, LINK = 0.9, 0.5, 0.6
 KEPT_WORDS = 500_000
 #: Columns of the matrices that count shared n-grams.
 COLUMNS = 4_096
@@ -142,13 +144,13 @@ def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
-    """Adds the signature similarity `s` to (bucket, key, sig, pivot, pivot_sig); signatures go."""
+    """Adds the signature similarity `s` to (key, pivot) with their signatures; signatures go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _alike(batch.column(2).to_pylist(), batch.column(4).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(s)], ["bucket", "key", "pivot", "s"])
+            s = _alike(batch.column(1).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s)], ["key", "pivot", "s"])
 
-    return pairs.select("bucket", "key", "sig", "pivot", "pivot_sig").mapInArrow(run, "bucket long, key binary, pivot binary, s double")
+    return pairs.select("key", "sig", "pivot", "pivot_sig").mapInArrow(run, "key binary, pivot binary, s double")
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -166,56 +168,48 @@ def _roots(near: np.ndarray) -> np.ndarray:
 
 
 def _whole(table: pa.Table) -> pa.Table:
-    """Links by signature inside small buckets: each member to the least one of its component."""
+    """Links by signature inside each (bucket, i, j) of a bundle: each member to the least one of its component."""
     out: tuple[list, list] = ([], [])
-    table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
-    buckets = table["bucket"].to_numpy()
+    table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
+    spot = np.stack([table[c].to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
     keys, sigs = table["key"].to_pylist(), table["sig"].to_pylist()
-    for a, b in _groups(buckets):
+    cut = np.flatnonzero(np.concatenate(([True], (spot[1:] != spot[:-1]).any(1), [True]))) if len(spot) else []
+    for a, b in zip(cut[:-1], cut[1:]):
         sig = np.frombuffer(b"".join(sigs[a:b]), np.uint8).reshape(b - a, -1)
-        for i, r in enumerate(_roots((sig[:, None, :] == sig[None, :, :]).mean(2) >= FAR)):
+        least = LINK * sig.shape[1]
+        near = np.stack([(row == sig).sum(1) >= least for row in sig])
+        for i, r in enumerate(_roots(near)):
             if i != r:
                 out[0].append(keys[a + i])
                 out[1].append(keys[a + r])
     return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["u", "v"])
 
 
-def _groups(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
-    cut = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1], [True]))) if len(sorted_values) else []
-    return zip(cut[:-1], cut[1:])
-
-
 def candidates(classes: DataFrame) -> DataFrame:
     """Edges (u, v) of classes whose signatures are alike, linear in the members of buckets."""
     rows = classes.select("key", F.explode("bands").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
-    members = stored(rows.join(least.select("bucket"), "bucket", "left_semi"), "members")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
+    members = stored(rows.join(sizes, "bucket"), "members")
     sigs = classes.select("key", "sig")
-    edges = []
-    while True:
-        pivots = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "pivots")
-        if edges:  # after the first round small rests end here
-            small = stored(members.join(pivots.filter(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi").join(sigs, "key"), "small")
-            parts = max(1, small.count() // 20_000)
-            edges.append(stored(small.select("bucket", "key", "sig", F.pmod(F.xxhash64("bucket"), F.lit(parts)).alias("part"))
-                         .groupBy("part").applyInArrow(lambda t: _whole(t), "u binary, v binary"), "alike"))
-            pivots = pivots.filter(F.col("n") > SMALL)
-            if pivots.isEmpty():
-                break
-        stars = members.join(pivots.select("bucket", "pivot"), "bucket").filter("key != pivot")
-        pairs = stored(stars.select("key", "pivot").distinct(), "pairs")
-        with_sigs = pairs.join(sigs, "key").join(sigs.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        alike = stored(_compared(with_sigs.withColumn("bucket", F.lit(0).cast("long"))).drop("bucket"), "alike")
-        edges.append(alike.filter(F.col("s") >= FAR).select(F.col("key").alias("u"), F.col("pivot").alias("v")))
-        if alike.filter(F.col("s") < FAR).isEmpty():
-            break
-        judged = stars.join(alike, ["key", "pivot"])
-        far = judged.groupBy("bucket").agg(F.min("s").alias("least")).filter(F.col("least") < FAR).select("bucket")
-        members = stored(judged.filter(F.col("s") < NEAR).select("bucket", "key").join(far, "bucket", "left_semi"), "members")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
+    stars = members.filter((F.col("n") > SMALL) & (F.col("key") != F.col("pivot")))
+    pairs = stored(stars.select("key", "pivot").distinct(), "pairs")
+    alike = stored(_compared(pairs.join(sigs, "key").join(sigs.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")), "alike")
+    judged = stored(stars.join(alike, ["key", "pivot"]), "judged")
+    # Buckets in which most are near the pivot: all that may be linked to a near one are hung on the pivot, near ones are done.
+    alike_most = judged.groupBy("bucket").agg(F.avg((F.col("s") >= NEAR).cast("double")).alias("share")).filter("share >= 0.5").select("bucket")
+    hung = stored(judged.join(alike_most, "bucket", "left_semi").select("bucket", "key", "pivot", "s"), "hung")
+    star_edges = hung.filter(F.col("s") >= FAR).select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct()
+    far = hung.groupBy("bucket").agg(F.min("s").alias("least")).filter(F.col("least") < FAR).select("bucket")
+    rest = hung.filter(F.col("s") < NEAR).join(far, "bucket", "left_semi").select("bucket", "key")
+    others = members.join(alike_most, "bucket", "left_anti").select("bucket", "key")
+    # Whatever is left is compared whole, large buckets by pairs of blocks.
+    left = stored(rest.union(others), "left")
+    blocks = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * SMALL)).cast("int").alias("blocks"))
+    placed = left.join(blocks, "bucket").join(sigs, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    bundles = left.count() // 20_000 + 1
+    bundled = placed.select("bucket", "i", "j", "key", "sig", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bundles)).alias("bundle"))
+    return star_edges.union(bundled.groupBy("bundle").applyInArrow(_whole, "u binary, v binary"))
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
