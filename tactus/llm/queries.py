@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, neighbours, sharding, suffixes, token_counts, toxicity
+from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, neighbours, oracles, sharding, suffixes, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_suffix_arrays": oracles.OP7, "op9_minhash_bands": oracles.OP9}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

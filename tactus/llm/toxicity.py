@@ -95,7 +95,7 @@ class Grammar:
         for group, s in ((INSULTS, INSULT), (THREATS, THREAT)):
             for w in group:
                 self.terms.setdefault(w.encode(), (s, 1.0))
-        self.stems = tuple(n for n in STEMS if any(len(t) == n for t in self.terms))
+        self.stems = tuple(n for n in STEMS if any(t.endswith(b"*") and len(t) == n + 1 for t in self.terms))
 
     def find(self, word: bytes) -> tuple[int, float] | None:
         """The lexicon's entry for a word: the whole word, else its longest beginning."""
