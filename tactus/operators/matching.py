@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tactus.functions.text import base_name, stem
 from tactus.layout import RUN, Layout, covered, nearest, running
 from tactus.operators.thinning import bridged, spaced
+from tactus.session import settled
 
 INFINITE = float("inf")
 
@@ -223,11 +224,14 @@ def match_names(source: DataFrame, targets: DataFrame, *, name: str = "name", or
     exact = tgt.groupBy("_n").agg(F.max("target").alias("_exact"))
     by_stem = tgt.groupBy(stem(F.col("_n")).alias("_s")).agg(F.count(F.lit(1)).alias("_k"), F.max("target").alias("_by_stem"))
     found = src.join(exact, "_n", "left").join(by_stem.filter("_k = 1").drop("_k"), "_s", "left")
-    found = found.withColumn("target", F.when(F.col("_n") != "", F.coalesce("_exact", "_by_stem")))
+    found = settled(found.select(*source.columns, F.when(F.col("_n") != "", F.coalesce("_exact", "_by_stem")).alias("target")))
     first = found.filter(F.col("target").isNotNull()).groupBy("target").agg(F.min(order).alias("_first"))
     status = (F.when(F.col("target").isNull(), "unmatched").when(F.col(order) == F.col("_first"), "matched")
               .otherwise("duplicate"))
-    return found.join(first, "target", "left").withColumn("status", status).select(*source.columns, "target", "status")
+    # Rows without a target, however many, are not joined: they would all meet at the null key.
+    known = found.filter(F.col("target").isNotNull()).join(first, "target")
+    rows = known.unionByName(found.filter(F.col("target").isNull()), allowMissingColumns=True)
+    return rows.withColumn("status", status).select(*source.columns, "target", "status")
 
 
 def merge_metadata(summaries: DataFrame, per_file: DataFrame, general: dict[str, str], fields: Sequence[str]) -> DataFrame:
