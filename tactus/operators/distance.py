@@ -91,11 +91,13 @@ def mantel(a: DataFrame, b: DataFrame, *, permutations: int = 999, seed: int = 4
 
 
 def partial_mantel(a: DataFrame, b: DataFrame, c: DataFrame, *, permutations: int = 999, seed: int = 42,
-                   alternative: str = "greater") -> DataFrame:
+                   method: str = "pearson", alternative: str = "greater") -> DataFrame:
     """Correlation of two matrices after removing the linear effect of a third; null below five pairs.
 
-    Everything follows from covariances, so each permutation is one row of sums.
+    Everything follows from covariances, so each permutation is one row of sums. `spearman` takes the ranks of all three.
     """
+    if method == "spearman":
+        a, b, c = _ranked(a), _ranked(b), _ranked(c)
     a = a.join(c.select("unit_a", "unit_b", F.col("d").alias("dc")), ["unit_a", "unit_b"])
     rows = _with_permuted(a, b, permutations, seed)
     cov = lambda x, y: F.covar_pop(x, y)

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.functions.tails import chi_square_p
+from tactus.functions.tails import chi_square_p, normal_quantile
 from tactus.operators.groups import standardised, unit_values
 
 
@@ -27,15 +27,17 @@ def _fitted(rows: DataFrame, formula: str, family: str):
     return model, names
 
 
-def regression(rows: DataFrame, formula: str, *, family: str = "gaussian") -> DataFrame:
-    """Coefficient table of a fixed-effect model: term, estimate, standard error, p-value. Text columns are
-    coded against a reference level; interactions are written a:b."""
+def regression(rows: DataFrame, formula: str, *, family: str = "gaussian", level: float = 0.95) -> DataFrame:
+    """Coefficient table of a fixed-effect model: term, estimate, standard error, p-value and normal confidence limits.
+    Text columns are coded against a reference level; interactions are written a:b."""
     model, names = _fitted(rows, formula, family)
     s = model.summary
     terms = [*names, "(Intercept)"]
     values = [*[float(v) for v in model.coefficients], float(model.intercept)]
-    table = list(zip(terms, values, [float(v) for v in s.coefficientStandardErrors], [float(v) for v in s.pValues], strict=True))
-    return rows.sparkSession.createDataFrame(table, "term string, estimate double, std_error double, p double")
+    q = normal_quantile(1 - (1 - level) / 2)
+    errors = [float(v) for v in s.coefficientStandardErrors]
+    table = [(t, v, e, float(p), v - q * e, v + q * e) for t, v, e, p in zip(terms, values, errors, s.pValues, strict=True)]
+    return rows.sparkSession.createDataFrame(table, "term string, estimate double, std_error double, p double, ci_low double, ci_high double")
 
 
 def model_comparison(rows: DataFrame, formula: str, null_formula: str, *, family: str = "gaussian") -> DataFrame:

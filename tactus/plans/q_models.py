@@ -131,6 +131,15 @@ def _(spark, sf):
     return _rounded(di.partial_mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), di.metric_distances(u, "mass"), permutations=999))
 
 
+@query("g16_partial_mantel_spearman", f"""WITH {SQL_UNITS}, {SQL_SWAP}, p2 AS (SELECT unit_a, unit_b, {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}' for c in ('dm', 'dg', 'dc'))} FROM pa),
+  {sql_permuted('dm', 'dg').replace('pa p', 'p2 p').replace('pa q', 'p2 q').replace('FROM pa)', 'FROM p2)')}, rs AS (SELECT perm, d - regr_slope(d, dc) OVER p * dc AS ra, db - regr_slope(db, dc) OVER p * dc AS rb FROM mv WINDOW p AS (PARTITION BY perm)),
+  r AS (SELECT perm, corr(ra, rb) AS r FROM rs GROUP BY 1), b AS (SELECT r AS ro FROM r WHERE perm = 0)
+  SELECT {sql_tidy('ro')} AS r_obs, {sql_tidy('(count(*) FILTER (r >= ro) + 1) / (count(*) + 1)')} AS p FROM r, b WHERE perm > 0 GROUP BY ro""")
+def _(spark, sf):
+    u = _units(spark, sf)
+    return _rounded(di.partial_mantel(di.metric_distances(u, "npvi"), di.geographic_distances(u), di.metric_distances(u, "mass"), permutations=999, method="spearman"))
+
+
 # Classification
 
 TWO = ["npvi", "cv"]
@@ -186,6 +195,14 @@ def _(spark, sf):
 
 # Models
 
+@query("g20_coefficient_limits", f"""WITH {SQL_FILES}, rg AS (SELECT count(*) AS n, regr_slope(npvi, cv) AS b, regr_intercept(npvi, cv) AS a, avg(cv) AS mx, regr_sxx(npvi, cv) AS sxx, regr_syy(npvi, cv) - regr_slope(npvi, cv) * regr_sxy(npvi, cv) AS sse FROM fm WHERE npvi IS NOT NULL AND cv IS NOT NULL),
+  ec AS (SELECT 'cv' AS term, b AS est, sqrt(sse / (n - 2) / sxx) AS se FROM rg UNION ALL SELECT '(Intercept)', a, sqrt(sse / (n - 2) * (1 / n + mx * mx / sxx)) FROM rg)
+  SELECT term, {sql_tidy('se')} AS std_error, {sql_tidy('est - 1.959963984540054 * se')} AS ci_low, {sql_tidy('est + 1.959963984540054 * se')} AS ci_high FROM ec""")
+def _(spark, sf):
+    found = models.regression(_file_metrics(spark, sf), "npvi ~ cv")
+    return found.select("term", *[tidy(c).alias(c) for c in ("std_error", "ci_low", "ci_high")])
+
+
 @query("g20_regression_coefficients", f"WITH {SQL_FILES} SELECT 'cv' AS term, {sql_tidy('regr_slope(npvi, cv)')} AS estimate FROM fm UNION ALL SELECT '(Intercept)', {sql_tidy('regr_intercept(npvi, cv)')} FROM fm")
 def _(spark, sf):
     return models.regression(_file_metrics(spark, sf), "npvi ~ cv").select("term", tidy("estimate").alias("estimate"))
