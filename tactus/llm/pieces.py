@@ -49,6 +49,9 @@ class Pieces:
         self.safe = (
             '"behavior": "Removed", "invert": true' in steps and "[^\\\\s" in steps and '"Lowercase"' in normal
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in special))
+        ends = [i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]
+        self.ends = np.zeros(max(self.library.get_vocab().values(), default=0) + 1, bool)
+        self.ends[ends] = about.get("model", {}).get("end_of_word_suffix") == "</w>"
         self.marks = sorted({t["content"].encode()[:2] for t in special})
         self.kept: dict[bytes, bytes] = {}
 
@@ -65,10 +68,13 @@ class Pieces:
             new = wanted
         cut = {p: m.groups() for p in new if p[-1] in b".,;:!?" and (m := TAIL.fullmatch(p))}
         bare = [p for p in new if p not in cut]
-        bare += {x for pair in cut.values() for x in pair}.difference(self.kept, bare)
+        bare += {x for pair in cut.values() for x in pair}.difference(self.kept, new)
         long: dict[bytes, bytes] = {}
-        for i in range(0, len(bare), BULK):
-            some = bare[i:i + BULK]
+        letters = [p for p in bare if p.isalpha() or (max(p) > 127 and p.decode("utf-8", "replace").isalpha())]
+        rest = set(bare).difference(letters)
+        for i in range(0, len(letters), BULK):
+            rest.update(self._words(letters[i:i + BULK], long))
+        for some in (list(rest)[i:i + BULK] for i in range(0, len(rest), BULK)):
             encoded = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
             for p, e in zip(some, encoded):
                 (self.kept if len(p) <= LONGEST_KEPT else long)[p] = np.array(e.ids, self.dtype).tobytes()
@@ -77,6 +83,19 @@ class Pieces:
             (self.kept if len(p) <= LONGEST_KEPT else long)[p] = ids
         return long
 
+    def _words(self, some: list[bytes], long: dict[bytes, bytes]) -> list[bytes]:
+        """Encodes pieces of letters as one text and cuts its ids at word ends; returns the pieces if the ends don't fit."""
+        encoded = self.library.encode_batch_fast([b" ".join(some).decode("utf-8", "replace")], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, np.int64)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(some) or (len(ids) and stop[-1] != len(ids)):
+            return some
+        packed, width, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+        for p, end in zip(some, (stop * width).tolist()):
+            (self.kept if len(p) <= LONGEST_KEPT else long)[p] = packed[at:end]
+            at = end
+        return []
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed in `dtype`."""
         self.prepare()
