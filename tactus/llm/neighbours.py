@@ -32,22 +32,22 @@ from pyspark.sql import functions as F
 from tactus.llm.common import stored
 
 DEGREE = 32
-MEETING = 48
-PROPOSED = 16
-LEAF = 512
+MEETING = 64
+PROPOSED = 24
+LEAF = 1_024
 LEAF_BEST = 16
-DRAWS = 5
+DRAWS = 8
 CELLS = 2
 MOST_PIVOTS = 1_024
 PIVOT_ROWS = 256
-ROUNDS = 6
+ROUNDS = 10
 #: A round that replaces less than this share of all neighbours is the last.
-SETTLED = 0.03
+SETTLED = 0.02
 BUNDLE = 1_024
 MEMBERS = 64
-EXPAND = 16
-BEAM = 128
-SEARCH_ROUNDS = 4
+EXPAND = 24
+BEAM = 192
+SEARCH_ROUNDS = 6
 ENTRIES = 4
 
 
