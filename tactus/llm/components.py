@@ -15,8 +15,8 @@ from tactus.llm.common import stored
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, both: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) rehung to the least node of u's neighbourhood."""
+def _star(both: DataFrame, large: bool) -> DataFrame:
+    """Edges (u, v) rehung to the least node of u's neighbourhood."""
     least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     hung = both.join(least, "u")
     if large:
@@ -29,14 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     tidy = lambda e: e.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(tidy(edges), "edges")
     for _ in range(MOST_ROUNDS):
-        mirrored = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(tidy(_star(edges, mirrored, True)), "edges")
-        new = stored(tidy(_star(large, large, False)), "edges")
         # in a forest of stars with the least node in the middle every node but the middle has one edge, and no middle has one
-        open_ = new.groupBy("u").count().filter("count > 1").select("u").union(new.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi"))
-        edges = new
-        if open_.isEmpty():
+        twice = edges.groupBy("u").count().filter("count > 1").select("u")
+        if twice.union(edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")).isEmpty():
             break
+        mirrored = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = stored(tidy(_star(mirrored, True)), "edges")
+        edges = stored(tidy(_star(large, False)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

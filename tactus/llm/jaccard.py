@@ -45,6 +45,8 @@ SMALL = 200
 #: Similarities by signature: near is surely within a link's distance, far surely beyond twice that; a link is surely above.
 NEAR, FAR, LINK = 0.9, 0.5, 0.6
 KEPT_WORDS = 500_000
+#: Size of the bitmap of wanted texts, a power of two.
+BITS = 1 << 24
 #: Columns of the matrices that count shared n-grams.
 COLUMNS = 4_096
 _RNG = np.random.default_rng(20240229)
@@ -258,6 +260,15 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table([pa.array(out_key, pa.binary()), pa.array(out_root, pa.binary()), pa.array(out_links, pa.int64())], ["key", "root", "links"])
 
 
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a hash column modulo `BITS`, combined in Spark: at most BITS / 64 rows reach the driver."""
+    at = F.pmod(F.col(column), F.lit(BITS).cast("long"))
+    word = rows.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64L) as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[word["word"].to_numpy()] = word["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL,
                  block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key) of all documents, and classes (key, first_id, copies, links, root, group) with copies or links.
@@ -276,18 +287,23 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     wanted = stored(sizes.join(n, "root").join(classes.select("key", "first_id", "first_hash", "copies"), "key").select(
         F.col("key").alias("wanted_key"), "first_id", "first_hash", "copies", "root", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "wanted")
 
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "first_hash"))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 4):
-                sets = [shingles(x) for x in as_bytes(part.column(4))]
-                right = [set_key(x) == k for x, k in zip(sets, part.column(0).to_pylist())]
-                grams = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], grams], ["key", "copies", "root", "blocks", "grams"]).filter(pa.array(right))
-
+            at = batch.column(1).to_numpy().view(np.uint64) % np.uint64(BITS)
+            some = batch.filter(pa.array((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1))
+            for part in slices(some, 2):
+                sets = [shingles(x) for x in as_bytes(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                                                 ["text_id", "text_hash", "key", "grams"])
+
+    # Texts that surely belong to no wanted class are left out by a bitmap of fixed size before anything is shuffled; the join decides.
     texts = docs.select(F.col("doc_id").alias("text_id"), F.xxhash64(text_col).alias("text_hash"), text_bytes(text_col).alias("raw"))
-    matched = texts.join(wanted, (F.col("text_hash") == F.col("first_hash")) & F.col("text_id").eqNullSafe(F.col("first_id"))).select(
-        "wanted_key", "copies", "root", "blocks", "raw")
-    sets = matched.mapInArrow(gather, "key binary, copies long, root binary, blocks int, grams binary").dropDuplicates(["key"])
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(gather, f"text_id {id_type}, text_hash long, key binary, grams binary")
+    matched = found.join(wanted, (F.col("key") == F.col("wanted_key")) & (F.col("text_hash") == F.col("first_hash")) & F.col("text_id").eqNullSafe(F.col("first_id")))
+    sets = matched.select("key", "copies", "root", "blocks", "grams").dropDuplicates(["key"])
     sets = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = sets.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     bundles = max(1, wanted.agg(F.sum("blocks")).first()[0] or 0) // block + 1
