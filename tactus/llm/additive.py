@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, slices, stored, text_bytes
+from tactus.llm.common import as_bytes, lean, slices, stored, text_bytes
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 40_000
@@ -177,7 +177,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "features"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(run, f"doc_id {id_type}, features array<float>")
+    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(lean(run), f"doc_id {id_type}, features array<float>")
 
 
 def train(found: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int = SAMPLE_ROWS) -> Model:
@@ -195,7 +195,7 @@ def score(found: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     id_type = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "features").mapInArrow(run, f"doc_id {id_type}, score double")
+    return found.select("doc_id", "features").mapInArrow(lean(run), f"doc_id {id_type}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             for part in slices(batch, at):
                 yield part.filter(pa.array(model.score(_matrix(as_bytes(part.column(at)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1) -> tuple[Model, DataFrame]:

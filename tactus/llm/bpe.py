@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, slices, text_bytes, vocabulary_bytes
+from tactus.llm.common import as_bytes, lean, slices, text_bytes, vocabulary_bytes
 
 #: Pieces and pre-tokens whose ids a worker keeps; the memory of a full table is released at once.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 300_000
 KEPT_PAIRS = 400_000
 #: Longer pieces are not kept.
 LONGEST_KEPT = 64
@@ -225,7 +225,7 @@ def _mapped(docs: DataFrame, column: str, kind: str, schema: str, path: str | No
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     value = text_bytes(column) if kind != "decode" else F.coalesce(F.col(column), F.lit("").cast("binary"))
-    return docs.select("doc_id", value.alias("raw")).mapInArrow(run, f"doc_id {id_type}, {schema}")
+    return docs.select("doc_id", value.alias("raw")).mapInArrow(lean(run), f"doc_id {id_type}, {schema}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", encoder: Encoder | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tactus.session import reliable_folder
 
 #: Bytes of text handled at a time inside a task; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Largest vocabulary file that is sent to all executors.
 VOCABULARY_BYTES = 64 << 20
 #: UTF-8 bytes with A-Z lowered and every ASCII byte that is no letter or digit made a space.
@@ -39,6 +40,22 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable:
+    """A task's function that leaves nothing behind in its worker: `forget` empties caches, Arrow's unused memory goes back.
+
+    Workers are kept for later stages, and their memory adds up beside the JVM's.
+    """
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+    return wrapped
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts or bytes of an Arrow column; null becomes empty."""
     if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type):

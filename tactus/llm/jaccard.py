@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tactus.llm.common import as_bytes, slices, stored, text_bytes, words
+from tactus.llm.common import as_bytes, lean, slices, stored, text_bytes, words
 from tactus.llm.components import components
 
 WORDS = 5
@@ -44,7 +44,7 @@ BLOCK = 1_000
 SMALL = 200
 #: Similarities by signature: near is surely within a link's distance, far surely beyond twice that; a link is surely above.
 NEAR, FAR, LINK = 0.9, 0.5, 0.6
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: Size of the bitmap of wanted texts, a power of two.
 BITS = 1 << 24
 #: Columns of the matrices that count shared n-grams.
@@ -80,6 +80,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def shingles(raw: bytes, n: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams."""
     found = words(raw)
@@ -134,7 +138,7 @@ def signed(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARI
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_bytes(text_col).alias("raw"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(
-        run, f"doc_id {id_type}, text_hash long, key binary, sig binary, bands array<long>")
+        lean(run, forget), f"doc_id {id_type}, text_hash long, key binary, sig binary, bands array<long>")
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -301,7 +305,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     # Texts that surely belong to no wanted class are left out by a bitmap of fixed size before anything is shuffled; the join decides.
     texts = docs.select(F.col("doc_id").alias("text_id"), F.xxhash64(text_col).alias("text_hash"), text_bytes(text_col).alias("raw"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(gather, f"text_id {id_type}, text_hash long, key binary, grams binary")
+    found = texts.mapInArrow(lean(gather, forget), f"text_id {id_type}, text_hash long, key binary, grams binary")
     matched = found.join(wanted, (F.col("key") == F.col("wanted_key")) & (F.col("text_hash") == F.col("first_hash")) & F.col("text_id").eqNullSafe(F.col("first_id")))
     sets = matched.select("key", "copies", "root", "blocks", "grams").dropDuplicates(["key"])
     sets = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -337,7 +341,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text", similarity: float = SIM
                 keys = pa.array([set_key(shingles(x)) for x in as_bytes(part.column(at))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], [*names, key])
 
-    keyed = docs.mapInArrow(add_key, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    keyed = docs.mapInArrow(lean(add_key, forget), T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
     first = keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.min_by(whole, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(f"`{text_col}`"))).alias("kept"))

@@ -27,12 +27,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, slices, text_bytes, words, work_path
+from tactus.llm.common import as_bytes, lean, slices, text_bytes, words, work_path
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Bytes of document text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Block:
@@ -249,7 +249,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
                     schema=pa.schema([pa.field("doc_id", part.column(0).type), *SCANNED]))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(run, f"doc_id {id_type}, {SCANNED_DDL}")
+    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(lean(run), f"doc_id {id_type}, {SCANNED_DDL}")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -263,4 +263,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
                 n_hit, _, _ = hits(Shard(as_bytes(part.column(at))), blocks(paths))
                 yield part.filter(pa.array(n_hit == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm.additive import bounded_labels
-from tactus.llm.common import as_bytes, slices, text_bytes, words
+from tactus.llm.common import as_bytes, lean, slices, text_bytes, words
 
 SAMPLE_ROWS = 30_000
 TERMS = 20_000
@@ -159,7 +159,7 @@ def _sampled(docs: DataFrame, chosen, text_col: str, per_slice, schema: str, nam
                     rows = per_slice([(labels[d], raw) for d, raw in zip(part.column(0).to_pylist(), as_bytes(part.column(1)))])
                     yield pa.RecordBatch.from_arrays(rows, names)
 
-    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(lean(run), schema)
 
 
 def _learn_terms(docs: DataFrame, chosen, n_toxic: int, n_clean: int, text_col: str) -> dict[bytes, tuple[int, float]]:
@@ -228,7 +228,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(worker.score(paths)), pa.array(paths[:, PATHS].astype(np.int64))], ["doc_id", "score", "n_matches"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(run, f"doc_id {id_type}, score double, n_matches long")
+    return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(lean(run), f"doc_id {id_type}, score double, n_matches long")
 
 
 def keep_clean(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -243,4 +243,4 @@ def keep_clean(docs: DataFrame, grammar: Grammar, text_col: str = "text", thresh
                 paths = np.array([worker.paths(x) for x in as_bytes(part.column(at))]).reshape(-1, PATHS + 3)
                 yield part.filter(pa.array(worker.score(paths) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
