@@ -28,3 +28,12 @@ def test_stages(spark):
 
 def test_run(spark):
     assert 0 < corpus_pipeline.run(spark, SF).count() < 200
+
+
+def test_nothing_else_imports_the_subpackage():
+    import pathlib
+
+    root = pathlib.Path(corpus_pipeline.__file__).parent
+    for file in (root / "tactus").rglob("*.py"):
+        if "llm" not in file.relative_to(root).parts:
+            assert "tactus.llm" not in file.read_text(), file
