@@ -6,10 +6,13 @@ collects a group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tactus.functions.numeric import unit_bin
 from tactus.layout import exact_quantiles, framed, lay_out, plan_layout, row_index
@@ -178,16 +181,19 @@ def display_order(groups: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def gaussian_density(rows: DataFrame, value: str, grid: Sequence[float], *, key: str = "grp", bandwidth: float | None = None) -> DataFrame:
     """Kernel density at fixed grid points; kernel width is the sample deviation times n^(-1/5) or the given factor.
 
-    Each value meets a constant number of grid points and the sums combine map-side.
+    Each value meets a constant number of grid points; a batch sends one array per key.
     """
     stats = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"))
     factor = F.lit(float(bandwidth)) if bandwidth else F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     stats = stats.filter("_n > 1 AND _s > 0").withColumn("_h", F.col("_s") * factor)
     points = rows.select(key, F.col(value).alias("_v")).filter("_v IS NOT NULL").join(stats, key)
-    points = points.withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    kernel = F.exp(-0.5 * z * z) / (F.col("_h") * F.lit(SQRT_2PI) * F.col("_n"))
-    return points.groupBy(key, "x").agg(F.sum(kernel).alias("density"))
+    xs = np.array([float(g) for g in grid])
+
+    def kernel(v: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        z = (xs - v[:, None]) / h[:, None]
+        return (np.exp(-0.5 * z * z) / (h * SQRT_2PI * n)[:, None]).sum(0)
+
+    return _cell_sums(points, key, ["_v", "_h", "_n"], {"x": xs}, kernel)
 
 
 def gaussian_density_2d(rows: DataFrame, x: str, y: str, xs: Sequence[float], ys: Sequence[float], *, factor: float,
@@ -199,9 +205,35 @@ def gaussian_density_2d(rows: DataFrame, x: str, y: str, xs: Sequence[float], ys
     f2 = factor * factor
     stats = stats.filter("_n > 2").withColumn("_det", det).filter("_det > 0")
     points = rows.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).join(stats, key)
-    points = points.withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in xs]))).withColumn(
-        "y", F.explode(F.array(*[F.lit(float(g)) for g in ys])))
-    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    quad = (F.col("_vy") * dx * dx - 2 * F.col("_c") * dx * dy + F.col("_vx") * dy * dy) / (F.col("_det") * f2)
-    kernel = F.exp(-0.5 * quad) / (F.lit(SQRT_2PI * SQRT_2PI * f2) * F.sqrt("_det") * F.col("_n"))
-    return points.groupBy(key, "x", "y").agg(F.sum(kernel).alias("density"))
+    cells = {"x": np.repeat([float(g) for g in xs], len(ys)), "y": np.tile([float(g) for g in ys], len(xs))}
+
+    def kernel(u: np.ndarray, v: np.ndarray, vx: np.ndarray, vy: np.ndarray, c: np.ndarray, det: np.ndarray, n: np.ndarray) -> np.ndarray:
+        dx, dy = cells["x"] - u[:, None], cells["y"] - v[:, None]
+        quad = (vy[:, None] * dx * dx - 2 * c[:, None] * dx * dy + vx[:, None] * dy * dy) / (det * f2)[:, None]
+        return (np.exp(-0.5 * quad) / (SQRT_2PI * SQRT_2PI * f2 * np.sqrt(det) * n)[:, None]).sum(0)
+
+    return _cell_sums(points.filter("_x IS NOT NULL AND _y IS NOT NULL"), key, ["_x", "_y", "_vx", "_vy", "_c", "_det", "_n"], cells, kernel)
+
+
+#: Kernel values (rows times cells) held at a time by a task.
+KERNEL_VALUES = 1 << 20
+
+
+def _cell_sums(points: DataFrame, key: str, columns: Sequence[str], cells: dict[str, np.ndarray], kernel: Callable[..., np.ndarray]) -> DataFrame:
+    """Density per key and grid cell: `kernel` sums some rows of a key over all cells, and one array per key leaves a batch."""
+    size = len(next(iter(cells.values())))
+    step = max(1, KERNEL_VALUES // size)
+    partial = T.StructType([points.schema[key], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            for k, part in pdf.groupby(key, sort=False):
+                values, total = [part[c].to_numpy(dtype=float) for c in columns], np.zeros(size)
+                for i in range(0, len(part), step):
+                    total += kernel(*[v[i:i + step] for v in values])
+                yield pd.DataFrame({key: [k], "_sums": [total]})
+
+    at = F.col("_cell") + 1
+    sums = points.select(key, *columns).mapInPandas(run, partial).select(key, F.posexplode("_sums").alias("_cell", "_value"))
+    places = {n: F.element_at(F.array(*[F.lit(float(g)) for g in v]), at).alias(n) for n, v in cells.items()}
+    return sums.groupBy(key, "_cell").agg(F.sum("_value").alias("density")).select(key, *places.values(), "density")
