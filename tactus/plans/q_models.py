@@ -13,7 +13,7 @@ from tactus.plans.q_frames import _regions
 from tactus.plans.q_groups import SQL_FILES, THREE, _file_metrics, _rounded
 from tactus.plans.registry import query
 from tactus.session import settled
-from tactus.sources.tables import frames, sql_tidy, table
+from tactus.sources.tables import frames, onsets, sql_tidy, table
 
 LABELS = ["low", "mid", "high"]
 _ITEM = lambda c: f"'{c}=' || CASE WHEN {c} >= quantile_cont({c}, 2 / 3) OVER () THEN 'high' WHEN {c} >= quantile_cont({c}, 1 / 3) OVER () THEN 'mid' ELSE 'low' END"
@@ -143,6 +143,20 @@ def _(spark, sf):
 # Classification
 
 TWO = ["npvi", "cv"]
+SIX = ["n_onsets", "duration_s", "npvi", "cv", "rk_entropy", "mean_ioi_ms"]
+
+
+def _six(spark, sf):
+    """Complete rows of classes with three or more, the varying ones of the six predictors standardised; and their names."""
+    t = onsets(spark, sf, split=False)
+    spans = t.groupBy("recording").agg((F.max("t") - F.min("t")).alias("duration_s"), (F.count("t") - 1).alias("_gaps"))
+    rows = _file_metrics(spark, sf).join(spans, "recording").withColumn("mean_ioi_ms", F.col("duration_s") * 1000 / F.nullif(F.col("_gaps"), F.lit(0)))
+    rows = gr.numeric_complete(rows.select("recording", "grp", "unit", *SIX), SIX).filter("grp IS NOT NULL")
+    rows = settled(gr.drop_sparse_classes(rows, "grp", 3))
+    found = gr.varying(rows, SIX)
+    return gr.standardised(rows, found), found
+
+
 # Two predictors: the pooled covariance is inverted by hand.
 SQL_LDA = f"""{SQL_FILES}, st AS (SELECT grp, count(*) AS n, avg(npvi) AS m1, avg(cv) AS m2, covar_pop(npvi, npvi) * count(*) AS s11, covar_pop(npvi, cv) * count(*) AS s12, covar_pop(cv, cv) * count(*) AS s22 FROM fm GROUP BY 1),
   pl AS (SELECT sum(s11) / (sum(n) - count(*)) + 1e-8 AS a, sum(s12) / (sum(n) - count(*)) AS b, sum(s22) / (sum(n) - count(*)) + 1e-8 AS d FROM st),
@@ -165,22 +179,34 @@ def _(spark, sf):
     return _rounded(ds.correct_rate(ds.classify(rows, "grp", TWO, mode="leave_one_out"), "grp"), "n")
 
 
+@query("g17_discriminant_resubstitution_six")
+def _(spark, sf):
+    rows, found = _six(spark, sf)
+    return ds.classify(rows, "grp", found).select("recording", "grp", "predicted")
+
+
+@query("g17_discriminant_leave_one_out_six")
+def _(spark, sf):
+    rows, found = _six(spark, sf)
+    return _rounded(ds.correct_rate(ds.classify(rows, "grp", found, mode="leave_one_out"), "grp"), "n")
+
+
 @query("g17_discriminant_by_folds")
 def _(spark, sf):
-    rows = _file_metrics(spark, sf).select("recording", "grp", *THREE)
-    return _rounded(ds.correct_rate(ds.classify(rows, "grp", THREE, mode="kfold", prior="empirical"), "grp"), "n")
+    rows, found = _six(spark, sf)
+    return _rounded(ds.correct_rate(ds.classify(rows, "grp", found, mode="kfold", prior="empirical"), "grp"), "n")
 
 
 @query("g18_discriminant_permutation_test")
 def _(spark, sf):
-    rows = _file_metrics(spark, sf).select("recording", "grp", "unit", *TWO)
-    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=999, mode="leave_one_out"), "n", "n_classes")
+    rows, found = _six(spark, sf)
+    return _rounded(ds.permutation_test(rows, "grp", found, permutations=999, mode="leave_one_out"), "n", "n_classes")
 
 
 @query("g18_unit_level_permutation_test")
 def _(spark, sf):
-    rows = _file_metrics(spark, sf).select("recording", "grp", "unit", *TWO)
-    return _rounded(ds.permutation_test(rows, "grp", TWO, permutations=999, unit="unit"), "n", "n_classes")
+    rows, found = _six(spark, sf)
+    return _rounded(ds.permutation_test(rows, "grp", found, permutations=999, unit="unit"), "n", "n_classes")
 
 
 @query("g19_confusion_matrix", f"""WITH {SQL_LDA} SELECT grp, {', '.join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in SEGMENTS)} FROM pd GROUP BY 1""")
@@ -188,9 +214,16 @@ def _(spark, sf):
     return ds.confusion(ds.classify(_file_metrics(spark, sf).select("recording", "grp", *TWO), "grp", TWO), "grp", SEGMENTS)
 
 
+@query("g19_confusion_matrix_six")
+def _(spark, sf):
+    rows, found = _six(spark, sf)
+    return ds.confusion(ds.classify(rows, "grp", found), "grp", SEGMENTS)
+
+
 @query("g19_discriminant_loadings")
 def _(spark, sf):
-    return ds.loadings(_file_metrics(spark, sf), "grp", THREE)
+    rows, found = _six(spark, sf)
+    return ds.loadings(rows, "grp", found)
 
 
 # Models

@@ -32,3 +32,34 @@ def test_density_sums_equal_brute_force(spark, monkeypatch):
         d = xy - (r.x, r.y)
         want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)).mean() / (2 * math.pi * math.sqrt(np.linalg.det(cov)))
         assert abs(r.density - want) < 1e-9
+
+
+def _brute_force(x, y, classes):
+    means = np.array([x[y == c].mean(0) for c in classes])
+    within = sum((x[y == c] - m).T @ (x[y == c] - m) for c, m in zip(classes, means)) / (len(x) - len(classes))
+    return means, np.linalg.pinv(within + 1e-8 * np.eye(x.shape[1]))
+
+
+def test_discriminants_use_six_predictors(spark):
+    from tactus.plans.q_models import SIX
+    from tactus.sources.tables import grouping, onsets
+
+    run = lambda name: entry.queries()[name](spark, SF).toPandas()
+    assert len(SIX) == 6 and list(run("g19_discriminant_loadings")["feature"]) == SIX
+    rows = run("a1_a2_rhythm_summaries").merge(grouping(spark, SF).toPandas(), on="recording")
+    times = onsets(spark, SF, split=False).toPandas().groupby("recording")["t"].apply(np.sort)
+    rows["duration_s"] = [times[r][-1] - times[r][0] for r in rows["recording"]]
+    rows["mean_ioi_ms"] = [np.diff(times[r]).mean() * 1000 for r in rows["recording"]]
+    rows = rows.dropna(subset=[*SIX, "grp"])
+    rows = rows[rows.groupby("grp")["grp"].transform("size") >= 3]
+    x, y = rows[SIX].to_numpy(float), rows["grp"].to_numpy()
+    x, classes = (x - x.mean(0)) / x.std(0), sorted(set(y))
+    pick = lambda v, means, inv: classes[np.argmax([m @ inv @ v - m @ inv @ m / 2 for m in means])]
+    model = _brute_force(x, y, classes)
+    found = run("g17_discriminant_resubstitution_six").set_index("recording")["predicted"]
+    assert dict(found) == {r: pick(v, *model) for r, v in zip(rows["recording"], x)}
+    left = [pick(x[i], *_brute_force(np.delete(x, i, 0), np.delete(y, i), classes)) == y[i] for i in range(len(x))]
+    loo = run("g17_discriminant_leave_one_out_six").iloc[0]
+    assert loo["n"] == len(x) and abs(loo["ccr"] - np.mean(left)) < 1e-6
+    table = run("g19_confusion_matrix_six").set_index("grp")
+    assert all(table.loc[c, p] == ((y == c) & (found[rows["recording"]].to_numpy() == p)).sum() for c in classes for p in classes)
