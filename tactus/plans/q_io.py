@@ -314,12 +314,12 @@ def _(spark, sf):
     windows = rows.select("recording", "window_index", "w_start", "w_end", "w_frames").distinct()
     events = fr.event_intervals(fr.selection_onsets(_selected(spark, sf), HOP_SEC))
     docs = wr.analysis_payload(profiles.selection_bounds(fr.with_bounds(_selected(spark, sf), HOP_SEC)), windows, events)
-    return docs.select("recording", "window_index", F.get_json_object("document", "$.w_frames").cast("long").alias("n_frames"))
+    return docs.filter("line = 0").select("recording", "window_index", F.get_json_object("document", "$.w_frames").cast("long").alias("n_frames"))
 
 
 @query("k10_region_manifests", f"WITH {SQL_FRAMES}, {SQL_FREG} SELECT recording, polarity, 'base' AS layer, count(*)::INT AS n_regions FROM rg GROUP BY 1, 2")
 def _(spark, sf):
-    return wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).drop("document", "part")
+    return wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).filter("line = 0").drop("document", "line")
 
 
 @query("k11_asset_publish", """WITH c AS (SELECT p_partkey AS id, 'rev-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS r, p_size, p_name FROM part), e AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 49)

@@ -169,32 +169,31 @@ def write_lines(lines: DataFrame, path: str, *, order: Sequence[str], column: st
     rows.select("recording", F.col(column).alias("value")).write.mode(mode).partitionBy("recording").text(path)
 
 
-DOCUMENT_ROWS = 10_000
-
-
-def _in_parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds `part`: consecutive blocks of at most DOCUMENT_ROWS rows of a key, so that documents stay of bounded size."""
-    rows = row_index(lay_out(rows, keys, order[0]), keys, order, "_i")
-    return plain(rows.withColumn("part", F.floor((F.col("_i") - 1) / DOCUMENT_ROWS).cast("int")).drop("_i"))
+def _lined(rows: DataFrame, by: Sequence[str], order: Sequence[str], head: DataFrame, fields: Sequence[str], *kept: str) -> DataFrame:
+    """A document as lines: `head` (keys, kept columns, document) as line 0, then one line per row in order; no row holds a whole key."""
+    rows = plain(row_index(lay_out(rows, by, order[0]), by, order, "line"))
+    lines = rows.select(*by, F.col("line").cast("long").alias("line"), F.to_json(F.struct(*fields)).alias("document"))
+    return head.withColumn("line", F.lit(0).cast("long")).select(*by, "line", *kept, "document").unionByName(lines, allowMissingColumns=True)
 
 
 def analysis_payload(bounds: DataFrame, windows: DataFrame, events: DataFrame) -> DataFrame:
-    """Analysis of a selection as JSON documents: bounds, window and its events, one document per window and part."""
+    """Analysis of a selection as JSON: per window a header with its bounds as line 0, then a line for each of its events."""
     by = ["recording", "window_index"]
-    inside = _in_parts(events.drop(RUN), by, ["t", "frame"]).groupBy(*by, "part").agg(F.sort_array(F.collect_list(
-        F.struct("t", "frame", "strength", "threshold", "ioi_sec"))).alias("onset_events"))
-    rows = windows.join(inside, by, "left").fillna(0, ["part"]).join(bounds, "recording")
+    rows = windows.join(bounds, "recording")
     body = [c for c in rows.columns if c != "recording"]
-    return rows.select(*by, "part", F.to_json(F.struct("recording", *body)).alias("document"))
+    head = rows.select(*by, F.to_json(F.struct("recording", *body)).alias("document"))
+    inside = events.drop(RUN).join(windows.select(*by), by, "left_semi")
+    return _lined(inside, by, ["t", "frame"], head, ["t", "frame", "strength", "threshold", "ioi_sec"])
 
 
 def region_manifests(regions: DataFrame) -> DataFrame:
-    """Saved-selection documents per recording, polarity and layer (and part), with the regions in time order."""
+    """Saved selections per recording, polarity and layer: a header with the number of regions as line 0, then a line for each in time order."""
     by = ["recording", "polarity", "layer"]
-    rows = _in_parts(regions, by, ["t_start", "t_end", "f_low", "f_high"]).groupBy(*by, "part").agg(
-        F.sort_array(F.collect_list(F.struct("t_start", "t_end", "f_low", "f_high"))).alias("regions"))
-    return rows.select(*by, "part", F.size("regions").alias("n_regions"), F.to_json(F.struct(
-        F.lit(1).alias("version"), F.col("recording").alias("source_file"), "polarity", F.col("layer").alias("layer_name"), "regions")).alias("document"))
+    head = regions.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_regions"))
+    head = head.select(*by, "n_regions", F.to_json(F.struct(F.lit(1).alias("version"), F.col("recording").alias("source_file"), "polarity",
+                                                            F.col("layer").alias("layer_name"), "n_regions")).alias("document"))
+    place = ["t_start", "t_end", "f_low", "f_high"]
+    return _lined(regions, by, place, head, place, "n_regions")
 
 
 def publish_assets(catalog: DataFrame, entries: DataFrame, *, revision: int, expected: int | None = None) -> tuple[DataFrame, int]:

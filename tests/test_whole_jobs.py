@@ -63,3 +63,22 @@ def test_discriminants_use_six_predictors(spark):
     assert loo["n"] == len(x) and abs(loo["ccr"] - np.mean(left)) < 1e-6
     table = run("g19_confusion_matrix_six").set_index("grp")
     assert all(table.loc[c, p] == ((y == c) & (found[rows["recording"]].to_numpy() == p)).sum() for c in classes for p in classes)
+
+
+def test_documents_have_one_header_at_any_size(spark):
+    from pyspark.sql import functions as F
+    from tactus.sources import writers as wr
+
+    n = 10_001
+    place = [(F.col("id") * k).cast("double").alias(c) for k, c in enumerate(("t_start", "t_end", "f_low", "f_high"), 1)]
+    found = wr.region_manifests(spark.range(n).select(F.lit("a").alias("recording"), F.lit("positive").alias("polarity"), F.lit("base").alias("layer"), *place))
+    assert [r.n_regions for r in found.filter("line = 0").collect()] == [n]
+    lines = found.filter("line > 0").select("line", F.get_json_object("document", "$.t_start").cast("double").alias("t")).orderBy("line").collect()
+    assert [(r.line, r.t) for r in lines] == [(i + 1, float(i)) for i in range(n)]
+    windows = spark.createDataFrame([("a", 0, 5), ("a", 1, 7)], "recording string, window_index long, w_frames long")
+    events = spark.range(n).select(F.lit("a").alias("recording"), F.lit(0).cast("long").alias("window_index"), F.col("id").cast("double").alias("t"), F.col("id").alias("frame"),
+                                   *[F.lit(1.0).alias(c) for c in ("strength", "threshold", "ioi_sec")])
+    docs = wr.analysis_payload(spark.createDataFrame([("a", 0.5)], "recording string, low double"), windows, events)
+    heads = {r.window_index: r.document for r in docs.filter("line = 0").collect()}
+    assert heads == {0: '{"recording":"a","window_index":0,"w_frames":5,"low":0.5}', 1: '{"recording":"a","window_index":1,"w_frames":7,"low":0.5}'}
+    assert docs.count() == n + 2
