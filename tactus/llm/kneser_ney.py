@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers that score.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by the workers that score.
 
 * Words are 64-bit hashes. Map tasks count them in sorted arrays and send one packed array per range of hash values;
   reducers merge the arrays into sorted files. A word's number is its rank over these files.
@@ -6,6 +6,10 @@
   context's followers are counted in one place; contexts with more than a share of a bucket are spread by the whole key.
 * Reducers also send, per word number, how many followers were seen once, twice and more often, and how many different
   words precede it; these become dense arrays.
+* Order 3 numbers bigrams by their place over all bigram files. A trigram's key is the number of its first two words and
+  the number of its last; keys go to buckets by the bigram, hot ones spread as above. Reducers send followers per bigram
+  and how many words precede each bigram; the latter, summed by first word, give the middle order its totals. A text
+  begins after two begin marks.
 * Scoring tasks map the files and look up each distinct word and bigram of a slice by bisection in sorted order, so
   reading is sequential and memory is that of a slice. A store other than a disk is read file by file instead.
 
@@ -31,7 +35,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, slices, stored, text_bytes, work_path
+from tactus.llm.common import as_bytes, lean, slices, stored, text_bytes, work_path
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KEPT_WORDS = 400_000
@@ -129,7 +133,7 @@ def _counted(docs: DataFrame, keys_of: Callable, bucket_of: Callable) -> DataFra
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(lean(run, _forget), PACKED)
 
 
 def _save(folder: str, name: str, columns: dict[str, np.ndarray]) -> str:
@@ -143,6 +147,13 @@ def _save(folder: str, name: str, columns: dict[str, np.ndarray]) -> str:
     return f"{folder}/{file_name}"
 
 
+def _forget() -> None:
+    _OPEN.clear()
+    _WORDS.clear()
+
+
+#: Mapped bytes above which a worker lets its files go.
+MAPPED_BYTES = 32 << 20
 #: Mapped files of this worker.
 _OPEN: dict[str, tuple[np.ndarray, ...]] = {}
 
@@ -151,6 +162,8 @@ def columns_of(uri: str) -> tuple[np.ndarray, ...]:
     """The columns of a file: views of mapped memory on a disk, read whole from other stores (one at a time)."""
     if uri in _OPEN:
         return _OPEN[uri]
+    if sum(c.nbytes for held in _OPEN.values() for c in held) > MAPPED_BYTES:
+        _OPEN.clear()
     store, path = pafs.FileSystem.from_uri(uri)
     local = isinstance(store, pafs.LocalFileSystem)
     with pa.memory_map(path) if local else store.open_input_file(path) as source:
@@ -234,6 +247,62 @@ def _power_bits(n: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1, n)))))
 
 
+def _by_bucket(found: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(found, kind="stable")
+    edges = np.searchsorted(found[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if edges[b] < edges[b + 1]:
+            yield b, order[edges[b]:edges[b + 1]]
+
+
+def _counts(files: dict[int, tuple[str, str]], found: np.ndarray, buckets: int, keys: np.ndarray) -> np.ndarray:
+    """Counts of sorted keys in the files of their buckets."""
+    out = np.zeros(len(keys), np.int64)
+    for b, at in _by_bucket(found, buckets):
+        if b not in files:
+            continue
+        path, large = files[b]
+        stored_keys, counts = columns_of(path)
+        place, there = _find(stored_keys, keys[at])
+        if len(counts):
+            out[at] = np.where(there, counts[place], 0)
+        if (full := at[out[at] == 255]).size:
+            large_keys, large_counts = columns_of(large)
+            place, there = _find(large_keys, keys[full])
+            if len(large_counts):
+                out[full] = np.where(there, large_counts[place], 255)
+    return out
+
+
+def _dense(files: dict[int, str], span: int, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The four columns of dense arrays at sorted numbers."""
+    out = tuple(np.zeros(len(number), np.int64) for _ in range(4))
+    spans = number // span
+    for s in np.unique(spans):
+        if s in files:
+            a, z = np.searchsorted(spans, (s, s + 1))
+            for o, column in zip(out, columns_of(files[s])):
+                o[a:z] = column[number[a:z] - s * span]
+    return out
+
+
+def _joined(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    return head.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64)
+
+
+@dataclass
+class Upper:
+    """Third order: trigram files, dense arrays per bigram, and per first word of the middle order."""
+
+    files: dict[int, tuple[str, str]]
+    hot: np.ndarray
+    dense: dict[int, str]  # followers of a bigram seen once, twice, more often, and words before it
+    heads: dict[int, str]  # bigrams of a first word with one, two, more words before them, and the sum of these words
+    bigrams: int
+    discounts: tuple[float, float, float]
+    middle: tuple[float, float, float]
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -247,38 +316,45 @@ class Model:
     low_discounts: tuple[float, float, float]
     low_share: float
     span: int = SPAN
+    bases: dict[int, int] | None = None
+    sizes: dict[int, int] | None = None
+    upper: Upper | None = None
 
     def dense_of(self, number: np.ndarray) -> tuple[np.ndarray, ...]:
         """Followers seen once, twice, more often, and preceding words, of sorted word numbers."""
-        out = tuple(np.zeros(len(number), np.int64) for _ in range(4))
-        spans = number // self.span
-        for s in np.unique(spans):
-            if s in self.dense:
-                a, z = np.searchsorted(spans, (s, s + 1))
-                for o, column in zip(out, columns_of(self.dense[s])):
-                    o[a:z] = column[number[a:z] - s * self.span]
-        return out
+        return _dense(self.dense, self.span, number)
 
     def counts_of(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted bigram keys."""
-        out = np.zeros(len(keys), np.int64)
-        buckets = _bucket_of(keys, self.buckets, self.hot)
-        order = np.argsort(buckets, kind="stable")
-        edges = np.searchsorted(buckets[order], np.arange(self.buckets + 1))
-        for b, (path, large) in self.files.items():
-            at = order[edges[b]:edges[b + 1]]
-            if len(at):
-                stored_keys, counts = columns_of(path)
-                place, there = _find(stored_keys, keys[at])
-                if len(counts):
-                    out[at] = np.where(there, counts[place], 0)
-                if (full := at[out[at] == 255]).size:
-                    large_keys, large_counts = columns_of(large)
-                    place, there = _find(large_keys, keys[full])
-                    if len(large_counts):
-                        out[full] = np.where(there, large_counts[place], 255)
+        return _counts(self.files, _bucket_of(keys, self.buckets, self.hot), self.buckets, keys)
+
+    def ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted bigram keys, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for b, at in _by_bucket(_bucket_of(keys, self.buckets, self.hot), self.buckets):
+            if b in self.files:
+                place, there = _find(columns_of(self.files[b][0])[0], keys[at])
+                out[at] = np.where(there, self.bases[b] + place, -1)
         return out
 
+    def keys_of(self, ranks: np.ndarray) -> np.ndarray:
+        """Bigram keys of sorted numbers below the number of bigrams."""
+        out = np.zeros(len(ranks), np.uint64)
+        for b, (path, _) in self.files.items():
+            a, z = np.searchsorted(ranks, (self.bases[b], self.bases[b] + self.sizes[b]))
+            if a < z:
+                out[a:z] = columns_of(path)[0][ranks[a:z] - self.bases[b]]
+        return out
+
+    def ranked(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The word before each token, and number (or -1) and count of the bigram that the token ends."""
+        before = _bigrams(number, lengths, self.vocabulary.words)
+        rank, count = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
+        both = np.flatnonzero((before >= 0) & (number >= 0))
+        keys, back = np.unique(_joined(before[both], number[both]), return_inverse=True)
+        rank[both], count[both] = self.ranks_of(keys)[back], self.counts_of(keys)[back]
+        return before, rank, count
+
     def low(self, preceding: np.ndarray) -> np.ndarray:
         """p(w) from the number of different words before w."""
         share = self.low_share / (self.vocabulary.words + 1)
@@ -297,6 +373,9 @@ class Model:
         preceding = np.zeros(len(number), np.int64)
         preceding[number >= 0] = self.dense_of(known)[3][at]
         p = self.low(preceding)
+        if self.upper:
+            self.raise_order(p, number, lengths)
+            return lengths, total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
         begin = v
         before = _bigrams(number, lengths, begin)
         context = np.where(before == begin, self.documents, np.concatenate(([0], count[:-1])) if len(count) else count)
@@ -313,6 +392,32 @@ class Model:
         return lengths, total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
 
 
+    def raise_order(self, p: np.ndarray, number: np.ndarray, lengths: np.ndarray) -> None:
+        """Makes p(w) the trigram model's p, in place."""
+        up = self.upper
+        before, rank, count = self.ranked(number, lengths)
+        ends, at = np.unique(rank[rank >= 0], return_inverse=True)
+        preceding = np.zeros(len(number), np.int64)
+        preceding[rank >= 0] = _dense(up.dense, self.span, ends)[3][at]
+        _mix(p, before, _dense, (up.heads, self.span), None, preceding, up.middle)
+        pair, context = _bigrams(rank, lengths, up.bigrams), _bigrams(count, lengths, self.documents)
+        follows = np.zeros(len(number), np.int64)
+        both = np.flatnonzero((pair >= 0) & (number >= 0))
+        keys, back = np.unique(_joined(pair[both], number[both]), return_inverse=True)
+        follows[both] = _counts(up.files, _bucket_of(keys, self.buckets, up.hot), self.buckets, keys)[back]
+        _mix(p, pair, _dense, (up.dense, self.span), context, follows, up.discounts)
+
+
+def _mix(p: np.ndarray, head: np.ndarray, look_up: Callable, where: tuple, context: np.ndarray | None, follows: np.ndarray, d: tuple[float, float, float]) -> None:
+    """One more order, in place, where the head is known; without `context` the dense arrays' last column is the total."""
+    heads, at = np.unique(head[head >= 0], return_inverse=True)
+    once, twice, more, last = (x[at] for x in look_up(*where, heads))
+    total = last if context is None else context[head >= 0]
+    some = np.flatnonzero(head >= 0)[total > 0]
+    once, twice, more, total = (x[total > 0] for x in (once, twice, more, total))
+    p[some] = np.maximum(follows[some] - _discount(follows[some], d), 0) / total + (d[0] * once + d[1] * twice + d[2] * more) / total * p[some]
+
+
 def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3)]
 
@@ -368,8 +473,10 @@ def count_words(train: DataFrame, folder: str) -> tuple[Vocabulary, np.ndarray,
     return Vocabulary(bits, files, base, sum(r["total"] for r in rows)), np.array(often, np.int64).reshape(-1, 2), sum(r["ends"] for r in rows)
 
 
-def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder: str | None = None, span: int = SPAN) -> Model:
-    """Counts the documents for which `chosen` holds."""
+def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder: str | None = None, span: int = SPAN, order: int = 2) -> Model:
+    """Counts the documents for which `chosen` holds; `order` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     folder = folder or work_path(docs.sparkSession, "bigrams")
     train = docs.filter(chosen).select(text_bytes(text_col).alias("raw"))
     vocabulary, often, documents = count_words(train, folder)
@@ -384,24 +491,28 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
         return _bigrams(number, lengths, begin).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
 
     packed = _counted(train, keys_of, lambda keys: _bucket_of(keys, buckets, hot))
-    sums = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("large", pa.string()), ("n", pa.list_(pa.int64())), ("span", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
+    sums = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("large", pa.string()), ("n", pa.list_(pa.int64())), ("span", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("place", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    sums_type = "bucket int, path string, large string, n array<long>, span int, kind int, ids binary, values binary, place array<long>, times array<long>"
+
+    def span_rows(kind: int, ids: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+        for s in np.unique(ids // span):
+            a, z = np.searchsorted(ids, (s * span, (s + 1) * span))
+            yield {"span": int(s), "kind": kind, "ids": _planes(np.diff(ids[a:z] - s * span, prepend=0).astype(np.uint32)), "values": _planes(n[a:z].astype(np.uint32))}
 
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
         b = table["bucket"][0].as_py()
         path, large = _counts_file(folder, f"bigrams-{b}", keys, counts)
-        out = [{"bucket": b, "path": path, "large": large, "n": [*_times(counts).values(), len(keys)]}]
+        top = np.argsort(-counts, kind="stable")[:64]
+        out = [{"bucket": b, "path": path, "large": large, "n": [*_times(counts).values(), len(keys)], "place": top.tolist(), "times": counts[top].tolist()}]
         head, tail = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         kinds = [*[(k, head[counts == k + 1 if k < 2 else counts > 2]) for k in range(3)], (3, tail)]
         for kind, ids in kinds:
-            ids, n = np.unique(ids, return_counts=True)
-            for s in np.unique(ids // span):
-                a, z = np.searchsorted(ids, (s * span, (s + 1) * span))
-                out.append({"span": int(s), "kind": kind, "ids": _planes(np.diff(ids[a:z] - s * span, prepend=0).astype(np.uint32)), "values": _planes(n[a:z].astype(np.uint32))})
+            out += span_rows(kind, *np.unique(ids, return_counts=True))
         return _rows(out, sums)
 
     found = stored(packed.groupBy("bucket").applyInArrow(
-        merge, "bucket int, path string, large string, n array<long>, span int, kind int, ids binary, values binary"), "bigrams")
+        merge, sums_type), "bigrams")
 
     def gather(table: pa.Table) -> pa.Table:
         dense = np.zeros((4, span), np.int64)
@@ -412,16 +523,70 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
         path = _save(folder, f"dense-{s}", {k: v for k, v in zip(("once", "twice", "more", "preceding"), dense.astype(np.uint32))})
         return pa.table({"span": pa.array([s], pa.int32()), "path": [path], "n": [list(_times(dense[3][:used]).values())], "above": [int((dense[3] > 2).sum())]})
 
-    files = found.filter(F.col("bucket").isNotNull()).select("bucket", "path", "large", "n").collect()
-    spans = stored(found.filter(F.col("span").isNotNull()).select("span", "kind", "ids", "values").groupBy("span").applyInArrow(
-        gather, "span int, path string, n array<long>, above long"), "dense").collect()
+    files = found.filter(F.col("bucket").isNotNull()).select("bucket", "path", "large", "n", "place", "times").orderBy("bucket").collect()
+    gathered = lambda rows, name: stored(rows.filter(F.col("span").isNotNull()).select("span", "kind", "ids", "values").groupBy("span").applyInArrow(
+        gather, "span int, path string, n array<long>, above long"), name)
+    spans = gathered(found, "dense").collect()
     sums_of = lambda rows, k: [sum(r["n"][i] for r in rows) for i in range(k)]
     n, low = sums_of(files, 5), sums_of(spans, 4)
     low_discounts = _discounts(low)
     above = sum(r["above"] for r in spans)
     share = (low_discounts[0] * low[0] + low_discounts[1] * low[1] + low_discounts[2] * above) / n[4] if n[4] else 1.0
-    return Model(vocabulary, buckets, hot, {r["bucket"]: (r["path"], r["large"]) for r in files}, {r["span"]: r["path"] for r in spans},
-                 documents, n[4], _discounts(n[:4]), low_discounts, share, span)
+    bases, base = {}, 0
+    for r in files:
+        bases[r["bucket"]] = base
+        base += r["n"][4]
+    model = Model(vocabulary, buckets, hot, {r["bucket"]: (r["path"], r["large"]) for r in files}, {r["span"]: r["path"] for r in spans},
+                  documents, n[4], _discounts(n[:4]), low_discounts, share, span, bases, {r["bucket"]: r["n"][4] for r in files})
+    if order == 2:
+        return model
+    if base > MOST_WORDS:
+        raise ValueError("more different bigrams than 32-bit numbers")
+    often = [(bases[r["bucket"]] + p, c) for r in files for p, c in zip(r["place"], r["times"])] + [(base, documents)]
+    hot_pairs = np.array(sorted(p for p, c in often if c > most), np.uint64)
+
+    def trigrams_of(raw: list[bytes]) -> np.ndarray:
+        number, _, lengths = _numbered(raw, vocabulary)
+        return _joined(_bigrams(model.ranked(number, lengths)[1], lengths, base), number)
+
+    def merge_trigrams(table: pa.Table) -> pa.Table:
+        keys, counts = _unpacked(table)
+        b = table["bucket"][0].as_py()
+        path, large = _counts_file(folder, f"trigrams-{b}", keys, counts)
+        out = [{"bucket": b, "path": path, "large": large, "n": [*_times(counts).values(), len(keys)]}]
+        pair, last = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        for kind in range(3):
+            out += span_rows(kind, *np.unique(pair[counts == kind + 1 if kind < 2 else counts > 2], return_counts=True))
+        middle = np.full(len(keys), begin, np.uint64)
+        middle[pair < base] = model.keys_of(pair[pair < base]) & np.uint64(0xFFFFFFFF)
+        ends, n = np.unique(_joined(middle, last), return_counts=True)
+        ranks = model.ranks_of(ends)
+        by = np.argsort(ranks)
+        return _rows([*out, *span_rows(3, ranks[by], n[by])], sums)
+
+    def by_first_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([f for f in sums if f.name in ("span", "kind", "ids", "values")])
+        for batch in batches:
+            for s, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ranks = np.arange(s * span, min((s + 1) * span, base))
+                before = columns_of(path)[3][:len(ranks)].astype(np.int64)
+                head = (model.keys_of(ranks) >> np.uint64(32)).astype(np.int64)
+                out = []
+                for kind, held in enumerate((before == 1, before == 2, before > 2)):
+                    out += span_rows(kind, *np.unique(head[held], return_counts=True))
+                ids, at = np.unique(head, return_inverse=True)
+                out += span_rows(3, ids, np.bincount(at, before, len(ids)).astype(np.int64))
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    counted = stored(_counted(train, trigrams_of, lambda keys: _bucket_of(keys, buckets, hot_pairs)).groupBy("bucket").applyInArrow(
+        merge_trigrams, sums_type), "trigrams")
+    top = counted.filter(F.col("bucket").isNotNull()).select("bucket", "path", "large", "n").collect()
+    pairs = gathered(counted, "pairs")
+    held = pairs.collect()
+    heads = gathered(pairs.select("span", "path").mapInArrow(by_first_word, "span int, kind int, ids binary, values binary"), "heads").collect()
+    model.upper = Upper({r["bucket"]: (r["path"], r["large"]) for r in top}, hot_pairs, {r["span"]: r["path"] for r in held},
+                        {r["span"]: r["path"] for r in heads}, base, _discounts(sums_of(top, 4)), _discounts(sums_of(held, 4)))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -436,4 +601,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_bytes(text_col).alias("raw")).mapInArrow(
-        run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+        lean(run, _forget), f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")

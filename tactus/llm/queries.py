@@ -65,7 +65,7 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and base scores of every whole text; rows with remainder 2 are held out from counting."""
     docs = table(spark, sf_dir, "documents")
     held_out = _held_out(7, 2)
-    model = kneser_ney.train_model(docs, ~held_out)
+    model = kneser_ney.train_model(docs, ~held_out, order=3)
     found = kneser_ney.score(docs, model)
     return found.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
