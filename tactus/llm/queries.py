@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import additive, arrow_files, bpe, jaccard, kneser_ney, neighbours, oracles, sharding, suffixes, token_counts, toxicity
+from tactus.llm import (additive, arrow_files, bpe, codes, collocations, jaccard, kneser_ney, neighbours, oracles, sharding, suffixes, token_counts,
+                        toxicity, vantage)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op7_suffix_arrays": oracles.OP7, "op9_minhash_bands": oracles.OP9}
+ORACLES: dict[str, str] = {"op7_suffix_arrays": oracles.OP7, "op9_minhash_bands": oracles.OP9, "op12_limb_codes": oracles.OP12,
+                           "op13_partitioned_phrases": oracles.OP13}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -104,3 +106,25 @@ def op9_minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows with the largest inner product to every row whose id is divisible by 20."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op11_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints are linked by at most two differing bits."""
+    return vantage.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op12_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, with the errors they leave."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = codes.fit(vectors)
+    coded = codes.with_label_error(codes.encode(vectors, model, keep=("label",)))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(model.digest() if model else None).alias("codebooks_sha256"))
+
+
+@query
+def op13_partitioned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
