@@ -1,7 +1,7 @@
 """Greedy spacing rules: each row is compared with the last row *kept*, not with its neighbour.
 
-A gap larger than the spacing always starts afresh whatever happened before. That makes the rule local to
-stretches without such a gap, and lets runs of one long recording be scanned apart with a one-row carry.
+Small keys are folded inside the JVM, larger ones scanned in Arrow batches, and oversized keys run by run through
+transition maps (`chains`). Rows without a time take no part in a spacing or bridging rule.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tactus.layout import RUN, as_list
+from tactus.operators.chains import Bridging, Spacing, chained, scanned
 from tactus.session import reliable_folder
 
 FOLD_ROWS = 4_000
@@ -40,19 +41,6 @@ def _spaced_in_arrays(df: DataFrame, keys, t, gap, inclusive, strength, ties) ->
         *[c for c in df.columns if c != RUN])
 
 
-def _scan_bridge(times, gaps, base, dup, start):
-    """Accept rows near the fixed set or the last accepted row, but not closer than `dup` to either."""
-    done: list[int] = []
-    open_row, last = (-1, start) if start is not None else (None, None)
-    for i, now in enumerate(times):
-        dist = base[i] if last is None else min(base[i], now - last)
-        if dup < dist <= gaps[i]:
-            if open_row is not None and open_row >= 0:
-                done.append(open_row)
-            open_row, last = i, now
-    return done, open_row
-
-
 def _scan_dips(levels, valleys, dip, start, start_low):
     """Keep maxima parted by a dip on both sides, else the louder one. Also returns the lowest level since the open row."""
     done: list[int] = []
@@ -70,28 +58,19 @@ def _scan_dips(levels, valleys, dip, start, start_low):
     return done, open_row, low
 
 
-def _scan(times, gaps, strengths, inclusive, start, start_strength):
-    """Scan one ordered stretch. Row -1 stands for the carried row. Returns finished rows and the open one."""
-    done: list[int] = []
-    open_row = -1 if start is not None else None
-    last, last_s = start, start_strength
-    for i, now in enumerate(times):
-        if open_row is None:
-            open_row, last, last_s = i, now, strengths[i] if strengths is not None else None
-            continue
-        dist = now - last
-        if dist >= gaps[i] if inclusive else dist > gaps[i]:
-            done.append(open_row)
-            open_row, last, last_s = i, now, strengths[i] if strengths is not None else None
-        elif strengths is not None and strengths[i] > last_s:
-            open_row, last, last_s = i, now, strengths[i]
-    return done, open_row
+def _in_runs(df: DataFrame, keys: list[str], rule: Spacing | Bridging, ties: list[str]) -> DataFrame:
+    """Kept rows: keys in run 0 are scanned whole, divided keys through transition maps."""
+    if RUN not in df.columns:
+        return scanned(df, keys, rule, ties)
+    kept = scanned(df.filter(F.col(RUN) == 0).drop(RUN), keys, rule, ties)
+    hot = df.filter(F.col(RUN) > 0)
+    return kept if hot.isEmpty() else kept.unionByName(chained(hot, keys, rule, ties))
 
 
-def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=None, dip=None) -> DataFrame:
-    """Ordered Arrow scans per (key, run); the open row of each run is carried into the key's next run.
+def _parted_in_runs(df: DataFrame, keys: list[str], order: str, fresh: str, level: str, dip: float) -> DataFrame:
+    """Ordered Arrow scans per (key, run); the open maximum of each run is carried into the key's next run.
 
-    Pass 1 finds each run's closing row. A run that contains a wide gap closes the same way whatever came
+    Pass 1 finds each run's closing row. A run that contains a deep valley closes the same way whatever came
     before. The rare runs without one are settled in order, all keys at once. Pass 2 scans every run from the
     carried row. Only boundary rows travel between the passes.
     """
@@ -106,34 +85,20 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
 
     def ordered(pdf: pd.DataFrame):
         rows = pd.DataFrame.from_records(pdf["_row"].tolist(), columns=columns)
-        return rows.sort_values([t, *ties], kind="stable").reset_index(drop=True)
+        return rows.sort_values([order], kind="stable").reset_index(drop=True)
 
     def scan(rows: pd.DataFrame, carry):
-        times = rows[t].tolist()
-        strengths = rows[strength].tolist() if strength else None
-        if dip is not None:
-            done, last, low = _scan_dips(strengths, rows["_valley"].tolist(), dip, carry[strength] if carry else None,
-                                         carry["_valley"] if carry else None)
-            if last is not None and last >= 0:
-                rows.loc[last, "_valley"] = low
-            elif carry:
-                carry["_valley"] = low
-            return done, last
-        gaps = rows[gap].tolist() if isinstance(gap, str) else [float(gap)] * len(times)
-        if dup is not None:
-            return _scan_bridge(times, gaps, strengths, dup, carry[t] if carry else None)
-        return _scan(times, gaps, strengths, inclusive, carry[t] if carry else None,
-                     carry[strength] if carry and strength else None)
+        done, last, low = _scan_dips(rows[level].tolist(), rows["_valley"].tolist(), dip, carry[level] if carry else None,
+                                     carry["_valley"] if carry else None)
+        if last is not None and last >= 0:
+            rows.loc[last, "_valley"] = low
+        elif carry:
+            carry["_valley"] = low
+        return done, last
 
     def last_reset(rows: pd.DataFrame) -> int:
         """Last row at which the rule starts afresh whatever came before; 0 without one."""
-        if dip is not None:
-            fresh = rows[gap].astype(bool)
-        else:
-            step = rows[t].diff()
-            limit = rows[gap] if isinstance(gap, str) else float(gap)
-            fresh = step >= limit if inclusive else step > limit
-        at = fresh.iloc[1:].to_numpy().nonzero()[0]
+        at = rows[fresh].astype(bool).iloc[1:].to_numpy().nonzero()[0]
         return int(at[-1]) + 1 if len(at) else 0
 
     def pick(rows: pd.DataFrame, i: int | None, carry):
@@ -161,8 +126,7 @@ def _spaced_in_runs(df: DataFrame, keys, t, gap, inclusive, strength, ties, dup=
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, carry, done, last = carried(pdf)
-        final = bool(pdf["_final"].iloc[0]) if dup is None else last is not None and last >= 0
-        wanted = done + ([last] if final else [])
+        wanted = done + ([last] if bool(pdf["_final"].iloc[0]) else [])
         if not wanted:
             return pd.DataFrame()
         return pd.DataFrame.from_records([pick(rows, i, carry) for i in wanted], columns=columns)
@@ -210,22 +174,22 @@ def spaced(df: DataFrame, keys: str | Sequence[str], t: str, gap: float | str, *
     """Rows kept by the greedy spacing rule.
 
     A row is kept when its distance from the last kept row is >= gap (> gap if not `inclusive`). With `strength`
-    a closer row replaces the last kept one when it is strictly stronger. `gap` may name a column.
+    a closer row replaces the last kept one when it is strictly stronger. `gap` may name a column of one value per key.
     Small keys are folded inside the JVM; the array copy is quadratic, so larger keys use ordered Arrow scans,
     divided by run when the key is oversized. `at_most` is a known bound of the rows per key, which spares the count.
     """
-    keys, ties = as_list(keys), list(ties)
+    keys, ties, df = as_list(keys), list(ties), df.filter(F.col(t).isNotNull())
     if fold_rows:
         if _largest(df, keys, at_most, fold_rows) <= fold_rows:
             return _spaced_in_arrays(df, keys, t, gap, inclusive, strength, ties)
-    return _spaced_in_runs(df, keys, t, gap, inclusive, strength, ties)
+    return _in_runs(df, keys, Spacing(t, gap, inclusive, strength), ties)
 
 
 def parted_by_dips(df: DataFrame, keys: str | Sequence[str], order: str, level: str, fresh: str, dip: float) -> DataFrame:
     """Maxima (rows with their level and `_valley`, the lowest level since the previous one) parted by dips of at least
     `dip` on both sides; otherwise the louder stays. `fresh` names a flag for valleys that any maximum clears.
     """
-    return _spaced_in_runs(df, as_list(keys), order, fresh, True, level, [], dip=dip)
+    return _parted_in_runs(df, as_list(keys), order, fresh, level, dip)
 
 
 def bridged(df: DataFrame, keys: str | Sequence[str], t: str, base: str, dup: float, reach: float, *,
@@ -234,9 +198,9 @@ def bridged(df: DataFrame, keys: str | Sequence[str], t: str, base: str, dup: fl
 
     `base` holds the distance to the fixed set (infinity when it is empty).
     """
-    keys, ties = as_list(keys), list(ties)
+    keys, ties, df = as_list(keys), list(ties), df.filter(F.col(t).isNotNull())
     if not fold_rows or _largest(df, keys, at_most, fold_rows) > fold_rows:
-        return _spaced_in_runs(df, keys, t, reach, False, base, ties, dup)
+        return _in_runs(df, keys, Bridging(t, base, dup, reach), ties)
     rest = [c for c in df.columns if c not in {*keys, t, *ties, RUN}]
     grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(t, *ties, *rest))).alias("_rows"))
 

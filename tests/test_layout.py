@@ -231,3 +231,31 @@ def test_nuclei_of_long_stretches(rows):
                 kept[-1] = j
         want += [(name, v[i][0]) for i in kept if v[i][2]]
     assert sorted(map(tuple, a.collect())) == sorted(want)
+
+
+def jobs_of(spark, name, make):
+    spark.sparkContext.setJobGroup(name, name)
+    made = make().collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_grow_with_the_logarithm_of_the_runs(spark):
+    """One key without any wide gap: every run depends on the one before."""
+    n = 1_200
+    one = spark.range(n).select(F.lit("k").alias("recording"), F.col("id").alias("event_id"), (F.col("id") * 0.1).alias("t"))
+    counts = {}
+    for runs in (8, 64):
+        marked = one.withColumn(lo.RUN, F.floor(F.col("event_id") * runs / n).cast("long") + 1)
+        kept, counts[runs] = jobs_of(spark, f"spacing-{runs}", lambda m=marked: spaced(m, "recording", "t", 0.25, ties=["event_id"], fold_rows=0))
+        assert sorted(r.event_id for r in kept) == list(range(0, n, 3))
+    assert counts[64] < counts[8] + 3 * 14  # three more doublings, not 56 more runs
+
+
+def test_a_gap_that_spans_many_runs(spark):
+    rows = spark.range(600).select(F.lit(None).cast("string").alias("recording"), F.col("id").alias("event_id"), (F.col("id") * 1.0).alias("t"), (F.col("id") * 7 % 600).cast("double").alias("strength"))
+    marked = rows.withColumn(lo.RUN, F.floor(F.col("event_id") / 10).cast("long") + 1)
+    kept = spaced(marked, "recording", "t", 200.0, ties=["event_id"], fold_rows=0).collect()
+    assert sorted(r.event_id for r in kept) == [0, 200, 400]
+    same(spaced(marked, "recording", "t", 95.0, inclusive=False, strength="strength", ties=["event_id"], fold_rows=0),
+         spaced(rows, "recording", "t", 95.0, inclusive=False, strength="strength", ties=["event_id"]))
