@@ -19,7 +19,7 @@ count are settled by the phrase's bytes. An empty table gives an empty result. E
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ SUPPORT = 30
 LONGEST = 4
 TOP = 2_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 32 << 20
 #: Size of the bitmap of candidates, a power of two.
 BITS = 1 << 25
 #: A phrase goes if a longer one around it has this share of its count.
@@ -43,8 +43,8 @@ SCALE = 2_000_000
 #: A to Z lowered, tabs to blanks, marks and line ends that end a piece to line feeds.
 PIECE_BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Phrases sent at a time.
-SENT = 50_000
+#: Phrases sent at a time, and positions sorted at a time.
+SENT, PART = 50_000, 1 << 20
 
 
 class _Numbers(dict):
@@ -53,67 +53,67 @@ class _Numbers(dict):
         return n
 
 
-def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """(words, numbers): the words of the texts in order, as numbers from 1; 0 ends a piece."""
-    numbers, out = _Numbers({b"\n": 0, b"": 1}), []
-    for raw in texts:
-        found = raw.translate(PIECE_BYTES).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-        out += [ids[ids != 1], np.zeros(1, np.int32)]
-    return list(numbers), np.concatenate(out) if out else np.zeros(0, np.int32)
-
-
 def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     h = (h ^ w) * PRIME
     return h ^ (h >> np.uint64(29))
 
 
 class Shard:
-    """The phrases of a shard, one length after the other."""
+    """The phrases of a shard, one length after the other.
+
+    Words are numbered in order of their first occurrence; `ids` holds the texts' words as numbers, 0 where a piece ends.
+    """
 
-    def __init__(self, texts: list[bytes]):
-        self.words, self.ids = numbered(texts)
+    def __init__(self, texts: Iterable[bytes]):
+        numbers, out = _Numbers({b"\n": 0, b"": 1}), []
+        for raw in texts:
+            found = raw.translate(PIECE_BYTES).replace(b"\n", b" \n ").split(b" ")
+            ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+            out += [ids[ids != 1], np.zeros(1, np.int32)]
+        self.words, self.ids = list(numbers), np.concatenate(out) if out else np.zeros(0, np.int32)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
     def mine(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, first position, hash, count) of each length's different phrases for which `wanted(hash, count)` holds.
+        """(length, first position, hash, count) of different phrases for which `wanted(hash, count)` holds, some at a time.
 
-        Only phrases whose beginning is wanted are looked at.
+        Only phrases whose beginning is wanted are looked at. Phrases are handled in parts by the number of their beginning.
         """
-        # `at`: positions where a phrase of the length starts; `of`: the number of the phrase there
-        at = np.flatnonzero(self.ids)
-        of = self.ids[at].astype(np.int64)
+        # `at`: positions where a phrase of the length starts; `of`: the number of its beginning there
+        at = np.flatnonzero(self.ids).astype(np.int32)
+        of = np.zeros(len(at), np.int32)
         for n in range(1, LONGEST + 1):
-            if n > 1:
-                last = self.ids[np.minimum(at + n - 1, len(self.ids) - 1)]
-                whole = (last > 0) & (at + n <= len(self.ids))
-                at, of = at[whole], of[whole] * len(self.words) + last[whole]
+            last = self.ids[np.minimum(at + (n - 1), len(self.ids) - 1)]
+            whole = (last > 0) & (at + (n - 1) < len(self.ids))
+            at, of, last = at[whole], of[whole], last[whole]
             if not len(at):
                 return
-            order = np.argsort(of, kind="stable")
-            key = of[order]
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.append(start, len(key)))
-            first = at[order[start]]
-            h = self.hashes[self.ids[first]] * PRIME
-            for k in range(1, n):
-                h = _mixed(h, self.hashes[self.ids[first + k]])
-            some = wanted(h, count)
-            yield n, first[some], h[some], count[some]
-            number = np.where(some, np.cumsum(some) - 1, -1)
-            of = np.empty(len(at), np.int64)
-            of[order] = np.repeat(number, count)
-            going = of >= 0
-            at, of = at[going], of[going]
+            number, parts, going, numbers = 0, -(-len(at) // PART), [], []
+            side = (last if n == 1 else of) % parts
+            for part in range(parts):
+                mine = np.flatnonzero(side == part)
+                key = of[mine].astype(np.int64) * len(self.words) + last[mine]
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[:len(key)])
+                count = np.diff(np.append(start, len(key)))
+                first = at[mine[order[start]]]
+                h = self.hashes[self.ids[first]] * PRIME
+                for k in range(1, n):
+                    h = _mixed(h, self.hashes[self.ids[first + k]])
+                some = wanted(h, count)
+                yield n, first[some], h[some], count[some]
+                if n < LONGEST:
+                    new = np.repeat(np.where(some, number + np.cumsum(some) - 1, -1), count)
+                    going.append(mine[order[new >= 0]].astype(np.int32))
+                    numbers.append(new[new >= 0].astype(np.int32))
+                    number += int(some.sum())
+            if n < LONGEST:
+                at, of = at[np.concatenate(going)], np.concatenate(numbers)
 
     def phrase(self, start: int, n: int) -> bytes:
         return b" ".join([self.words[i] for i in self.ids[start:start + n].tolist()])
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [x for chunk in table["raw"].chunks for x in chunk.to_pylist()]
-
-
 def _shards(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: int) -> DataFrame:
     """(lang, shards, shard, raw) of all texts that are not empty."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_bytes(text_col).alias("raw")).filter(F.length("raw") > 0)
@@ -140,22 +140,28 @@ def _mined(rows: DataFrame, support: int, bitmap: Broadcast | None = None) -> Da
 
     Without a bitmap a row of length 0 holds the number of the shard's words.
     """
-    def run(table: pa.Table) -> pa.Table:
-        lang, shards = table["lang"][0].as_py(), table["shards"][0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, about = np.uint64(BITS - 1), []
+
+        def texts() -> Iterator[bytes]:
+            for batch in batches:
+                about[:] = about or [batch.column(0)[0].as_py(), batch.column(1)[0].as_py()]
+                for i in range(batch.num_rows):
+                    yield batch.column(3)[i].as_py()
+
+        shard = Shard(texts())
+        lang, shards = about
         least = -(-support // shards)
-        shard = Shard(_texts(table))
-        at = np.uint64(BITS - 1)
         wanted = (lambda h, count: count >= least) if bitmap is None else (
             lambda h, count: (bitmap.value[(h & at) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)) == 1)
-        out = []
         if bitmap is None:
-            out.append(pa.RecordBatch.from_pylist([{"lang": lang, "shards": shards, "n": 0, "phrase": "", "hash": 0, "count": int((shard.ids > 0).sum())}], schema=FOUND))
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "shards": shards, "n": 0, "phrase": "", "hash": 0, "count": int((shard.ids > 0).sum())}], schema=FOUND)
         for n, first, h, count in shard.mine(wanted):
             some = np.full(len(count), True) if bitmap is None else count < least
-            out += _sent(shard, lang, shards, n, first[some], h[some], count[some])
-        return pa.Table.from_batches(out, schema=FOUND)
+            yield from _sent(shard, lang, shards, n, first[some], h[some], count[some])
+        pa.default_memory_pool().release_unused()
 
-    return rows.groupBy("lang", "shard").applyInArrow(run, "lang string, shards int, n int, phrase string, hash long, count long")
+    return rows.select("lang", "shards", "shard", "raw").groupBy("lang", "shard").applyInArrow(run, "lang string, shards int, n int, phrase string, hash long, count long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:

@@ -188,6 +188,8 @@ def brute_phrases(rows, support=30, top=2_000):
 @pytest.mark.parametrize("shard_bytes", [1 << 26, 2_500, 600])
 def test_collocations(spark, texts, shard_bytes, monkeypatch):
     """One shard a language; several, with candidates to be counted again; more shards than the support."""
+    monkeypatch.setattr(collocations, "PART", 300)
+    monkeypatch.setattr(collocations, "SENT", 70)
     rng = random.Random(8)
     rows = [r for r in texts if len(r[1] or "") < 10_000]
     rows += [(500 + i, " ".join(rng.choice(["red fox", "Red  Fox ran", "ran off.", "red\tfox ran home", "home; the", "é\\x"]) for _ in range(rng.randint(1, 9))), rng.choice(["fr", "es", None])) for i in range(250)]
