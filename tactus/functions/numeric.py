@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +108,19 @@ def wide_draw(seed: int, rep: Column, item: Column) -> Column:
     return draw(seed, rep, item) * F.lit(DRAW_MODULUS).cast("long") + draw(seed + 1, rep, item)
 
 
+def wide_draw_array(seed: int, rep: int, item: np.ndarray) -> np.ndarray:
+    """The same numbers as `wide_draw` for an int64 array of items."""
+    def stir(x):
+        return (x * (x + DRAW_OFFSET)) % DRAW_MODULUS
+
+    def one(seed: int) -> np.ndarray:
+        a = stir((seed + rep * 104_729) % DRAW_MODULUS)
+        b = stir((a + item * 1_299_709) % DRAW_MODULUS)
+        return stir((stir((b + a) % DRAW_MODULUS) + item) % DRAW_MODULUS)
+
+    return one(seed) * DRAW_MODULUS + one(seed + 1)
+
+
 def wide_draw_sql(seed: int, rep: str, item: str) -> str:
     return f"({draw_sql(seed, rep, item)} * {DRAW_MODULUS} + {draw_sql(seed + 1, rep, item)})"
 

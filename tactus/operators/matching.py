@@ -261,16 +261,19 @@ def add_missing_columns(summaries: DataFrame, extra: DataFrame, key: str = "reco
     return summaries.join(slim, key, "left")
 
 
-def unit_pairs(units: DataFrame, unit: str, columns: Sequence[str], tiles: int = 8) -> DataFrame:
+def unit_pairs(units: DataFrame, unit: str, columns: Sequence[str], tile_units: int = 2_000) -> DataFrame:
     """All unordered pairs of units, a < b: the rows of a distance matrix.
 
-    Units are split into tiles by hash; every pair of tiles meets in one equi-join bucket, so the work divides
-    evenly. The result has n(n-1)/2 rows by definition; units are aggregates such as species or sites.
+    Units are dealt into tiles of about `tile_units` by hash, so the number of tiles follows their count. Every pair of
+    tiles x <= y is one key of an equi-join; no pair is built twice. The result has n(n-1)/2 rows by definition; units
+    are aggregates such as species or sites.
     """
-    tile = F.pmod(F.hash(unit), F.lit(tiles))
-    one = units.select(F.col(unit).alias("unit_a"), *[F.col(c).alias(f"{c}_a") for c in columns], tile.alias("_ta"))
-    two = units.select(F.col(unit).alias("unit_b"), *[F.col(c).alias(f"{c}_b") for c in columns], tile.alias("_tb"))
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    one = one.withColumn("_tb", F.explode(every))
-    two = two.withColumn("_ta", F.explode(every))
-    return one.join(two, ["_ta", "_tb"]).filter("unit_a < unit_b").drop("_ta", "_tb")
+    tiles = max(1, -(-units.count() // tile_units))
+    body = units.select(F.struct(F.col(unit).alias("unit"), *columns).alias("_u"), F.pmod(F.xxhash64(unit), F.lit(tiles)).cast("int").alias("_t"))
+    low = body.select(F.col("_u").alias("_one"), F.col("_t").alias("_x"), F.explode(F.sequence(F.col("_t"), F.lit(tiles - 1))).alias("_y"))
+    high = body.select(F.col("_u").alias("_two"), F.col("_t").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_x"))
+    pairs = low.join(high, ["_x", "_y"]).filter(F.when(F.col("_x") == F.col("_y"), F.col("_one.unit") < F.col("_two.unit")).otherwise(F.col("_one.unit") != F.col("_two.unit")))
+    turned = F.col("_one.unit") > F.col("_two.unit")
+    pairs = pairs.select(F.when(turned, F.col("_two")).otherwise(F.col("_one")).alias("_a"), F.when(turned, F.col("_one")).otherwise(F.col("_two")).alias("_b"))
+    return pairs.select("_a.unit", "_b.unit", *[x for c in columns for x in (f"_a.{c}", f"_b.{c}")]).toDF(
+        "unit_a", "unit_b", *[x for c in columns for x in (f"{c}_a", f"{c}_b")])
