@@ -1,17 +1,19 @@
 """Phrase collocations by partitioned mining: each shard is mined alone at a proportionally lower support.
 
-1. Texts are dealt into shards of bounded size, each of one language, evenly whatever the texts are. A language of k
-   shards needs support `SUPPORT`; a phrase that has it reaches ceil(SUPPORT / k) in at least one shard.
+1. Texts are dealt into shards of bounded size, each of one language, evenly whatever the texts are; a shard is the whole
+   of a task (tasks of small languages hold several). A language of k shards needs support `SUPPORT`: shards get supports
+   whose excesses over one add up to `SUPPORT` - 1, so a phrase that has it reaches the support of at least one shard.
 2. A shard is mined completely at that support, word by word longer: words become the shard's own numbers, a phrase is
    the pair (number of its beginning, last word), and only beginnings that are frequent enough in the shard go on.
    Frequent phrases leave the task with their count; nothing else does.
-3. The union adds the counts. A shard that did not send a phrase holds it less often than its support, which bounds the
-   phrase's whole count from above: phrases whose bound is too low are dropped, those that all shards sent (or
-   whose shards' support is one) are exact already.
+3. The union adds the counts. Phrases that all shards sent, or all shards whose support is above one, are exact already.
 4. The other candidates are counted in the shards that did not send them. A bitmap of fixed size, built in Spark, keeps
    most other phrases in the tasks; the join on the phrase itself decides. The sum is the exact count.
 5. Scores and containment are joins of the frequent phrases with each other.
 
+The support is a fixed number, so beyond 30 shards of a language most shards' support is one: mining then is counting
+with all equal phrases of a shard combined before the shuffle, still exact.
+
 Pieces end at . , ; : ! ? and line ends (LF, VT, FF, CR); words are runs without blanks and tabs, A-Z lowered. Null,
 empty and blank texts have no words. A null language counts as `und`. Repeated rows count each time. Ties in score and
 count are settled by the phrase's bytes. An empty table gives an empty result. Extra columns are not read.
@@ -19,7 +21,7 @@ count are settled by the phrase's bytes. An empty table gives an empty result. E
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ SUPPORT = 30
 LONGEST = 4
 TOP = 2_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 40 << 20
 #: Size of the bitmap of candidates, a power of two.
 BITS = 1 << 25
 #: A phrase goes if a longer one around it has this share of its count.
@@ -64,14 +66,20 @@ class Shard:
     Words are numbered in order of their first occurrence; `ids` holds the texts' words as numbers, 0 where a piece ends.
     """
 
-    def __init__(self, texts: Iterable[bytes]):
-        numbers, out = _Numbers({b"\n": 0, b"": 1}), []
-        for raw in texts:
-            found = raw.translate(PIECE_BYTES).replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-            out += [ids[ids != 1], np.zeros(1, np.int32)]
-        self.words, self.ids = list(numbers), np.concatenate(out) if out else np.zeros(0, np.int32)
+    def __init__(self):
+        self.numbers, self.texts = _Numbers({b"\n": 0, b"": 1}), []
+
+    def add(self, raw: bytes) -> None:
+        found = raw.translate(PIECE_BYTES).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+        self.texts += [ids[ids != 1], np.zeros(1, np.int32)]
+
+    def closed(self) -> Shard:
+        """The shard, ready to be mined."""
+        self.words, self.ids = list(self.numbers), np.concatenate(self.texts)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.numbers, self.texts = _Numbers(), []
+        return self
 
     def mine(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, first position, hash, count) of different phrases for which `wanted(hash, count)` holds, some at a time.
@@ -114,54 +122,77 @@ class Shard:
         return b" ".join([self.words[i] for i in self.ids[start:start + n].tolist()])
 
 
-def _shards(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: int) -> DataFrame:
-    """(lang, shards, shard, raw) of all texts that are not empty."""
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_bytes(text_col).alias("raw")).filter(F.length("raw") > 0)
-    sizes = rows.groupBy("lang").agg(F.ceil(F.sum(F.length("raw")) / shard_bytes).cast("int").alias("shards"))
-    sizes = stored(sizes, "shards")
-    return rows.join(sizes, "lang").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards")).cast("int"))
-
-
-FOUND = pa.schema([("lang", pa.string()), ("shards", pa.int32()), ("n", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("count", pa.int64())])
+def _shards(docs: DataFrame, text_col: str, lang_col: str, support: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """(lang, shard, excess, part, raw) of all texts that are not empty, and the number of parts (tasks).
 
-
-def _sent(shard: Shard, lang: str, shards: int, n: int, first: np.ndarray, h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    `excess` is a shard's support less one.
+    """
+    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_bytes(text_col).alias("raw")).filter(F.length("raw") > 0)
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("raw")).alias("bytes"))
+    sizes = sizes.withColumn("shards", F.ceil(F.col("bytes") / shard_bytes).cast("int"))
+    # a language of several shards takes a part for each; languages of one shard share parts of about its size
+    several = F.when(F.col("shards") > 1, F.col("shards")).otherwise(0)
+    along = Window.partitionBy(F.lit(0)).orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)  # a row per language
+    small = F.floor(F.coalesce(F.sum(F.when(F.col("shards") == 1, F.col("bytes")).otherwise(0)).over(along), F.lit(0)) / shard_bytes)
+    sizes = sizes.withColumns({"_own": F.coalesce(F.sum(several).over(along), F.lit(0)), "_small": small})
+    own = sizes.agg(F.sum(several).alias("n")).select(F.coalesce("n", F.lit(0)).alias("_all"))
+    sizes = stored(sizes.join(F.broadcast(own)).select("lang", "shards", F.when(F.col("shards") > 1, F.col("_own")).otherwise(F.col("_all") + F.col("_small")).alias("first")), "shards")
+    parts = sizes.agg(F.max(F.col("first") + F.col("shards"))).first()[0] or 1
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards"))
+    up_to = lambda k: F.floor(k * F.lit(support - 1) / F.col("shards"))
+    rows = rows.join(sizes, "lang").withColumn("shard", shard.cast("int"))
+    return rows.select("lang", "shard", (up_to(F.col("shard") + 1) - up_to(F.col("shard"))).cast("int").alias("excess"), (F.col("first") + F.col("shard")).cast("int").alias("part"), "raw"), parts
+
+
+FOUND = pa.schema([("lang", pa.string()), ("excess", pa.int32()), ("n", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("count", pa.int64())])
+
+
+def _sent(shard: Shard, lang: str, excess: int, n: int, first: np.ndarray, h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(first), SENT):
         part = slice(i, i + SENT)
         size = len(first[part])
         phrases = pa.array([shard.phrase(k, n) for k in first[part].tolist()], pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * size, pa.string()), pa.array(np.full(size, shards, np.int32)), pa.array(np.full(size, n, np.int32)), phrases,
+            [pa.array([lang] * size, pa.string()), pa.array(np.full(size, excess, np.int32)), pa.array(np.full(size, n, np.int32)), phrases,
              pa.array(h[part].view(np.int64)), pa.array(count[part].astype(np.int64))], schema=FOUND)
 
 
-def _mined(rows: DataFrame, support: int, bitmap: Broadcast | None = None) -> DataFrame:
-    """Phrases of each shard: those that reach its support, or those of the bitmap that don't.
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Shard]]:
+    """(lang, excess, shard) of the shards in a task."""
+    found: dict[tuple[str, int], tuple[int, Shard]] = {}
+    for batch in batches:
+        lang, number, excess, _, raw = batch.columns
+        for i in range(batch.num_rows):
+            key = lang[i].as_py(), number[i].as_py()
+            if key not in found:
+                found[key] = excess[i].as_py(), Shard()
+            found[key][1].add(raw[i].as_py())
+    while found:
+        (lang, _), (excess, shard) = found.popitem()
+        yield lang, excess, shard.closed()
 
-    Without a bitmap a row of length 0 holds the number of the shard's words.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, about = np.uint64(BITS - 1), []
-
-        def texts() -> Iterator[bytes]:
-            for batch in batches:
-                about[:] = about or [batch.column(0)[0].as_py(), batch.column(1)[0].as_py()]
-                for i in range(batch.num_rows):
-                    yield batch.column(3)[i].as_py()
-
-        shard = Shard(texts())
-        lang, shards = about
-        least = -(-support // shards)
-        wanted = (lambda h, count: count >= least) if bitmap is None else (
-            lambda h, count: (bitmap.value[(h & at) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)) == 1)
-        if bitmap is None:
-            yield pa.RecordBatch.from_pylist([{"lang": lang, "shards": shards, "n": 0, "phrase": "", "hash": 0, "count": int((shard.ids > 0).sum())}], schema=FOUND)
-        for n, first, h, count in shard.mine(wanted):
-            some = np.full(len(count), True) if bitmap is None else count < least
-            yield from _sent(shard, lang, shards, n, first[some], h[some], count[some])
-        pa.default_memory_pool().release_unused()
-
-    return rows.select("lang", "shards", "shard", "raw").groupBy("lang", "shard").applyInArrow(run, "lang string, shards int, n int, phrase string, hash long, count long")
+
+def _mined(rows: DataFrame, parts: int) -> DataFrame:
+    """Phrases that reach the support of a shard. A row of length 0 holds the number of the shard's words."""
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, excess, shard in _by_shard(batches):
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "excess": excess, "n": 0, "phrase": "", "hash": 0, "count": int((shard.ids > 0).sum())}], schema=FOUND)
+            for n, first, h, count in shard.mine(lambda h, count: count > excess):
+                yield from _sent(shard, lang, excess, n, first, h, count)
+
+    return rows.repartitionById(parts, "part").mapInArrow(lean(mine), "lang string, excess int, n int, phrase string, hash long, count long")
+
+
+def _counted(rows: DataFrame, parts: int, bitmap: Broadcast) -> DataFrame:
+    """Phrases of the bitmap that did not reach the support of a shard."""
+    def count_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.uint64(BITS - 1)
+        for lang, excess, shard in _by_shard(batches):
+            for n, first, h, count in shard.mine(lambda h, _: (bitmap.value[(h & at) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)) == 1):
+                low = count <= excess
+                yield from _sent(shard, lang, excess, n, first[low], h[low], count[low])
+
+    return rows.repartitionById(parts, "part").mapInArrow(lean(count_again), "lang string, excess int, n int, phrase string, hash long, count long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -178,20 +209,18 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", su
 
     A row of n = 0 per language holds the number of its words.
     """
-    rows = _shards(docs, text_col, lang_col, shard_bytes)
-    least = F.ceil(F.lit(support) / F.col("shards"))
-    union = _mined(rows, support).groupBy("lang", "n", "phrase").agg(
-        F.sum("count").alias("seen"), F.count(F.lit(1)).alias("sent"), F.first("shards").alias("shards"), F.first("hash").alias("hash"))
-    # a shard that did not send a phrase holds it less often than its support
-    candidates = stored(union.filter((F.col("n") == 0) | (F.col("seen") + (F.col("shards") - F.col("sent")) * (least - 1) >= support)), "candidates")
-    settled = (F.col("n") == 0) | (F.col("sent") == F.col("shards")) | (least == 1)
+    rows, parts = _shards(docs, text_col, lang_col, support, shard_bytes)
+    union = _mined(rows, parts).groupBy("lang", "n", "phrase").agg(F.sum("count").alias("seen"), F.sum("excess").alias("excess"), F.first("hash").alias("hash"))
+    # what the shards that did not send a phrase hold of it is at most the sum of their excesses: never enough alone
+    candidates = stored(union, "candidates")
+    settled = (F.col("n") == 0) | (F.col("excess") == support - 1)
     exact = candidates.filter(settled).select("lang", "n", "phrase", F.col("seen").alias("f"))
     open_ = candidates.filter(~settled)
     if open_.isEmpty():
         return stored(exact.filter((F.col("n") == 0) | (F.col("f") >= support)), "frequent")
     # beginnings of candidates are candidates, so the bitmap of all of them leads to each
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates.filter((F.col("n") > 0) & (least > 1)).select("hash")))
-    rest = _mined(rows.filter(least > 1), support, bitmap)
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates.filter("n > 0").select("hash")))
+    rest = _counted(rows.filter("excess > 0"), parts, bitmap)
     rest = rest.join(open_.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("lang", "phrase").agg(F.sum("count").alias("others"))
     counted = open_.join(rest, ["lang", "phrase"], "left").select("lang", "n", "phrase", (F.col("seen") + F.coalesce("others", F.lit(0))).alias("f"))
     return stored(exact.union(counted).filter((F.col("n") == 0) | (F.col("f") >= support)), "frequent")
