@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import as_bytes, lean, slices, text_bytes, vocabulary_bytes
 
-#: Pieces and pre-tokens whose ids a worker keeps; the memory of a full table is released at once.
-KEPT_PIECES = 300_000
+#: Pieces and pre-tokens whose ids a worker keeps, half of them of the last generation.
+KEPT_PIECES = 800_000
 KEPT_PAIRS = 400_000
 #: Longer pieces are not kept.
 LONGEST_KEPT = 64
@@ -90,16 +90,22 @@ class PerfectHash:
 
 
 class Bounded(dict):
-    """A dictionary that fills missing entries by a function and starts afresh when it is full."""
+    """A dictionary that fills missing entries by a function.
+
+    When half of the entries are used it becomes the last generation, whose entries come back when they are met again.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.last = make, most // 2, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
         if key.__class__ is int or len(key) <= LONGEST_KEPT:
             if len(self) >= self.most:
+                self.last = self.copy()
                 self.clear()
             self[key] = value
         return value
@@ -125,6 +131,9 @@ class Encoder:
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.bytes_of = [self.whole.get(bytes([b])) for b in range(256)]
         self.pairs = Bounded(self._pair, KEPT_PAIRS)
+        found = [self.whole.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        #: The rank of two neighbouring bytes joined, by (first byte, second byte).
+        self.of_bytes = [[NONE if r is None else r for r in found[a:a + 256]] for a in range(0, 1 << 16, 256)]
         self.pretokens = Bounded(self._pretoken, KEPT_PIECES)
         self.first = Bounded(self._piece, KEPT_PIECES // 10)
         self.later = Bounded(lambda p: self._piece(" " + p), KEPT_PIECES)
@@ -146,8 +155,8 @@ class Encoder:
         part = [self.bytes_of[b] for b in piece]
         if None in part:
             raise ValueError("the rank file lacks single bytes")
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [of[a << 32 | b] for a, b in zip(part, part[1:])]
+        after, before, table = list(range(1, n + 1)), list(range(-1, n - 1)), self.of_bytes
+        rank = [table[a][b] for a, b in zip(piece, piece[1:])]
         rank.append(NONE)
         heap = [r << 32 | i for i, r in enumerate(rank) if r != NONE]
         heapq.heapify(heap)
