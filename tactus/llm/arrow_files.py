@@ -33,6 +33,8 @@ from tactus.llm.pieces import Pieces
 
 LENGTH = 2048
 ROWS = 64
+#: Bytes of text encoded at a time; pieces met again in a slice cost nothing.
+SLICE = 12 << 20
 MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long"
 
 
@@ -97,7 +99,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, te
         store.create_dir(base, recursive=True)
         name, writer = f"{base}/part-{part:06d}-{uuid.uuid4().hex}", None
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE):
                 writer = writer or _Writer(store, name, worker.dtype, some.column(0).type, length)
                 writer.add(some.column(0), [ids + end for ids in worker.encode(as_bytes(some.column(1)))])
         if writer:
@@ -121,10 +123,13 @@ class TokenFile:
         self.source = pa.memory_map(path) if local else store.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.last: tuple[int, np.ndarray] | None = None
 
     def batch(self, k: int) -> np.ndarray:
-        """All ids of record batch k, in a row."""
-        return self.file.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
+        """All ids of record batch k, in a row; the last one read is kept, as documents lie side by side."""
+        if self.last is None or self.last[0] != k:
+            self.last = k, self.file.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
+        return self.last[1]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence k."""

@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from itertools import filterfalse
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps.
+#: Pieces whose ids a worker keeps, half of them of the last generation.
 KEPT_PIECES = 600_000
 #: Pieces handed to the library at a time.
 BULK = 4_000
@@ -54,26 +54,41 @@ class Pieces:
         self.ends[ends] = about.get("model", {}).get("end_of_word_suffix") == "</w>"
         self.marks = sorted({t["content"].encode()[:2] for t in special})
         self.kept: dict[bytes, bytes] = {}
+        self.last: dict[bytes, bytes] = {}
 
     def split(self, raw: bytes) -> list[bytes]:
         """Pieces between ASCII white space."""
         return (raw if any(m in raw for m in self.marks) else raw.translate(PLAIN)).split()
 
-    def learn(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Makes the ids of all given pieces known; returns those too long to be kept."""
-        wanted = set(pieces)
-        new = wanted.difference(self.kept)
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept.clear()
-            new = wanted
-        cut = {p: m.groups() for p in new if p[-1] in b".,;:!?" and (m := TAIL.fullmatch(p))}
-        bare = [p for p in new if p not in cut]
-        bare += {x for pair in cut.values() for x in pair}.difference(self.kept, new)
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Makes the ids of all pieces of the texts known; returns those too long to be kept."""
+        new: set[bytes] = set()
+        for pieces in texts:
+            new.update(filterfalse(self.kept.__contains__, pieces))
+        if len(self.kept) + len(new) > KEPT_PIECES // 2:
+            self.last, self.kept = self.kept, {}
+            new = set().union(*texts)
+        if self.last:
+            back = {p: ids for p in new if (ids := self.last.get(p)) is not None}
+            self.kept |= back
+            new.difference_update(back)
+        cut: dict[bytes, tuple[bytes, bytes]] = {}
+        letters: set[bytes] = set()
+        rest: set[bytes] = set()
+        known = lambda p: p in self.kept or p in new
+        for p in new:
+            if p[-1] in b".,;:!?" and (m := TAIL.fullmatch(p)):
+                cut[p] = stem, tail = m.groups()
+                if not known(stem):
+                    letters.add(stem)
+                if not known(tail):
+                    rest.add(tail)
+            else:
+                (letters if p.isalpha() or (not p.isascii() and p.decode("utf-8", "replace").isalpha()) else rest).add(p)
         long: dict[bytes, bytes] = {}
-        letters = [p for p in bare if p.isalpha() or (max(p) > 127 and p.decode("utf-8", "replace").isalpha())]
-        rest = set(bare).difference(letters)
-        for i in range(0, len(letters), BULK):
-            rest.update(self._words(letters[i:i + BULK], long))
+        words = list(letters)
+        for i in range(0, len(words), BULK):
+            rest.update(self._words(words[i:i + BULK], long))
         for some in (list(rest)[i:i + BULK] for i in range(0, len(rest), BULK)):
             encoded = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
             for p, e in zip(some, encoded):
@@ -103,6 +118,10 @@ class Pieces:
             encoded = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
         cut = [self.split(t) for t in texts]
-        long = self.learn(p for c in cut for p in c)
-        of = self.kept.__getitem__ if not long else (self.kept | long).__getitem__
-        return [b"".join(map(of, c)) for c in cut]
+        long = self.learn(cut)
+        self.kept |= long
+        try:
+            return [b"".join(map(self.kept.__getitem__, c)) for c in cut]
+        finally:
+            for p in long:
+                del self.kept[p]
