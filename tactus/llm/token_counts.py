@@ -4,7 +4,8 @@ A text above `HUGE` characters is cut into chunks that overlap. Every chunk is e
 encodings must begin a token at the same character, after a white space, and agree on `AGREE` tokens (ids and offsets)
 on either side, as far as the overlap holds so many. There the left chunk's tokens end and the right chunk's begin.
 White space is a border that no step of the tokenizer crosses, so such a place is a token border of the whole text too.
-If an overlap has no such place, it is doubled and both chunks are encoded anew, in the end as one.
+If an overlap has no such place, it is doubled and both chunks are encoded anew, in the end as one; then the next step is
+as long as that chunk.
 
 Other texts are cut at white space, where the same border holds, and each distinct piece is encoded once.
 Tokenizers for which that isn't certain get whole texts.
@@ -54,13 +55,13 @@ def spliced(text: str, library, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
 
     n = len(text)
     out: list[int] = []
-    start, end = 0, min(n, chunk)
+    start, end, step = 0, min(n, chunk), chunk
     left = tokens(start, end)
     begin = 0  # character from which the left chunk's tokens count
     while end < n:
         wide = overlap
         while True:
-            from_, to = max(start, end - wide), min(n, end + chunk)
+            from_, to = max(start, end - wide), min(n, end + step)
             right = tokens(from_, to)
             at = _border(text, left, right, from_, end)
             if at is not None and at >= begin:
@@ -70,11 +71,11 @@ def spliced(text: str, library, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
                 break
             wide *= 2
         if at is None:
-            end = to
-            left = right
+            end, left = to, right
+            step = end - start  # the chunk doubles, so all that is encoded in vain is a fixed number of times its length
             continue
         out += [i for a, _, i in left if begin <= a < at]
-        left, begin, start, end = right, at, from_, to
+        left, begin, start, end, step = right, at, from_, to, chunk
     return out + [i for a, _, i in left if a >= begin]
 
 

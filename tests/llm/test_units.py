@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tactus.llm import additive, jaccard, sharding, suffixes, toxicity
+from tactus.llm import additive, bpe, jaccard, pieces, sharding, suffixes, token_counts, toxicity
 from tactus.llm.bpe import Encoder, PerfectHash
 from tactus.llm.common import slices
 from tactus.llm.pieces import Pieces
@@ -159,3 +159,39 @@ def test_grammar_paths():
 def test_slices_hold_whole_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (5, 0, 20, 3, 3)], pa.binary())], ["raw"])
     assert [s.num_rows for s in slices(batch, 0, 8)] == [2, 1, 2]
+
+
+def test_unbroken_text_is_encoded_a_few_times():
+    """Without any border chunks double: the characters encoded grow in proportion to the text."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    spent = []
+
+    class Counting:
+        def encode(self, text, **options):
+            spent[-1] += len(text)
+            return library.encode(text, **options)
+
+    for n in (4_000, 16_000):
+        spent.append(0)
+        text = "abcdefghij" * (n // 10) + " tail words here " * 20
+        assert token_counts.spliced(text, Counting(), 500, 64) == library.encode(text, add_special_tokens=False).ids
+    assert spent[1] < 6 * spent[0] and spent[1] < 40 * 16_000
+
+
+def test_two_generations_of_pieces(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_PIECES", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    worker, library = pieces.Pieces(open(path, "rb").read()), Tokenizer.from_file(path)
+    texts = [f"some words word{i % 7} number{i}, and-more{i % 11}! {'z' * (60 + i)}" for i in range(60)]
+    for i in range(0, 60, 6):
+        got = worker.encode([t.encode() for t in texts[i:i + 6]])
+        assert [np.frombuffer(x, worker.dtype).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[i:i + 6]]
+        assert len(worker.kept) + len(worker.last) < 120
+
+
+def test_two_generations_of_a_table():
+    made = []
+    table = bpe.Bounded(lambda k: made.append(k) or len(k), 6)
+    for key in "a b c d a b e f a".split():
+        assert table[key] == 1
+    assert len(table) <= 3 and made.count("a") == 1
