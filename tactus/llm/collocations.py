@@ -8,7 +8,7 @@
    Frequent phrases leave the task with their count; nothing else does.
 3. The union adds the counts. Phrases that all shards sent, or all shards whose support is above one, are exact already.
 4. The other candidates are counted in the shards that did not send them. A bitmap of fixed size, built in Spark, keeps
-   most other phrases in the tasks; the join on the phrase itself decides. The sum is the exact count.
+   most other phrases in the tasks; grouping by the phrase itself decides. The sum is the exact count.
 5. Scores and containment are joins of the frequent phrases with each other.
 
 The support is a fixed number, so beyond 30 shards of a language most shards' support is one: mining then is counting
@@ -36,7 +36,7 @@ SUPPORT = 30
 LONGEST = 4
 TOP = 2_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 40 << 20
+SHARD_BYTES = 32 << 20
 #: Size of the bitmap of candidates, a power of two.
 BITS = 1 << 25
 #: A phrase goes if a longer one around it has this share of its count.
@@ -46,7 +46,7 @@ SCALE = 2_000_000
 PIECE_BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Phrases sent at a time, and positions sorted at a time.
-SENT, PART = 50_000, 1 << 20
+SENT, PART = 50_000, 1 << 19
 
 
 class _Numbers(dict):
@@ -220,9 +220,10 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", su
         return stored(exact.filter((F.col("n") == 0) | (F.col("f") >= support)), "frequent")
     # beginnings of candidates are candidates, so the bitmap of all of them leads to each
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates.filter("n > 0").select("hash")))
-    rest = _counted(rows.filter("excess > 0"), parts, bitmap)
-    rest = rest.join(open_.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("lang", "phrase").agg(F.sum("count").alias("others"))
-    counted = open_.join(rest, ["lang", "phrase"], "left").select("lang", "n", "phrase", (F.col("seen") + F.coalesce("others", F.lit(0))).alias("f"))
+    counts = open_.select("lang", "n", "phrase", F.col("seen").alias("f"), F.lit(True).alias("open"))
+    rest = _counted(rows.filter("excess > 0"), parts, bitmap).select("lang", "n", "phrase", F.col("count").alias("f"), F.lit(False).alias("open"))
+    # what is no candidate, but met the bitmap, has no row of its own among the candidates
+    counted = counts.union(rest).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"), F.max("open").alias("open")).filter("open").drop("open")
     return stored(exact.union(counted).filter((F.col("n") == 0) | (F.col("f") >= support)), "frequent")
 
 
