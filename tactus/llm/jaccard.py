@@ -213,7 +213,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     blocks = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * SMALL)).cast("int").alias("blocks"))
     placed = left.join(blocks, "bucket").join(sigs, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    bundles = left.count() // 20_000 + 1
+    rows = blocks.agg(F.sum(F.pow(F.col("blocks"), 2) * 2 * SMALL)).first()[0] or 0  # about the rows that are compared, blocks counted
+    bundles = int(rows) // 20_000 + 1
     bundled = placed.select("bucket", "i", "j", "key", "sig", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bundles)).alias("bundle"))
     return star_edges.union(bundled.groupBy("bundle").applyInArrow(_whole, "u binary, v binary"))
 

@@ -137,6 +137,14 @@ def brute_groups(rows):
     return collections.Counter((rows[i][0], least[root(i)], links[i]) for i in range(n)), len(groups)
 
 
+@pytest.mark.parametrize("small", [3, 12])
+def test_large_buckets_equal_brute_force(spark, odd, small, monkeypatch):
+    """Pivots, far members and pairs of blocks of buckets above `SMALL`."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    expected, _ = brute_groups(odd)
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.links(docs_of(spark, odd)).collect()) == expected
+
+
 def test_jaccard_join_equals_brute_force(spark, odd):
     docs = docs_of(spark, odd).withColumn("key", F.lit("clash")).withColumn("bucket", F.lit(1))
     expected, groups = brute_groups(odd)
