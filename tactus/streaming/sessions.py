@@ -1,14 +1,18 @@
-"""Change events and revision states of sessions, as batch queries and as streams."""
+"""Change events and revision states of sessions, as batch queries and as streams.
+
+A state may carry `preferred_kind`, the kind that the caller wants for a changed asset; it holds unless the asset is gone.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tactus.layout import lay_out, plain, row_index, running, shift
 
@@ -24,7 +28,8 @@ def _kind(before: dict[str, Column], now: dict[str, Column]) -> Column:
     text = lambda s, c: F.coalesce(s[c], F.lit(""))
     changed = ~(same("asset_id") & same("path") & same("revision_id") & same("status"))
     moved = (text(before, "asset_id") != text(now, "asset_id")) | (text(before, "path") != text(now, "path"))
-    return F.when(changed, F.when(now["asset_id"].isNull(), "asset/cleared").when(moved, "asset/opened").when(
+    preferred = F.nullif(F.trim(now["preferred_kind"]), F.lit("")) if "preferred_kind" in now else F.lit(None).cast("string")
+    return F.when(changed, F.when(now["asset_id"].isNull(), "asset/cleared").when(preferred.isNotNull(), preferred).when(moved, "asset/opened").when(
         text(before, "revision_id") != text(now, "revision_id"), "asset/revision_changed").otherwise("asset/updated"))
 
 
@@ -34,7 +39,7 @@ def change_events(states: DataFrame, *, key: str = "session_id", order: str = "s
     Needs the state columns; the first snapshot is compared with an empty state.
     """
     rows = shift(states, key, order, {f"_p_{c}": (c, -1) for c in STATE})
-    before, now = {c: F.col(f"_p_{c}") for c in STATE}, {c: F.col(c) for c in STATE}
+    before, now = {c: F.col(f"_p_{c}") for c in STATE}, {c: F.col(c) for c in (*STATE, "preferred_kind") if c in rows.columns}
     event = lambda k, kind, payload: F.when(kind.isNotNull(), F.struct(F.lit(k).alias("pos"), kind.alias("kind"), payload.alias("payload")))
     differs = lambda c, kind: F.when(~before[c].eqNullSafe(now[c]), F.lit(kind))
     events = F.array_compact(F.array(
@@ -116,47 +121,121 @@ def ring_buffer(frames: DataFrame, depth: int, *, key: str = "recording", order:
 EVENT_SCHEMA = "session_id string, seq long, pos int, kind string, payload string"
 
 
-def _asset_kind(old: dict, new: dict) -> str | None:
-    if all(old.get(c) == new.get(c) for c in STATE[:4]):
-        return None
-    if new.get("asset_id") is None:
-        return "asset/cleared"
-    if any((old.get(c) or "") != (new.get(c) or "") for c in ("asset_id", "path")):
-        return "asset/opened"
-    return "asset/revision_changed" if (old.get("revision_id") or "") != (new.get("revision_id") or "") else "asset/updated"
-
-
-def change_event_stream(states: DataFrame) -> DataFrame:
-    """The change events as a stream; each session keeps its last snapshot as state.
+def _events_between(key: str, rows: pd.DataFrame, idle_ms: int) -> pd.DataFrame:
+    """The change events of ordered snapshots after the first, each compared with the one before it, or with an empty
+    state when that is longer ago than `idle_ms`."""
+    whole = rows[list(STATE)].astype(object).reset_index(drop=True)
+    whole = whole.where(whole.notna(), None)
+    at = rows["at_ms"].astype("int64").to_numpy()
+    before = whole.iloc[:-1].reset_index(drop=True)
+    before.loc[np.diff(at) > idle_ms, :] = None
+    rows, now = rows.iloc[1:], whole.iloc[1:].reset_index(drop=True)
+    differs = ~((now == before) | (now.isna() & before.isna()))
+    text = lambda frame, c: frame[c].where(frame[c].notna(), "").astype(str)
+    unlike = lambda c: text(before, c) != text(now, c)
+    preferred = rows["preferred_kind"].reset_index(drop=True) if "preferred_kind" in rows else pd.Series([None] * len(now), dtype=object)
+    preferred = preferred.where(preferred.notna(), "").astype(str).str.strip(" ")
+    kind = pd.Series(np.select(
+        [~differs[list(STATE[:4])].any(axis=1), now["asset_id"].isna(), preferred != "", unlike("asset_id") | unlike("path"), unlike("revision_id")],
+        ["", "asset/cleared", preferred, "asset/opened", "asset/revision_changed"], "asset/updated"))
+    seq = rows["seq"].reset_index(drop=True)
+    parts = [(0, kind, kind != "", text(now, "asset_id") + "|" + text(now, "revision_id"))]
+    for pos, c in ((1, "playhead"), (2, "selection")):
+        parts.append((pos, pd.Series([KINDS[pos]] * len(now)), differs[c], now[c].map(lambda v: None if v is None else str(v))))
+    return pd.concat([pd.DataFrame({"session_id": key, "seq": seq[hit], "pos": np.int32(pos), "kind": kinds[hit], "payload": payload[hit].astype(object)})
+                      for pos, kinds, hit, payload in parts]).sort_values(["seq", "pos"], kind="stable")
+
+
+class _ChangeEvents(StatefulProcessor):
+    """Snapshots wait in a list until the watermark has passed them and are compared in order; a session that stays
+    without one for `idle_ms` of event time loses its state. One timer per session is enough for both.
+    """
 
-    Snapshots of a session must arrive in order across micro-batches; inside one they are sorted.
+    def __init__(self, snapshot: T.StructType, idle_ms: int):
+        self.snapshot, self.idle_ms = snapshot, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.snapshot)
+        self.waiting = handle.getListState("waiting", self.snapshot)
+
+    def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
+        """Rows of state; pandas turns whole numbers with gaps into floats, which go back here."""
+        pdf = pdf[self.snapshot.names].astype(object)
+        for f in self.snapshot.fields:
+            if isinstance(f.dataType, T.IntegralType):
+                pdf[f.name] = pd.Series([None if pd.isna(v) else int(v) for v in pdf[f.name]], dtype=object, index=pdf.index)
+        return list(pdf.where(pdf.notna(), None).itertuples(index=False, name=None))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            pdf = pdf[pdf["session_id"].notna()]
+            if len(pdf):
+                at = pdf["at"].astype("datetime64[ms]").astype("int64")
+                self.waiting.appendList(self._tuples(pdf.assign(at_ms=at)))
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        old = self.last.get() if self.last.exists() else None
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.snapshot.names, dtype=object)
+        ready = rows["at_ms"].astype("int64") <= now
+        names = self.snapshot.names
+        due, rest = rows[ready].sort_values(["seq"], kind="stable"), rows[~ready]
+        if len(due):
+            # a snapshot older than the last one compared has come too late
+            due = due if old is None else due[due["seq"].astype("int64") > old[names.index("seq")]]
+        if len(due):
+            nothing = (None,) * len(names) if old is None else old
+            first = pd.DataFrame([nothing], columns=names, dtype=object)
+            if old is None:
+                first["at_ms"] = due["at_ms"].iloc[0]
+            found = _events_between(key[0], pd.concat([first, due]), self.idle_ms)
+            old = self._tuples(due.iloc[-1:])[0]
+            self.last.update(old)
+            if len(found):
+                yield found
+        if len(rest):
+            self.waiting.put(self._tuples(rest))
+            self.handle.registerTimer(int(rest["at_ms"].min()))
+            return
+        self.waiting.clear()
+        gone = None if old is None else old[self.snapshot.names.index("at_ms")] + self.idle_ms
+        if gone is None or gone <= now:
+            self.last.clear()
+        else:
+            self.handle.registerTimer(int(gone))
+
+
+def change_event_stream(states: DataFrame, *, lateness: str = "0 seconds", idle_sec: float = 86_400.0) -> DataFrame:
+    """The change events as a stream; `at` is the snapshots' event time, `seq` their order.
+
+    A snapshot is compared once the watermark (`lateness` behind the latest event time) has passed it, so snapshots may
+    come out of order up to that; later ones are dropped. A session without a snapshot for `idle_sec` is forgotten: its
+    next snapshot is compared with an empty state. Rows without a session only move the watermark.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = json.loads(state.get[0]) if state.exists else {}
-        # One session's snapshots of one micro-batch; the source's rate limit bounds them.
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for row in pdf.to_dict("records"):
-            new = {c: None if row[c] is None or row[c] != row[c] else row[c] for c in STATE}
-            kind = _asset_kind(old, new)
-            if kind:
-                out.append((key[0], row["seq"], 0, kind, f"{new['asset_id'] or ''}|{new['revision_id'] or ''}"))
-            for pos, c in ((1, "playhead"), (2, "selection")):
-                if old.get(c) != new.get(c):
-                    out.append((key[0], row["seq"], pos, KINDS[pos], None if new[c] is None else str(new[c])))
-            old = new
-        state.update((json.dumps(old),))
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "seq", "pos", "kind", "payload"])
-
-    return states.groupBy("session_id").applyInPandasWithState(
-        step, EVENT_SCHEMA, "snapshot string", "append", GroupStateTimeout.NoTimeout)
+    types = [("seq", T.LongType()), ("at_ms", T.LongType()), *((c, states.schema[c].dataType) for c in (*STATE, "preferred_kind") if c in states.columns)]
+    snapshot = T.StructType([T.StructField(c, t) for c, t in types])
+    rows = states.withWatermark("at", lateness)
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        _ChangeEvents(snapshot, int(idle_sec * 1000)), EVENT_SCHEMA, "Append", "EventTime")
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Drain what is available into Parquet files; the checkpoint makes a restart continue exactly once."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).outputMode("append").start()
+    spark = stream.sparkSession
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).outputMode("append").start()
+    finally:
+        spark.conf.set(store, before)
     query.awaitTermination()
 
 

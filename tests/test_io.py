@@ -89,17 +89,39 @@ def test_patch_reports_and_refuses(spark):
         wr.patch_onsets(table, edits.withColumn("recording", F.lit("z")), name="name", onset_column="onsets", order="id")[1].collect()
 
 
-def test_session_stream_over_several_batches_equals_batch(spark, folder):
-    states = [("s1", 1, "a", "p", "rev-1", "clean", 0, "w"), ("s1", 2, "a", "p", "rev-2", "clean", 0, "w"), ("s1", 3, None, None, None, "clean", 5, "w"),
-              ("s2", 1, "a", "p", "rev-1", "clean", 0, "v"), ("s1", 4, "b", "q", "rev-2", "dirty", 5, "v"), ("s2", 2, "a", "p", "rev-1", "dirty", 0, "v")]
-    schema = "session_id string, seq long, asset_id string, path string, revision_id string, status string, playhead long, selection string"
-    for i in (0, 3):
-        spark.createDataFrame(states[i:i + 3], schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
-    ss.run_to_files(ss.change_event_stream(stream), str(folder / "out"), str(folder / "chk"))
-    got = sorted(map(tuple, spark.read.parquet(str(folder / "out")).collect()), key=str)
-    want = sorted(map(tuple, ss.change_events(spark.createDataFrame(states, schema)).select("session_id", "seq", "pos", "kind", "payload").collect()), key=str)
+SNAPSHOTS = "session_id string, seq long, asset_id string, path string, revision_id string, status string, playhead long, selection string, preferred_kind string"
+
+
+def streamed(spark, folder, files, **options):
+    """Drains one file of snapshots after the other, each in a run of its own from the same checkpoint; `at` is `seq` in seconds."""
+    for rows in files:
+        spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(SNAPSHOTS).parquet(str(folder / "in")).withColumn("at", F.timestamp_seconds("seq"))
+        ss.run_to_files(ss.change_event_stream(stream, **options), str(folder / "out"), str(folder / "chk"))
+    return sorted(map(tuple, spark.read.parquet(str(folder / "out")).collect()), key=str)
+
+
+def tick(seq):
+    return (None, seq, *[None] * 7)
+
+
+def test_session_stream_puts_snapshots_in_order_and_survives_restarts(spark, folder):
+    states = [("s1", 1, "a", "p", "rev-1", "clean", 0, "w", None), ("s1", 2, "a", "p", "rev-2", "clean", 0, "w", " "), ("s1", 3, None, None, None, "clean", 5, "w", "mine"),
+              ("s2", 1, "a", "p", "rev-1", "clean", 0, "v", "mine"), ("s1", 4, "b", "q", "rev-2", "dirty", 5, "v", "mine"), ("s2", 2, "a", "p", "rev-1", "dirty", None, "v", None)]
+    want = sorted(map(tuple, ss.change_events(spark.createDataFrame(states, SNAPSHOTS)).select("session_id", "seq", "pos", "kind", "payload").collect()), key=str)
+    files = [[states[2], states[3]], [states[0], states[5], states[4]], [states[1]], [tick(100_000)]]  # out of order over three batches
+    got = streamed(spark, folder, files, lateness="10 seconds")
     assert got == want and ("s1", 3, 0, "asset/cleared", "|") in got and ("s1", 2, 0, "asset/revision_changed", "a|rev-2") in got
+    assert ("s1", 4, 0, "mine", "b|rev-2") in got and ("s2", 1, 0, "mine", "a|rev-1") in got and ("s2", 2, 1, "transport/time_changed", None) in got
+
+
+def test_late_snapshots_are_dropped_and_idle_sessions_forgotten(spark, folder):
+    one = lambda seq, path: ("s1", seq, "a", path, "rev-1", "clean", 0, "w", None)
+    files = [[one(10, "p")], [tick(100)], [one(20, "late")], [one(150, "p")], [tick(400)], [one(1_500, "p")], [tick(9_000)]]
+    got = streamed(spark, folder, files, lateness="5 seconds", idle_sec=1_000.0)
+    seqs = sorted({r[1] for r in got})
+    assert seqs == [10, 1_500]  # 20 came after its time, 150 changed nothing, 1500 finds no state any more
+    assert [r[3] for r in got if r[1] == 1_500 and r[2] == 0] == ["asset/opened"]
 
 
 def test_bootstrap_is_the_same_at_every_partitioning_and_layout(spark, monkeypatch):
