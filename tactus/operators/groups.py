@@ -196,6 +196,11 @@ def gaussian_density(rows: DataFrame, value: str, grid: Sequence[float], *, key:
     return _cell_sums(points, key, ["_v", "_h", "_n"], {"x": xs}, kernel)
 
 
+def within_range(rows: DataFrame, column: str, limits: tuple[float, float]) -> DataFrame:
+    """Rows whose value lies between the limits of an axis; points outside it do not count."""
+    return rows.filter(F.col(column).between(*[float(x) for x in limits]))
+
+
 def gaussian_density_2d(rows: DataFrame, x: str, y: str, xs: Sequence[float], ys: Sequence[float], *, factor: float,
                         key: str = "grp") -> DataFrame:
     """Two-dimensional kernel density on a fixed grid with the sample covariance scaled by factor squared."""

@@ -334,10 +334,10 @@ def _(spark, sf):
 
 @query("t4_top_candidates_per_region", f"""WITH RECURSIVE {SQL_FRAMES}, {SQL_FREG}, pr AS (SELECT rg.recording, region_id, frame, f.t, rms AS s FROM rg JOIN f ON f.recording = rg.recording AND f.t BETWEEN t_start AND t_end),
   nb AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM pr WINDOW w AS (PARTITION BY recording, region_id ORDER BY frame)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY recording, region_id ORDER BY s DESC, t) AS k FROM nb WHERE (a IS NULL OR s >= a) AND (b IS NULL OR s >= b)) SELECT recording, region_id, {sql_tidy('t')} AS t FROM k WHERE k <= 3""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY recording, region_id ORDER BY s DESC, t) AS k FROM nb WHERE (a IS NULL OR s >= a) AND (b IS NULL OR s >= b)) SELECT recording, region_id, {sql_tidy('t')} AS t FROM k WHERE k <= 6""")
 def _(spark, sf):
     f = frames(spark, sf).withColumn("strength", F.col("rms"))
-    return gates.candidate_peaks(_regions(spark, sf), f, most=3).select("recording", "region_id", tidy("t").alias("t"))
+    return gates.candidate_peaks(_regions(spark, sf), f, most=6).select("recording", "region_id", tidy("t").alias("t"))
 
 
 # Profiles

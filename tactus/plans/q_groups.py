@@ -145,44 +145,26 @@ def _(spark, sf):
     return gr.display_order(grouping(spark, sf), ["MACHINERY", "ABSENT", "BUILDING"])
 
 
-GRID = [0.1 * i for i in range(1, 10)]
-SQL_GRID = ", ".join(repr(g) for g in GRID)
-
-
-@query("g24_kernel_density", f"""WITH {SQL_GD}, s AS (SELECT grp, count(*) AS n, stddev_samp(r_k) * count(*) ** -0.2 AS h FROM rk GROUP BY 1)
-  SELECT grp, x, {sql_tidy('sum(exp(-0.5::DOUBLE * ((x - r_k) / h) ** 2) / (h * sqrt(2 * pi()) * n))')} AS density
-  FROM rk JOIN s USING (grp), (SELECT unnest([{SQL_GRID}]::DOUBLE[]) AS x) GROUP BY 1, 2""")
-def _(spark, sf):
-    return _rounded(gr.gaussian_density(_ratios(spark, sf), "r_k", GRID), "grp", "x")
-
-
-@query("g24_kernel_density_2d", f"""WITH {SQL_GD}, q AS (SELECT grp, 1e5 / cycle_ms * 100 AS u, r_k FROM rk),
-  s AS (SELECT grp, count(*) AS n, var_samp(u) AS vx, var_samp(r_k) AS vy, covar_samp(u, r_k) AS c FROM q GROUP BY 1)
-  SELECT grp, x, y, {sql_tidy('sum(exp(-0.5::DOUBLE * (vy * (x - u) ** 2 - 2 * c * (x - u) * (y - r_k) + vx * (y - r_k) ** 2) / ((vx * vy - c * c) * 0.09)) / (2 * pi() * 0.09 * sqrt(vx * vy - c * c) * n))')} AS density
-  FROM q JOIN s USING (grp), (SELECT unnest([0.1, 0.2, 0.4]::DOUBLE[]) AS x), (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS y) GROUP BY 1, 2, 3""")
-def _(spark, sf):
-    rows = _ratios(spark, sf).withColumn("u", F.lit(1e5) / F.col("cycle_ms") * 100)
-    return _rounded(gr.gaussian_density_2d(rows, "u", "r_k", [0.1, 0.2, 0.4], [0.25, 0.5, 0.75], factor=0.3), "grp", "x", "y")
-
-
-# The whole grids: 200 even points past both ends of the ratios, and 40 x 40 cells' points over ratios and tempo (0 to 2, 99 of 100 pairs).
+# The whole grids: 200 even points past both ends of the ratios; 40 x 40 points over ratios and tempo between given limits
+# (pairs beyond them take no part), as cycles per 1,000 seconds.
 EVEN_GRID = [1.2 * i / 199 - 0.1 for i in range(200)]
-TEMPO_GRID, RATIO_GRID = [2.0 * i / 39 for i in range(40)], [i / 39 for i in range(40)]
+TEMPO_RANGE = (0.0, 2.0)
+TEMPO_GRID, RATIO_GRID = [TEMPO_RANGE[0] + (TEMPO_RANGE[1] - TEMPO_RANGE[0]) * i / 39 for i in range(40)], [i / 39 for i in range(40)]
 
 
-@query("g24_kernel_density_even_grid", f"""WITH {SQL_GD}, s AS (SELECT grp, count(*) AS n, stddev_samp(r_k) * count(*) ** -0.2 AS h FROM rk GROUP BY 1)
+@query("g24_kernel_density", f"""WITH {SQL_GD}, s AS (SELECT grp, count(*) AS n, stddev_samp(r_k) * count(*) ** -0.2 AS h FROM rk GROUP BY 1)
   SELECT grp, x, {sql_tidy('sum(exp(-0.5::DOUBLE * ((x - r_k) / h) ** 2) / (h * sqrt(2 * pi()) * n))')} AS density
   FROM rk JOIN s USING (grp), (SELECT 1.2::DOUBLE * unnest(range(200)) / 199 - 0.1::DOUBLE AS x) GROUP BY 1, 2""")
 def _(spark, sf):
     return _rounded(gr.gaussian_density(_ratios(spark, sf), "r_k", EVEN_GRID), "grp", "x")
 
 
-@query("g24_kernel_density_2d_full_grid", f"""WITH {SQL_GD}, q AS (SELECT grp, 1e5 / cycle_ms * 100 AS u, r_k FROM rk),
+@query("g24_kernel_density_2d", f"""WITH {SQL_GD}, q AS (SELECT grp, 1e6 / cycle_ms AS u, r_k FROM rk WHERE 1e6 / cycle_ms BETWEEN {TEMPO_RANGE[0]} AND {TEMPO_RANGE[1]}),
   s AS (SELECT grp, count(*) AS n, var_samp(u) AS vx, var_samp(r_k) AS vy, covar_samp(u, r_k) AS c FROM q GROUP BY 1)
   SELECT grp, x, y, {sql_tidy('sum(exp(-0.5::DOUBLE * (vy * (x - u) ** 2 - 2 * c * (x - u) * (y - r_k) + vx * (y - r_k) ** 2) / ((vx * vy - c * c) * 0.09)) / (2 * pi() * 0.09 * sqrt(vx * vy - c * c) * n))')} AS density
   FROM q JOIN s USING (grp), (SELECT 2.0::DOUBLE * unnest(range(40)) / 39 AS x), (SELECT unnest(range(40)) / 39::DOUBLE AS y) GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    rows = _ratios(spark, sf).withColumn("u", F.lit(1e5) / F.col("cycle_ms") * 100)
+    rows = gr.within_range(_ratios(spark, sf).withColumn("u", F.lit(1e6) / F.col("cycle_ms")), "u", TEMPO_RANGE)
     return _rounded(gr.gaussian_density_2d(rows, "u", "r_k", TEMPO_GRID, RATIO_GRID, factor=0.3), "grp", "x", "y")
 
 

@@ -308,18 +308,30 @@ def _(spark, sf):
                        "frame", tidy("t").alias("t"), tidy("strength").alias("strength"), tidy("ioi_sec").alias("ioi_sec"))
 
 
-@query("k9_selection_documents", f"WITH {SQL_WINDOWS} SELECT recording, window_index::BIGINT AS window_index, count(*)::BIGINT AS n_frames FROM wn GROUP BY 1, 2")
+def _parsed(lines, **fields):
+    """Lines of JSON documents with their fields as columns, numbers rounded."""
+    value = lambda name, kind: F.get_json_object("document", f"$.{name}").cast(kind)
+    return [(tidy(value(c, "double")) if kind == "double" else value(c, kind)).alias(c) for c, kind in fields.items()]
+
+
+@query("k9_selection_documents", f"""WITH RECURSIVE {SQL_RISES}, {sql_events('sx')}, e AS (SELECT k.recording, window_index, k.t, k.event_id AS frame, k.strength, threshold, k.t - lag(k.t) OVER (PARTITION BY k.recording ORDER BY k.t, k.event_id) AS ioi_sec FROM kept k JOIN fb ON fb.recording = k.recording AND fb.frame = k.event_id)
+  SELECT recording, window_index::BIGINT AS window_index, 0::BIGINT AS line, {sql_tidy('min(t_start)')} AS w_start, {sql_tidy('max(t_end)')} AS w_end, count(*)::BIGINT AS w_frames, NULL::DOUBLE AS t, NULL::BIGINT AS frame, NULL::DOUBLE AS strength, NULL::DOUBLE AS threshold, NULL::DOUBLE AS ioi_sec FROM wn GROUP BY 1, 2
+  UNION ALL SELECT recording, window_index, row_number() OVER (PARTITION BY recording, window_index ORDER BY t, frame), NULL, NULL, NULL, {sql_tidy('t')}, frame, {sql_tidy('strength')}, {sql_tidy('threshold')}, {sql_tidy('ioi_sec')} FROM e""")
 def _(spark, sf):
     rows = _windows(spark, sf)
     windows = rows.select("recording", "window_index", "w_start", "w_end", "w_frames").distinct()
     events = fr.event_intervals(fr.selection_onsets(_selected(spark, sf), HOP_SEC))
     docs = wr.analysis_payload(profiles.selection_bounds(fr.with_bounds(_selected(spark, sf), HOP_SEC)), windows, events)
-    return docs.filter("line = 0").select("recording", "window_index", F.get_json_object("document", "$.w_frames").cast("long").alias("n_frames"))
+    return docs.select("recording", "window_index", "line", *_parsed(docs, w_start="double", w_end="double", w_frames="long", t="double", frame="long",
+                                                                      strength="double", threshold="double", ioi_sec="double"))
 
 
-@query("k10_region_manifests", f"WITH {SQL_FRAMES}, {SQL_FREG} SELECT recording, polarity, 'base' AS layer, count(*)::INT AS n_regions FROM rg GROUP BY 1, 2")
+@query("k10_region_manifests", f"""WITH {SQL_FRAMES}, {SQL_FREG} SELECT recording, polarity, 'base' AS layer, 0::BIGINT AS line, 1::INT AS version, recording AS source_file, count(*)::BIGINT AS n_regions, NULL::DOUBLE AS t_start, NULL::DOUBLE AS t_end, NULL::DOUBLE AS f_low, NULL::DOUBLE AS f_high FROM rg GROUP BY 1, 2
+  UNION ALL SELECT recording, polarity, 'base', row_number() OVER (PARTITION BY recording, polarity ORDER BY t_start, t_end, f_low, f_high), NULL, NULL, NULL, {sql_tidy('t_start')}, {sql_tidy('t_end')}, {sql_tidy('f_low')}, {sql_tidy('f_high')} FROM rg""")
 def _(spark, sf):
-    return wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).filter("line = 0").drop("document", "line")
+    lines = wr.region_manifests(_regions(spark, sf).withColumn("layer", F.lit("base"))).drop("n_regions")
+    return lines.select("recording", "polarity", "layer", "line", *_parsed(lines, version="int", source_file="string", n_regions="long", t_start="double",
+                                                                           t_end="double", f_low="double", f_high="double"))
 
 
 @query("k11_asset_publish", """WITH c AS (SELECT p_partkey AS id, 'rev-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS r, p_size, p_name FROM part), e AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 49)

@@ -142,7 +142,6 @@ def _(spark, sf):
 
 # Classification
 
-TWO = ["npvi", "cv"]
 SIX = ["n_onsets", "duration_s", "npvi", "cv", "rk_entropy", "mean_ioi_ms"]
 
 
@@ -157,35 +156,45 @@ def _six(spark, sf):
     return gr.standardised(rows, found), found
 
 
-# Two predictors: the pooled covariance is inverted by hand.
-SQL_LDA = f"""{SQL_FILES}, st AS (SELECT grp, count(*) AS n, avg(npvi) AS m1, avg(cv) AS m2, covar_pop(npvi, npvi) * count(*) AS s11, covar_pop(npvi, cv) * count(*) AS s12, covar_pop(cv, cv) * count(*) AS s22 FROM fm GROUP BY 1),
-  pl AS (SELECT sum(s11) / (sum(n) - count(*)) + 1e-8 AS a, sum(s12) / (sum(n) - count(*)) AS b, sum(s22) / (sum(n) - count(*)) + 1e-8 AS d FROM st),
-  sc AS (SELECT fm.recording, fm.grp, st.grp AS cls, ((d * m1 - b * m2) * (npvi - m1 / 2) + (a * m2 - b * m1) * (cv - m2 / 2)) / (a * d - b * b) AS s FROM fm, st, pl),
-  pd AS (SELECT recording, any_value(grp) AS grp, arg_max(cls, s) AS predicted FROM sc GROUP BY 1)"""
+# The pooled covariance and the class means as one table of columns: x<i>, and a<i><j> of the covariance and m<i> of the
+# mean, solved for z = covariance^-1 mean by elimination, a step per common table.
+def sql_solved(source: str, keys: str) -> str:
+    d = range(1, 7)
+    cells = [f"a{i}{j}" for i in d for j in d] + [f"b{i}" for i in d]
+    steps = [f"s0 AS (SELECT {keys}, {', '.join(cells)} FROM {source})"]
+    for k in d:
+        entry = lambda c, row, k=k: f"{c} / a{k}{k} AS {c}" if row == k else f"{c} - a{row}{k} * {c[0] + str(k) + c[2:] if c[0] == 'a' else 'b' + str(k)} / a{k}{k} AS {c}"
+        steps.append(f"s{k} AS (SELECT {keys}, {', '.join(entry(c, int(c[1])) for c in cells)} FROM s{k - 1})")
+    return ", ".join(steps)
 
 
-@query("g17_discriminant_resubstitution", f"WITH {SQL_LDA} SELECT recording, grp, predicted FROM pd")
-def _(spark, sf):
-    return ds.classify(_file_metrics(spark, sf).select("recording", "grp", *TWO), "grp", TWO).select("recording", "grp", "predicted")
+SQL_SIX = f"""{SQL_FILES}, sp AS (SELECT recording, max(t) - min(t) AS duration_s, count(*) - 1 AS gaps FROM o GROUP BY 1),
+  r6 AS (SELECT recording, grp, n_onsets, duration_s, npvi, cv, rk_entropy, duration_s * 1000 / nullif(gaps, 0) AS mean_ioi_ms FROM fm JOIN sp USING (recording) WHERE grp IS NOT NULL),
+  c6 AS (SELECT * FROM r6 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SIX)} QUALIFY count(*) OVER (PARTITION BY grp) >= 3),
+  z6 AS (SELECT recording, grp, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}' for i, c in enumerate(SIX, 1))} FROM c6)"""
 
 
-@query("g17_discriminant_leave_one_out", f"""WITH {SQL_FILES}, tr AS (SELECT l.recording AS rid, l.npvi AS x1, l.cv AS x2, l.grp AS g, t.* FROM fm l JOIN fm t ON t.recording <> l.recording),
-  st AS (SELECT rid, grp, any_value(x1) AS x1, any_value(x2) AS x2, any_value(g) AS g, count(*) AS n, avg(npvi) AS m1, avg(cv) AS m2, var_pop(npvi) * count(*) AS s11, covar_pop(npvi, cv) * count(*) AS s12, var_pop(cv) * count(*) AS s22 FROM tr GROUP BY 1, 2),
-  pl AS (SELECT rid, sum(s11) / (sum(n) - count(*)) + 1e-8 AS a, sum(s12) / (sum(n) - count(*)) AS b, sum(s22) / (sum(n) - count(*)) + 1e-8 AS d FROM st GROUP BY 1),
-  pd AS (SELECT rid, any_value(g) AS grp, arg_max(grp, ((d * m1 - b * m2) * (x1 - m1 / 2) + (a * m2 - b * m1) * (x2 - m2 / 2)) / (a * d - b * b)) AS predicted FROM st JOIN pl USING (rid) GROUP BY 1)
-  SELECT count(*) AS n, {sql_tidy('avg((grp = predicted)::INT)')} AS ccr FROM pd""")
-def _(spark, sf):
-    rows = _file_metrics(spark, sf).select("recording", "grp", *TWO)
-    return _rounded(ds.correct_rate(ds.classify(rows, "grp", TWO, mode="leave_one_out"), "grp"), "n")
+def sql_discriminant(rows: str, key: str) -> str:
+    """Class means and pooled covariance of each key, its solutions and the scores; `rows` has key, grp and x1 to x6."""
+    d = range(1, 7)
+    return f"""lg AS (SELECT {key}, grp, count(*) AS n, {', '.join(f'avg(x{i}) AS b{i}' for i in d)}, {', '.join(f'covar_pop(x{i}, x{j}) * count(*) AS c{i}{j}' for i in d for j in d)} FROM {rows} GROUP BY 1, 2),
+  lp AS (SELECT {key}, {', '.join(f"sum(c{i}{j}) / (sum(n) - count(*)){' + 1e-8' if i == j else ''} AS a{i}{j}" for i in d for j in d)} FROM lg GROUP BY 1),
+  gp AS (SELECT * FROM lg JOIN lp USING ({key})), {sql_solved('gp', f'{key}, grp')},
+  lw AS (SELECT s6.{key}, s6.grp, {', '.join(f's6.b{i} AS w{i}' for i in d)}, {' + '.join(f's6.b{i} * lg.b{i}' for i in d)} AS q FROM s6 JOIN lg ON lg.{key} = s6.{key} AND lg.grp = s6.grp)"""
+
+
+SCORE = " + ".join(f"w{i} * x{i}" for i in range(1, 7)) + " - q / 2"
+SQL_LDA = f"""{SQL_SIX}, k6 AS (SELECT 0 AS k, * FROM z6), {sql_discriminant('k6', 'k')}, pd AS (SELECT recording, any_value(z6.grp) AS grp, arg_max(lw.grp, {SCORE}) AS predicted FROM z6, lw GROUP BY 1)"""
 
 
-@query("g17_discriminant_resubstitution_six")
+@query("g17_discriminant_resubstitution", f"WITH {SQL_LDA} SELECT recording, grp, predicted FROM pd")
 def _(spark, sf):
     rows, found = _six(spark, sf)
     return ds.classify(rows, "grp", found).select("recording", "grp", "predicted")
 
 
-@query("g17_discriminant_leave_one_out_six")
+@query("g17_discriminant_leave_one_out", f"""WITH {SQL_SIX}, tr AS (SELECT l.recording AS rid, t.* FROM z6 l JOIN z6 t ON t.recording <> l.recording), {sql_discriminant('tr', 'rid')},
+  pd AS (SELECT recording, any_value(z6.grp) AS grp, arg_max(lw.grp, {SCORE}) AS predicted FROM z6 JOIN lw ON lw.rid = recording GROUP BY 1) SELECT count(*) AS n, {sql_tidy('avg((grp = predicted)::INT)')} AS ccr FROM pd""")
 def _(spark, sf):
     rows, found = _six(spark, sf)
     return _rounded(ds.correct_rate(ds.classify(rows, "grp", found, mode="leave_one_out"), "grp"), "n")
@@ -210,11 +219,6 @@ def _(spark, sf):
 
 
 @query("g19_confusion_matrix", f"""WITH {SQL_LDA} SELECT grp, {', '.join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in SEGMENTS)} FROM pd GROUP BY 1""")
-def _(spark, sf):
-    return ds.confusion(ds.classify(_file_metrics(spark, sf).select("recording", "grp", *TWO), "grp", TWO), "grp", SEGMENTS)
-
-
-@query("g19_confusion_matrix_six")
 def _(spark, sf):
     rows, found = _six(spark, sf)
     return ds.confusion(ds.classify(rows, "grp", found), "grp", SEGMENTS)

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_densities_cover_the_whole_grid(spark):
     run = lambda name: entry.queries()[name](spark, SF).toPandas()
-    one, two = run("g24_kernel_density_even_grid"), run("g24_kernel_density_2d_full_grid")
+    one, two = run("g24_kernel_density"), run("g24_kernel_density_2d")
     assert set(one.groupby("grp")["x"].nunique()) == {200} and one["x"].min() == -0.1 and abs(one["x"].max() - 1.1) < 1e-9
     assert set(two.groupby("grp").size()) == {1600} and set(two.groupby("grp")["y"].nunique()) == {40}
     assert all(abs(g["density"].sum() * 1.2 / 199 - 1) < 0.05 for _, g in one.groupby("grp"))
@@ -56,12 +56,12 @@ def test_discriminants_use_six_predictors(spark):
     x, classes = (x - x.mean(0)) / x.std(0), sorted(set(y))
     pick = lambda v, means, inv: classes[np.argmax([m @ inv @ v - m @ inv @ m / 2 for m in means])]
     model = _brute_force(x, y, classes)
-    found = run("g17_discriminant_resubstitution_six").set_index("recording")["predicted"]
+    found = run("g17_discriminant_resubstitution").set_index("recording")["predicted"]
     assert dict(found) == {r: pick(v, *model) for r, v in zip(rows["recording"], x)}
     left = [pick(x[i], *_brute_force(np.delete(x, i, 0), np.delete(y, i), classes)) == y[i] for i in range(len(x))]
-    loo = run("g17_discriminant_leave_one_out_six").iloc[0]
+    loo = run("g17_discriminant_leave_one_out").iloc[0]
     assert loo["n"] == len(x) and abs(loo["ccr"] - np.mean(left)) < 1e-6
-    table = run("g19_confusion_matrix_six").set_index("grp")
+    table = run("g19_confusion_matrix").set_index("grp")
     assert all(table.loc[c, p] == ((y == c) & (found[rows["recording"]].to_numpy() == p)).sum() for c in classes for p in classes)
 
 
