@@ -80,6 +80,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a table written by `stored` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def vocabulary_bytes(path: str) -> bytes:
     """A vocabulary file, read on the driver; its size is bounded."""
     if os.path.getsize(path) > VOCABULARY_BYTES:

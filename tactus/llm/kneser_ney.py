@@ -35,7 +35,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, lean, slices, stored, text_bytes, work_path
+from tactus.llm.common import as_bytes, discard, lean, slices, stored, text_bytes, work_path
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KEPT_WORDS = 400_000
@@ -248,15 +248,16 @@ def _power_bits(n: int) -> int:
 
 
 def _by_bucket(found: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(found, kind="stable")
-    edges = np.searchsorted(found[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b]:edges[b + 1]]
+    """Each bucket that occurs, and the places where it does; numbers of 16 bits are sorted digit by digit."""
+    order = np.argsort(found.astype(np.uint16) if buckets <= 1 << 16 else found, kind="stable")
+    edges = np.concatenate(([0], np.cumsum(np.bincount(found, minlength=1))))
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), order[edges[b]:edges[b + 1]]
 
 
-def _counts(files: dict[int, tuple[str, str]], found: np.ndarray, buckets: int, keys: np.ndarray) -> np.ndarray:
-    """Counts of sorted keys in the files of their buckets."""
+def _counts(files: dict[int, tuple[str, str]], found: np.ndarray, buckets: int, keys: np.ndarray, places: np.ndarray | None = None,
+            bases: dict[int, int] | None = None) -> np.ndarray:
+    """Counts of sorted keys in the files of their buckets; with `places` the keys' numbers go there as well, -1 if there is none."""
     out = np.zeros(len(keys), np.int64)
     for b, at in _by_bucket(found, buckets):
         if b not in files:
@@ -264,6 +265,8 @@ def _counts(files: dict[int, tuple[str, str]], found: np.ndarray, buckets: int,
         path, large = files[b]
         stored_keys, counts = columns_of(path)
         place, there = _find(stored_keys, keys[at])
+        if places is not None:
+            places[at] = np.where(there, bases[b] + place, -1)
         if len(counts):
             out[at] = np.where(there, counts[place], 0)
         if (full := at[out[at] == 255]).size:
@@ -328,14 +331,10 @@ class Model:
         """Counts of sorted bigram keys."""
         return _counts(self.files, _bucket_of(keys, self.buckets, self.hot), self.buckets, keys)
 
-    def ranks_of(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of sorted bigram keys, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        for b, at in _by_bucket(_bucket_of(keys, self.buckets, self.hot), self.buckets):
-            if b in self.files:
-                place, there = _find(columns_of(self.files[b][0])[0], keys[at])
-                out[at] = np.where(there, self.bases[b] + place, -1)
-        return out
+    def places_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (or -1) and counts of sorted bigram keys, by one look-up."""
+        places = np.full(len(keys), -1, np.int64)
+        return places, _counts(self.files, _bucket_of(keys, self.buckets, self.hot), self.buckets, keys, places, self.bases)
 
     def keys_of(self, ranks: np.ndarray) -> np.ndarray:
         """Bigram keys of sorted numbers below the number of bigrams."""
@@ -352,7 +351,7 @@ class Model:
         rank, count = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
         both = np.flatnonzero((before >= 0) & (number >= 0))
         keys, back = np.unique(_joined(before[both], number[both]), return_inverse=True)
-        rank[both], count[both] = self.ranks_of(keys)[back], self.counts_of(keys)[back]
+        rank[both], count[both] = (x[back] for x in self.places_of(keys))
         return before, rank, count
 
     def low(self, preceding: np.ndarray) -> np.ndarray:
@@ -527,6 +526,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
     gathered = lambda rows, name: stored(rows.filter(F.col("span").isNotNull()).select("span", "kind", "ids", "values").groupBy("span").applyInArrow(
         gather, "span int, path string, n array<long>, above long"), name)
     spans = gathered(found, "dense").collect()
+    discard(found)
     sums_of = lambda rows, k: [sum(r["n"][i] for r in rows) for i in range(k)]
     n, low = sums_of(files, 5), sums_of(spans, 4)
     low_discounts = _discounts(low)
@@ -560,7 +560,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
         middle = np.full(len(keys), begin, np.uint64)
         middle[pair < base] = model.keys_of(pair[pair < base]) & np.uint64(0xFFFFFFFF)
         ends, n = np.unique(_joined(middle, last), return_counts=True)
-        ranks = model.ranks_of(ends)
+        ranks, _ = model.places_of(ends)
         by = np.argsort(ranks)
         return _rows([*out, *span_rows(3, ranks[by], n[by])], sums)
 
@@ -583,6 +583,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
     top = counted.filter(F.col("bucket").isNotNull()).select("bucket", "path", "large", "n").collect()
     pairs = gathered(counted, "pairs")
     held = pairs.collect()
+    discard(counted)
     heads = gathered(pairs.select("span", "path").mapInArrow(by_first_word, "span int, kind int, ids binary, values binary"), "heads").collect()
     model.upper = Upper({r["bucket"]: (r["path"], r["large"]) for r in top}, hot_pairs, {r["span"]: r["path"] for r in held},
                         {r["span"]: r["path"] for r in heads}, base, _discounts(sums_of(top, 4)), _discounts(sums_of(held, 4)))
