@@ -19,6 +19,7 @@ from tactus.plans.q_sequences import SQL_METRICS, TOL, sql_strongest
 from tactus.plans.registry import query
 from tactus.session import reliable_folder, settled
 from tactus.sources import readers as rd
+from tactus.sources import updates as up
 from tactus.sources import writers as wr
 from tactus.sources.tables import HOP_SEC, SQL_FRAMES, SQL_ONSETS, frames, onsets, sql_tidy, table, table_stream
 from tactus.streaming import sessions as ss
@@ -214,10 +215,10 @@ def sql_sub_metrics(where: str, tag: str) -> str:
 def _(spark, sf):
     rows = onsets(spark, sf)
     busy = rows.groupBy("recording").agg(F.max("strength").alias("_m")).filter("_m > 200").select("recording")
-    old = _result_set(spark, sf, "click")
-    out = wr.upsert(old, wr.analysed(rows.join(busy, "recording", "left_semi"), tolerance=TOL, digits=None))
-    counts = plain(out["dyads"]).groupBy("recording").agg(F.count(F.lit(1)).alias("dyad_rows"))
-    return out["summaries"].join(counts, "recording").select("recording", "n_onsets", tidy("npvi").alias("npvi"), "dyad_rows")
+    held = up.create(_result_set(spark, sf, "click"), _fresh(spark))
+    held = up.update(held, wr.analysed(rows.join(busy, "recording", "left_semi"), tolerance=TOL, digits=None))
+    counts = up.read(held, "dyads").groupBy("recording").agg(F.count(F.lit(1)).alias("dyad_rows"))
+    return up.read(held, "summaries").join(counts, "recording").select("recording", "n_onsets", tidy("npvi").alias("npvi"), "dyad_rows")
 
 
 @query("k3_upsert_adds_columns", f"""WITH {SQL_ONSETS}, {sql_sub_metrics("layer = 'click'", '1')}, {sql_sub_metrics("layer = 'view' AND recording IN (SELECT recording FROM o GROUP BY 1 HAVING max(strength) > 200)", '2')}
@@ -228,8 +229,8 @@ def _(spark, sf):
     old = _result_set(spark, sf, "click")
     old["summaries"] = old["summaries"].select("recording", "n_onsets")
     fresh = wr.analysed(rows.filter("layer = 'view'").join(busy, "recording", "left_semi"), tolerance=TOL, digits=None)
-    out = wr.upsert(old, fresh, add_columns=True)["summaries"]
-    return out.select("recording", "n_onsets", tidy("npvi", 4).alias("npvi"))
+    held = up.update(up.create(old, _fresh(spark)), fresh, add_columns=True)
+    return up.read(held, "summaries").select("recording", "n_onsets", tidy("npvi", 4).alias("npvi"))
 
 
 @query("k4_import_matching_rows", f"""WITH {SQL_MATCHED}, ex AS (SELECT lower(c_name) || '.wav' AS k FROM customer WHERE c_acctbal > 5000)
@@ -505,9 +506,7 @@ def _(spark, sf):
 @query("e7_incremental_reanalysis", f"WITH {SQL_METRICS} SELECT recording, n_onsets, {sql_tidy('npvi')} AS npvi FROM m")
 def _(spark, sf):
     path = _fresh(spark)
-    old = _result_set(spark, sf, "click")
-    wr.write_result_set(old, f"{path}/v0")
-    versions = [f"{path}/v0"]
+    versions = [up.create(_result_set(spark, sf, "click"), f"{path}/results")]
 
     def replace(batch, epoch):
         rows = batch.select(F.col("user_id").cast("string").alias("recording"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
@@ -515,14 +514,11 @@ def _(spark, sf):
         rows.write.mode("overwrite").parquet(f"{path}/onsets/epoch={epoch}")
         known = spark.read.parquet(f"{path}/onsets").filter(F.col("epoch") <= epoch).select(*rows.columns)
         rows = known.join(rows.select("recording").distinct(), "recording", "left_semi")
-        now = wr.upsert(wr.read_result_set(spark, versions[-1], ["summaries", "dyads", "stable_dyads"]), wr.analysed(rows, tolerance=TOL, digits=None))
-        target = f"{path}/v{epoch + 1}"
-        wr.write_result_set(now, target, mode="overwrite")
-        versions.append(target)
+        versions.append(up.compact(up.update(versions[-1], wr.analysed(rows, tolerance=TOL, digits=None))))
 
     stream = table_stream(spark, sf, "events")
     ss.reanalyse_stream(stream, replace, f"{path}/checkpoint")
-    return spark.read.parquet(f"{versions[-1]}/summaries").select("recording", "n_onsets", tidy("npvi").alias("npvi"))
+    return up.read(versions[-1], "summaries").select("recording", "n_onsets", tidy("npvi").alias("npvi"))
 
 
 @query("e8_frame_ring_buffer", f"WITH {SQL_FRAMES} SELECT recording, frame FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY frame DESC) AS k FROM f) WHERE k <= 16")

@@ -15,6 +15,7 @@ from tactus.operators import profiles as pf
 from tactus.operators import stats
 from tactus.plans.catalog import QUERIES
 from tactus.sources import readers as rd
+from tactus.sources import updates as up
 from tactus.sources import writers as wr
 from tactus.streaming import sessions as ss
 
@@ -177,3 +178,44 @@ def test_streams_read_folder_tables(spark, tmp_path):
 def test_no_cartesian_plan(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("*.parquet")}
+
+
+def test_an_update_writes_only_its_bucket(spark, folder):
+    pairs = [(f"Rec{i}.wav", k, i + k / 10) for i in range(30) for k in range(3)]
+    tables = {"summaries": spark.createDataFrame([(f"Rec{i}.wav", i, "old") for i in range(30)], "recording string, n long, note string"),
+              "dyads": spark.createDataFrame(pairs, "recording string, idx long, v double")}
+    held = up.create(tables, str(folder), buckets=8)
+    before = files_of(folder)
+    fresh = {"summaries": spark.createDataFrame([("/x/REC3.WAV", 77, 5.0)], "recording string, n long, extra double"),
+             "dyads": spark.createDataFrame([("/x/REC3.WAV", 0, -1.0)], "recording string, idx long, v double")}
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for add_columns in (False, True):
+        new = up.update(held, fresh, add_columns=add_columns)
+        after = files_of(folder)
+        data = {f for f in after - before if not f.startswith("versions")}
+        assert before <= after and len({f.split("_bucket=")[1].split("/")[0] for f in data}) == 1
+        want = wr.upsert(tables, fresh, add_columns=add_columns)
+        for name in ("summaries", "dyads"):
+            assert rows(up.read(new, name)) == rows(want[name])
+            assert rows(up.read(held, name)) == rows(tables[name])  # the version before is as it was
+        before, held_after = after, new
+        held = up.opened(spark, str(folder), 0, 8) if not add_columns else held
+        if not add_columns:
+            for f in [*(folder / "versions" / "1").iterdir()]:
+                f.unlink()
+            (folder / "versions" / "1").rmdir()
+            before = files_of(folder)
+    for i in range(3):  # more updates of one bucket, then only that one is compacted
+        held_after = up.update(held_after, {**fresh, "summaries": spark.createDataFrame([("REC3.wav", i, None)], "recording string, n long, note string")})
+    want = rows(up.read(held_after, "summaries"))
+    before = files_of(folder)
+    small = up.compact(held_after, deltas=3)
+    data = {f for f in files_of(folder) - before if not f.startswith("versions")}
+    assert len({f.split("_bucket=")[1].split("/")[0] for f in data}) == 1
+    assert rows(up.read(small, "summaries")) == want and small.manifest().filter("NOT base").isEmpty()
+    assert len(up.read(small, "dyads").filter("lower(recording) LIKE '%rec3.wav'").collect()) == 1
+    assert up.compact(small).version == small.version
