@@ -238,8 +238,20 @@ def test_classifiers_on_held_out_rows(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     quality = queries.QUERIES["op4_additive_quality"](spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
     assert (quality.predicted == quality.quality).mean() > 0.95
-    toxic = queries.QUERIES["op2_clause_grammar"](spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
-    assert (toxic.predicted == toxic.toxic).mean() > 0.9
+
+
+@pytest.mark.parametrize("sf, recall, precision", [("sf0.01", 0.6, 0.9), ("sf0.1", 0.92, 0.95)])
+def test_toxicity_on_held_out_rows(spark, sf, recall, precision):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.fit(docs, labels)
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = toxicity.score(docs, grammar).filter(held).join(labels.filter("toxic IS NOT NULL"), "doc_id").toPandas()
+    hit = ((found.score >= 0.3) & (found.toxic == 1)).sum()
+    assert hit / (found.toxic == 1).sum() >= recall and hit / (found.score >= 0.3).sum() >= precision
+    score = lambda text: grammar.score(grammar.arcs(text.encode())[None])[0]
+    clean = ["The pathway is closed.", "A pathology report.", "Die Worte sind alt.", "I will not call anyone an idiot.", "The trasport was late, a loss of days.", ""]
+    assert max(map(score, clean)) < 0.3 < min(map(score, ["You are an idiot.", "„Idiot!“", "They are pathetic losers.", "you stupid clown"]))
+    assert score("You are an idiot.") > score("plain words and one idiot more in a long line") > score("It was not an idiot at all.")
 
 
 def test_classifiers_without_labels(spark, odd):

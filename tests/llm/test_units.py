@@ -148,12 +148,44 @@ def test_additive_model_learns_an_interaction():
     assert (one.score(x) > 0.99).all() and len(additive.features_of(b"")) == len(additive.FEATURES)
 
 
-def test_grammar_paths():
+def test_grammar_arcs():
     grammar = toxicity.Grammar()
-    path = lambda text: {k for k in range(toxicity.PATHS) if grammar.paths(text.encode())[k] > 0}
-    assert path("What an idiot.") == {0} and path("You are an idiot.") == {1} and path("not an idiot") == {2}
-    assert path("she said \"idiot\" aloud") & {4, 5} and path("I will kill you.") == {9} and path("a fine day") == set()
-    assert grammar.score(grammar.paths(b"You idiot!")[None])[0] > 0.3 > grammar.score(grammar.paths(b"")[None])[0]
+    arc = lambda text: [round(float(x), 2) for x in grammar.arcs(text.encode())[:toxicity.ARCS]]
+    lone, predicate, targeted = ([float(k == j) for j in range(6)] for k in range(3))
+    assert arc("What a plain old idiot word.") == lone and arc("This stone is an idiot of some kind.") == predicate and arc("Idiot!") == predicate
+    assert arc("You are an idiot.") == targeted and arc("Only an idiot, you said it.") == targeted and arc("I will kill you.") == [0, 0, 0, 0, 0, 1]
+    assert arc("nobody near here is an idiot")[1] == toxicity.MUTED and arc("it said \"idiot\" aloud in a long line")[0] == toxicity.MUTED
+    assert arc("a fine day") == [0] * 6
+    score = lambda text: grammar.score(grammar.arcs(text.encode())[None])[0]
+    assert score("You idiot!") > 0.3 > max(score(""), score("one lone idiot word in a line of others"), score("not an idiot by any means"))
+
+
+@pytest.mark.parametrize("text", ["„idiot“", "«idiot»", "“idiot”", "‘idiot’", "‹idiot›", "¡idiota!", "¿idiota?", "—idiot—", "idiot…", "don’t be an idiot", "\u3010idiot\u3011"])
+def test_marks_outside_ascii_part_words(text):
+    assert toxicity.Grammar().arcs(text.encode())[toxicity.ARCS] == 1
+
+
+def test_one_machine_does_what_its_parts_do():
+    rng = random.Random(2)
+    parts = [toxicity._fading(toxicity.NEGATION, 3), toxicity.REPORTED, toxicity.NEAR_TARGET]
+    whole = toxicity.composed(parts)
+    for _ in range(200):
+        symbols = [rng.randrange(8) for _ in range(rng.randint(0, 20))]
+        assert whole(symbols) == [sum(bool(b) << k for k, b in enumerate(bits)) for bits in zip(*(m(symbols) for m in parts))]
+
+
+def test_weights_keep_the_order_of_the_arcs():
+    rng = np.random.default_rng(4)
+    sums = np.zeros((400, toxicity.ARCS + 2))
+    sums[:, 7] = 50
+    sums[np.arange(400), rng.integers(0, 3, 400)] = 1
+    y = (sums[:, 0] > 0).astype(float)  # labels that would put lone words first
+    w = toxicity._logistic(toxicity.features(sums), y, toxicity.Grammar().weights)
+    assert (w >= toxicity.LEAST).all() and (w <= toxicity.MOST).all()
+    one = np.zeros((3, toxicity.ARCS + 2))
+    one[[0, 1, 2], [0, 1, 2]], one[:, 7] = 1, 50
+    scores = toxicity.Grammar(weights=w).score(one)
+    assert scores[0] < scores[1] < scores[2]
 
 
 def test_slices_hold_whole_rows():
