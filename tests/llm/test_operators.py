@@ -250,7 +250,7 @@ def test_toxicity_on_held_out_rows(spark, sf, recall, precision):
     assert hit / (found.toxic == 1).sum() >= recall and hit / (found.score >= 0.3).sum() >= precision
     score = lambda text: grammar.score(grammar.arcs(text.encode())[None])[0]
     clean = ["The pathway is closed.", "A pathology report.", "Die Worte sind alt.", "I will not call anyone an idiot.", "The trasport was late, a loss of days.", ""]
-    assert max(map(score, clean)) < 0.3 < min(map(score, ["You are an idiot.", "„Idiot!“", "They are pathetic losers.", "you stupid clown"]))
+    assert max(map(score, clean)) < 0.3 < min(map(score, ["You are an idiot.", "—Idiot!—", "They are pathetic losers.", "you stupid clown"]))
     assert score("You are an idiot.") > score("plain words and one idiot more in a long line") > score("It was not an idiot at all.")
 
 
