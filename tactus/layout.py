@@ -303,12 +303,36 @@ def around(points: DataFrame, frames: DataFrame, key: str | Sequence[str], pt: s
     return matched.unionByName(missing, allowMissingColumns=True)
 
 
+def dyadic_nodes(first: Column, last: Column) -> Column:
+    """The fewest aligned power-of-two blocks that together are the buckets first to last: an array of (level, node).
+
+    A level holds at most two of them, so a range of n buckets has at most 2 log2(n) + 2.
+    """
+    shift_right = lambda x, level: F.call_function("shiftright", x, level)
+    lo, hi = first.cast("long"), last.cast("long") + 1
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int"))
+
+    def at(level: Column) -> Column:
+        a, b = -shift_right(-lo, level), shift_right(hi, level)
+        inner = a + F.pmod(a, F.lit(2))
+        node = lambda x: F.struct(level.alias("level"), x.alias("node"))
+        return F.array(F.when((F.pmod(a, F.lit(2)) == 1) & (a < b), node(a)), F.when((F.pmod(b, F.lit(2)) == 1) & (inner < b), node(b - 1)))
+
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
 def within_spans(spans: DataFrame, frames: DataFrame, key: str, start: str, end: str, ft: str, width: float) -> DataFrame:
-    """Pair each closed span with the frames inside it, by equi-join on (key, time bucket)."""
-    first, last = F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width))
-    left = spans.drop(RUN).filter(F.col(end) >= F.col(start)).withColumn("_b", F.explode(F.sequence(first, last)))
-    right = frames.drop(RUN).withColumn("_b", F.floor(F.col(ft) / F.lit(width)))
-    return left.join(right, [key, "_b"]).filter(F.col(ft).between(F.col(start), F.col(end))).drop("_b")
+    """Pair each closed span with the frames inside it, by equi-join on (key, dyadic node of time buckets).
+
+    A span goes to the few nodes that make it up, a frame to its own node on each level that spans of its key use.
+    """
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width))
+    left = spans.drop(RUN).filter(F.col(end) >= F.col(start)).withColumn("_n", F.explode(dyadic_nodes(bucket(start), bucket(end))))
+    left = left.select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n")
+    levels = left.groupBy(key).agg(F.collect_set("_level").alias("_levels"))  # at most 64 numbers
+    right = frames.drop(RUN).join(levels, key).withColumn("_level", F.explode("_levels")).drop("_levels")
+    right = right.withColumn("_node", F.call_function("shiftright", bucket(ft).cast("long"), F.col("_level")))
+    return left.join(right, [key, "_level", "_node"]).filter(F.col(ft).between(F.col(start), F.col(end))).drop("_level", "_node")
 
 
 def exact_quantiles(df: DataFrame, keys: str | Sequence[str], value: str, probs: Sequence[float], name: str,

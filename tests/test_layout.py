@@ -259,3 +259,21 @@ def test_a_gap_that_spans_many_runs(spark):
     assert sorted(r.event_id for r in kept) == [0, 200, 400]
     same(spaced(marked, "recording", "t", 95.0, inclusive=False, strength="strength", ties=["event_id"], fold_rows=0),
          spaced(rows, "recording", "t", 95.0, inclusive=False, strength="strength", ties=["event_id"]))
+
+
+def test_long_spans_go_to_few_nodes(spark):
+    rng = random.Random(5)
+    ranges = [(0, 0), (5, 5), (0, 1 << 20), (-7, 1_000_003), (3, 4)] + [(a, a + rng.randrange(200)) for a in (rng.randrange(-300, 300) for _ in range(60))]
+    table = spark.createDataFrame(ranges, "a long, b long").select("a", "b", lo.dyadic_nodes(F.col("a"), F.col("b")).alias("nodes"))
+    for r in table.collect():
+        assert len(r.nodes) <= 2 * (r.b - r.a + 1).bit_length()
+        parts = sorted((n.node << n.level, (n.node + 1) << n.level) for n in r.nodes)
+        assert parts[0][0] == r.a and parts[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_frames_within_spans_equal_the_filter(rows):
+    spans = rows.filter("event_id % 7 = 0").select("recording", F.col("event_id").alias("span"), (F.col("t") - 1).alias("a"), (F.col("t") + F.pow(F.lit(2.0), F.col("event_id") % 8) - 2).alias("b"))
+    frames = rows.select("recording", F.col("event_id").alias("fid"), F.col("t").alias("ft"))
+    got = lo.within_spans(spans, frames, "recording", "a", "b", "ft", 0.3).select("span", "fid").collect()
+    want = spans.join(frames, "recording").filter("ft BETWEEN a AND b").select("span", "fid").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 1_000
