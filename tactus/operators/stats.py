@@ -94,6 +94,33 @@ def resample_rest(rows: DataFrame, draws: int, seed: int, value: str = "r_k", ke
     return both.filter("_side = 0").groupBy(key, F.col(f"_hit.{value}").alias(value)).agg(F.sum("n").alias("n"))
 
 
+def ks_against(rows: DataFrame, null: DataFrame, value: str = "r_k", key: str = "grp", *, alternative: str = "two-sided") -> DataFrame:
+    """Distance of each group to a given null sample (a table with the same value column), the point and the p-value.
+
+    `greater`: the group's distribution lies above the null's (its values are smaller), `less`: below, `two-sided`: either.
+    Groups or null samples of fewer than two values have no distance. The null is counted once and meets the groups'
+    different values in one order, so it is not repeated per group.
+    """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(alternative)
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    nulls = settled(null.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m")))
+    total = nulls.agg(F.sum("_m")).first()[0] or 0
+    both = nulls.unionByName(counted.select("_v").distinct().withColumn("_m", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_m").alias("_m")).withColumn("_one", F.lit(0))
+    both = plain(running(plan_layout(both, "_one", "_v").mark(both), "_one", "_v", {"_null": ("sum", "_m")})).drop("_one")
+    own = plain(running(plan_layout(counted, key, "_v").mark(counted), key, "_v", {"_cum": ("sum", "_c")}))
+    points = own.join(both, "_v").join(counted.groupBy(key).agg(F.sum("_c").alias("n")), key)
+    share = lambda c: c / F.lit(float(total)) if total else F.lit(None).cast("double")
+    above = F.col("_cum") / F.col("n") - share(F.col("_null"))
+    below = share(F.col("_null") - F.col("_m")) - (F.col("_cum") - F.col("_c")) / F.col("n")
+    gap = {"greater": above, "less": below, "two-sided": F.greatest(above, below)}[alternative]
+    best = points.groupBy(key).agg(F.first("n").alias("n"), F.greatest(F.max(gap), F.lit(0.0)).alias("d"), F.max_by("_v", F.struct(gap, -F.col("_v"))).alias("at"))
+    n_null = F.lit(total).cast("long")
+    d = F.when((F.col("n") >= 2) & (n_null >= 2), F.col("d"))
+    tail = tails.ks_two_sample if alternative == "two-sided" else tails.ks_one_way
+    return best.select(key, "n", n_null.alias("n_null"), d.alias("d"), "at", tail(d, F.col("n"), n_null).alias("p"))
+
+
 def two_samples(rows: DataFrame, keys: str | Sequence[str], value: str, side: Column) -> DataFrame:
     """Rank-sum U, its tie term and the two-sample KS distance for each key; `side` is true for the first sample."""
     keys = as_list(keys)

@@ -196,6 +196,20 @@ def _(spark, sf):
     return _rounded(stats.ks_rest(_ratios(spark, sf)).drop("p"), "grp", "n", "n_rest")
 
 
+# A null sample from another table: quantities as shares of the largest one and one more.
+SQL_NULL = f"""{SQL_GD}, nl AS (SELECT l_quantity / 51.0::DOUBLE AS x FROM lineitem WHERE l_quantity IS NOT NULL), pt AS (SELECT DISTINCT x FROM (SELECT x FROM nl UNION ALL SELECT r_k FROM rk WHERE r_k IS NOT NULL)),
+  nc AS (SELECT x, count(*) AS c FROM nl GROUP BY 1), gc AS (SELECT grp, r_k AS x, count(*) AS c FROM rk WHERE r_k IS NOT NULL GROUP BY 1, 2),
+  cd AS (SELECT g.grp, pt.x, sum(coalesce(gc.c, 0)) OVER w / sum(coalesce(gc.c, 0)) OVER p AS fg, sum(coalesce(nc.c, 0)) OVER w / sum(coalesce(nc.c, 0)) OVER p AS fn, sum(coalesce(gc.c, 0)) OVER p AS n, sum(coalesce(nc.c, 0)) OVER p AS n_null
+    FROM (SELECT DISTINCT grp FROM gc) g CROSS JOIN pt LEFT JOIN gc ON gc.grp = g.grp AND gc.x = pt.x LEFT JOIN nc ON nc.x = pt.x WINDOW w AS (PARTITION BY g.grp ORDER BY pt.x), p AS (PARTITION BY g.grp))"""
+
+
+@query("g2_ks_against_given_null", f"""WITH {SQL_NULL} SELECT grp, n::BIGINT AS n, n_null::BIGINT AS n_null, {sql_tidy('max(abs(fg - fn))')} AS d, {sql_tidy('greatest(max(fg - fn), 0)')} AS d_greater, {sql_tidy('greatest(max(fn - fg), 0)')} AS d_less FROM cd GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    rows, null = _ratios(spark, sf), table(spark, sf, "lineitem").select((F.col("l_quantity") / 51.0).alias("r_k"))
+    one = lambda alternative, name: stats.ks_against(rows, null, alternative=alternative).select("grp", "n", "n_null", tidy("d").alias(name))
+    return one("two-sided", "d").join(one("greater", "d_greater"), ["grp", "n", "n_null"]).join(one("less", "d_less"), ["grp", "n", "n_null"])
+
+
 @query("g2_resampled_null_distance")
 def _(spark, sf):
     rows = _ratios(spark, sf)
