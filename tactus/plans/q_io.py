@@ -275,7 +275,7 @@ def _words(spark, sf):
   SELECT recording, {sql_tidy('s')} AS start, {sql_tidy('e')} AS "end", label FROM wd UNION ALL SELECT recording, {sql_tidy('pe')}, {sql_tidy('s')}, '' FROM g WHERE s > pe + 0.001 UNION ALL SELECT recording, {sql_tidy('e')}, {sql_tidy('duration')}, '' FROM g JOIN du USING (recording) WHERE last AND e < duration""")
 def _(spark, sf):
     words, durations = _words(spark, sf)
-    rows = fr.gap_filled(words.join(durations, "recording"))
+    rows = fr.gap_filled(lay_out(words.join(durations, "recording"), "recording", "seq"))
     return rows.select("recording", tidy("start").alias("start"), tidy("end").alias("end"), "label")
 
 
@@ -287,18 +287,32 @@ def _(spark, sf):
 @query("k7_x13_subtitle_blocks", f"""WITH {SQL_WORDS}, q AS (SELECT recording, seq, label, row_number() OVER (PARTITION BY recording ORDER BY seq) AS number, CAST(floor(s * 1000 + 0.5) AS BIGINT) AS a, CAST(floor(e * 1000 + 0.5) AS BIGINT) AS b FROM wd)
   SELECT recording, number, number || chr(10) || printf('%02d:%02d:%02d.%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || label || chr(10) AS block FROM q""")
 def _(spark, sf):
-    words = row_index(_words(spark, sf)[0], "recording", "seq", "number")
+    words = row_index(lay_out(_words(spark, sf)[0], "recording", "seq"), "recording", "seq", "number")
     return wr.subtitle_blocks(words)
 
 
+def sql_lines(source: str, tier: int, item: str, lines: list[str]) -> str:
+    """Lines of a document in order, from a list of text expressions per row."""
+    return f"SELECT recording, {tier}::INT AS tier, ({item})::INT AS item, (i - 1)::INT AS part, l[i] AS line FROM (SELECT *, [{', '.join(lines)}] AS l FROM {source}), (SELECT unnest(range(1, {len(lines) + 1})) AS i)"
+
+
+def _tier(number: int, kind: str, name: str, what: str, count: str) -> list[str]:
+    return [f"'    item [{number}]:'", f"""'        class = "{kind}"'""", f"""'        name = "{name}"'""", "'        xmin = 0'", "'        xmax = ' || d", f"'        {what}: size = ' || {count}"]
+
+
 @query("k8_interval_tier_document", f"""WITH {SQL_WORDS}, g AS (SELECT *, coalesce(lag(e) OVER w, 0) AS pe, lead(s) OVER w IS NULL AS last FROM wd WINDOW w AS (PARTITION BY recording ORDER BY seq)),
-  n AS (SELECT recording, count(*) + count(*) FILTER (s > pe + 0.001) + count(*) FILTER (last) AS m, count(*) AS k FROM g GROUP BY 1) SELECT recording, 8 + 6 + 6 + 3 * k + 4 * m AS n_lines, k AS n_points, m AS n_intervals FROM n""")
+  fi AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY seq, part) AS item FROM (SELECT recording, seq, 0 AS part, pe AS a, s AS b, '' AS label FROM g WHERE s > pe + 0.001 UNION ALL SELECT recording, seq, 1, s, e, label FROM g
+    UNION ALL SELECT recording, seq, 2, e, duration, '' FROM g JOIN du USING (recording) WHERE last AND e < duration)),
+  po AS (SELECT recording, s, row_number() OVER (PARTITION BY recording ORDER BY seq) AS item FROM wd),
+  hd AS (SELECT recording, printf('%.6f', duration) AS d, (SELECT count(*) FROM po WHERE po.recording = du.recording) AS np, (SELECT count(*) FROM fi WHERE fi.recording = du.recording) AS ni FROM du)
+  {sql_lines('hd', 0, '0', ["'File type = ' || chr(34) || 'ooTextFile' || chr(34)", "'Object class = ' || chr(34) || 'TextGrid' || chr(34)", "''", "'xmin = 0'", "'xmax = ' || d", "'tiers? <exists>'", "'size = 2'", "'item []:'"])}
+  UNION ALL {sql_lines('hd', 1, '0', _tier(1, 'TextTier', 'Onsets', 'points', 'np'))} UNION ALL {sql_lines('hd', 2, '0', _tier(2, 'IntervalTier', 'Words', 'intervals', 'ni'))}
+  UNION ALL {sql_lines('po', 1, 'item', ["'        points [' || item || ']:'", "'            number = ' || printf('%.6f', s)", "'            mark = ' || chr(34) || 'Onset_' || item || chr(34)"])}
+  UNION ALL {sql_lines('fi', 2, 'item', ["'        intervals [' || item || ']:'", "'            xmin = ' || printf('%.6f', a)", "'            xmax = ' || printf('%.6f', b)", "'            text = ' || chr(34) || label || chr(34)"])}""")
 def _(spark, sf):
     words, durations = _words(spark, sf)
-    points = row_index(words.select("recording", "seq", F.col("start").alias("t")), "recording", "seq", "onset_idx")
-    lines = wr.grid_lines(points, words, durations)
-    return lines.groupBy("recording").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when((F.col("tier") == 1) & (F.col("item") > 0) & (F.col("part") == 0), 1)).alias("n_points"),
-                                          F.count(F.when((F.col("tier") == 2) & (F.col("item") > 0) & (F.col("part") == 0), 1)).alias("n_intervals"))
+    points = row_index(lay_out(words.select("recording", "seq", F.col("start").alias("t")), "recording", "seq"), "recording", "seq", "onset_idx")
+    return wr.grid_lines(plain(points), words, durations)
 
 
 @query("k9_selection_onset_table", f"""WITH RECURSIVE {SQL_RISES}, {sql_events('sx')} SELECT 'Selection' AS target_label, recording AS asset_id, 'spectral_flux' AS onset_method, row_number() OVER w - 1 AS onset_index, event_id AS frame, {sql_tidy('t')} AS t, {sql_tidy('strength')} AS strength, {sql_tidy('t - lag(t) OVER w')} AS ioi_sec FROM kept WINDOW w AS (PARTITION BY recording ORDER BY t, event_id)""")

@@ -132,9 +132,9 @@ def grid_lines(onsets: DataFrame, words: DataFrame, durations: DataFrame) -> Dat
     onsets: recording, onset_idx, t; words: recording, seq, start, end, label; durations: recording, duration.
     """
     points = onsets.groupBy("recording").agg(F.count(F.lit(1)).alias("_n"))
-    filled = gap_filled(words.join(durations, "recording"))
-    rank = F.row_number().over(Window.partitionBy("recording").orderBy("seq", "part"))
-    filled = filled.withColumn("item", rank)
+    # Gaps are filled and intervals numbered run by run where a recording is oversized.
+    filled = gap_filled(lay_out(words.join(durations, "recording"), "recording", "seq"))
+    filled = plain(row_index(lay_out(filled, "recording", "seq"), "recording", ["seq", "part"], "item"))
     spans = filled.groupBy("recording").agg(F.count(F.lit(1)).alias("_m"))
     heads = durations.join(points, "recording", "left").join(spans, "recording", "left").fillna(0, ["_n", "_m"])
     d = fixed("duration", 6)

@@ -277,3 +277,15 @@ def test_frames_within_spans_equal_the_filter(rows):
     got = lo.within_spans(spans, frames, "recording", "a", "b", "ft", 0.3).select("span", "fid").collect()
     want = spans.join(frames, "recording").filter("ft BETWEEN a AND b").select("span", "fid").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 1_000
+
+
+def test_interval_tiers_of_a_split_recording(rows, monkeypatch):
+    from tactus.sources import writers as wr
+
+    words = rows.filter("recording IN ('hot', 'r1')").select("recording", F.col("event_id").alias("seq"), F.lit("w").alias("label"), (F.col("event_id") + F.col("strength") * 0.5).alias("start"),
+                                                             (F.col("event_id") + 0.9).alias("end"))
+    durations = words.groupBy("recording").agg((F.max("end") + 1).alias("duration"))
+    points = lo.row_index(words.select("recording", "seq", F.col("start").alias("t")), "recording", "seq", "onset_idx")
+    whole = sorted(map(tuple, wr.grid_lines(points, words, durations).collect()))
+    monkeypatch.setattr(wr, "lay_out", lambda df, keys, order: lo.lay_out(df, keys, order, hot_rows=100, run_rows=40))
+    assert sorted(map(tuple, wr.grid_lines(points, words, durations).collect())) == whole and len(whole) > 3_000
