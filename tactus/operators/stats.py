@@ -121,11 +121,15 @@ def ks_against(rows: DataFrame, null: DataFrame, value: str = "r_k", key: str =
     return best.select(key, "n", n_null.alias("n_null"), d.alias("d"), "at", tail(d, F.col("n"), n_null).alias("p"))
 
 
-def two_samples(rows: DataFrame, keys: str | Sequence[str], value: str, side: Column) -> DataFrame:
-    """Rank-sum U, its tie term and the two-sample KS distance for each key; `side` is true for the first sample."""
+def two_samples(rows: DataFrame, keys: str | Sequence[str], value: str, side: Column, times: Column | None = None) -> DataFrame:
+    """Rank-sum U, its tie term and the two-sample KS distance for each key; `side` is true for the first sample.
+
+    `times` says how often a row counts.
+    """
     keys = as_list(keys)
-    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.when(side, 1)).alias("_a"), F.count(F.when(~side, 1)).alias("_b")))
+    times = F.lit(1).cast("long") if times is None else times
+    number = lambda which: F.sum(F.when(which, times).otherwise(F.lit(0).cast("long")))
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(number(side).alias("_a"), number(~side).alias("_b")))
     layout = plan_layout(counted, keys, value)
     ranked = plain(running(layout.mark(counted), keys, value, {"_ca": ("sum", "_a"), "_cb": ("sum", "_b")}))
     sizes = counted.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
@@ -197,8 +201,10 @@ def pairwise(rows: DataFrame, metrics: Sequence[str], *, key: str = "grp", test:
         F.struct(F.col("group_b").alias("g"), F.lit(False).alias("first")))))
     sides = sides.select("group_a", "group_b", F.col("_s.g").alias(key), F.col("_s.first").alias("_first"))
     long = rows.unpivot([key], list(metrics), "metric", "value").filter("value IS NOT NULL")
+    # equal values of a group are counted before they meet the group's partners
+    long = long.groupBy(key, "metric", "value").agg(F.count(F.lit(1)).alias("_times"))
     both = long.join(sides, key)
-    out = two_samples(both, ["metric", "group_a", "group_b"], "value", F.col("_first"))
+    out = two_samples(both, ["metric", "group_a", "group_b"], "value", F.col("_first"), F.col("_times"))
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
     n_a, n_b = F.col("n_a"), F.col("n_b")
     if test == "ks":
