@@ -182,6 +182,11 @@ def _times(counts: np.ndarray) -> dict:
     return {f"n{k}": int((counts == k).sum()) for k in (1, 2, 3, 4)}
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The values in the fewest bytes that hold them all."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def _counts_file(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> tuple[str, str]:
     """Keys with counts up to 255 in a byte; larger counts in a small file beside."""
     large = np.flatnonzero(counts > 255)
@@ -284,8 +289,10 @@ def _dense(files: dict[int, str], span: int, number: np.ndarray) -> tuple[np.nda
     for s in np.unique(spans):
         if s in files:
             a, z = np.searchsorted(spans, (s, s + 1))
+            place = number[a:z] - s * span
             for o, column in zip(out, columns_of(files[s])):
-                o[a:z] = column[number[a:z] - s * span]
+                if len(column):  # what lies beyond a file's end is zero
+                    o[a:z] = np.where(place < len(column), column[np.minimum(place, len(column) - 1)], 0)
     return out
 
 
@@ -519,7 +526,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
             dense[kind][np.cumsum(_unplaned(ids, np.uint32).astype(np.int64))] += _unplaned(values, np.uint32)
         s = table["span"][0].as_py()
         used = int(np.flatnonzero(dense.any(0))[-1]) + 1 if dense.any() else 0
-        path = _save(folder, f"dense-{s}", {k: v for k, v in zip(("once", "twice", "more", "preceding"), dense.astype(np.uint32))})
+        path = _save(folder, f"dense-{s}", {k: _narrow(v) for k, v in zip(("once", "twice", "more", "preceding"), dense[:, :used])})
         return pa.table({"span": pa.array([s], pa.int32()), "path": [path], "n": [list(_times(dense[3][:used]).values())], "above": [int((dense[3] > 2).sum())]})
 
     files = found.filter(F.col("bucket").isNotNull()).select("bucket", "path", "large", "n", "place", "times").orderBy("bucket").collect()
@@ -569,11 +576,12 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
         for batch in batches:
             for s, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ranks = np.arange(s * span, min((s + 1) * span, base))
-                before = columns_of(path)[3][:len(ranks)].astype(np.int64)
+                before, held = np.zeros(len(ranks), np.int64), columns_of(path)[3][:len(ranks)]
+                before[:len(held)] = held
                 head = (model.keys_of(ranks) >> np.uint64(32)).astype(np.int64)
                 out = []
-                for kind, held in enumerate((before == 1, before == 2, before > 2)):
-                    out += span_rows(kind, *np.unique(head[held], return_counts=True))
+                for kind, some in enumerate((before == 1, before == 2, before > 2)):
+                    out += span_rows(kind, *np.unique(head[some], return_counts=True))
                 ids, at = np.unique(head, return_inverse=True)
                 out += span_rows(3, ids, np.bincount(at, before, len(ids)).astype(np.int64))
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
