@@ -13,8 +13,8 @@ _SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
-    """A local session; on a cluster the caller brings its own."""
-    return (
+    """A local session with this package for its workers; on a cluster the caller brings its own and calls `ship`."""
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tactus")
         .config("spark.sql.shuffle.partitions", "8")
@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(session)
+    return session
 
 
 def reliable_folder(spark: SparkSession) -> str:
