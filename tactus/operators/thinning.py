@@ -158,7 +158,7 @@ def _parted_in_runs(df: DataFrame, keys: list[str], order: str, fresh: str, leve
 
 def _as_row(rows: pd.DataFrame, i: int, columns: list[str]) -> dict:
     values = (rows[c].iat[i] for c in columns)
-    return {c: None if v is None or v != v else v for c, v in zip(columns, values, strict=True)}
+    return {c: None if pd.api.types.is_scalar(v) and pd.isna(v) else v for c, v in zip(columns, values, strict=True)}
 
 
 def _largest(df: DataFrame, keys: list[str], at_most: int | None, limit: int) -> int:
