@@ -7,15 +7,17 @@ spread over tasks. Tail probabilities are taken on the finished one-row-per-test
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tactus.functions import tails
-from tactus.functions.numeric import DRAW_MODULUS, draw, ratio, wide_draw
-from tactus.layout import as_list, average_ranks, exact_quantiles, lay_out, plain, plan_layout, row_index, running, shift
+from tactus.functions.numeric import DRAW_MODULUS, DRAW_OFFSET, ratio, wide_draw
+from tactus.layout import as_list, average_ranks, lay_out, plain, plan_layout, row_index, running, shift
 from tactus.session import settled
 
 # Cumulative probabilities of the Poisson law with mean 1 for 0 to 12 events; more are rarer than a draw's resolution.
@@ -229,27 +231,120 @@ def bootstrap_mean(rows: DataFrame, value: str, reps: int, seed: int, *, key: st
     number depends on seed, replicate and the row's rank in its group alone, so results are the same at every size and
     partitioning, and replicates are summed map-side without moving rows.
     """
-    means = _resampled(rows, {"m": F.col(value)}, reps, seed, key)
-    return _interval(means.withColumn("stat", F.col("s_m") / F.col("w")), key, level)
-
-
-def _interval(reps: DataFrame, key: str, level: float) -> DataFrame:
-    tail = (1 - level) / 2
-    out = exact_quantiles(reps.filter("stat IS NOT NULL"), key, "stat", [tail, 1 - tail], "_q")
-    return out.select(key, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
-
-
-def _resampled(rows: DataFrame, terms: dict[str, Column], reps: int, seed: int, key: str) -> DataFrame:
-    """Weighted sums of the terms per (key, replicate)."""
+    return _resampled(rows, {"m": F.col(value)}, lambda s: s[1] / s[0], reps, seed, key, level)
+
+
+#: Rows of a key that are summed at once, and draws in memory at once.
+CHUNK, DRAWS = 1 << 16, 1 << 15
+
+
+def _poisson_counts(seed: int, reps: int, items: np.ndarray) -> np.ndarray:
+    """How often each item (row) counts in each replicate (column): the numbers of `draw` against `POISSON_ONE`."""
+    m, offset = np.uint64(DRAW_MODULUS), np.uint64(DRAW_OFFSET)
+    bits, one = np.uint64(31), np.uint64(1)
+    high = np.empty((len(items), reps), np.uint64)
+
+    def fold(x: np.ndarray) -> np.ndarray:  # the modulus is 2^31 - 1; a number below 2^32 comes below 2^31 + 1
+        h = np.right_shift(x, bits, out=high[:len(x)] if x.ndim == 2 else None)
+        x &= m
+        x += h
+        return x
+
+    def stir(x: np.ndarray) -> np.ndarray:
+        x = fold(x)
+        x *= x + offset
+        return fold(fold(x))
+
+    def least(p: float) -> int:  # the first draw that reaches a probability
+        at = max(math.floor(p * DRAW_MODULUS) - 1, 0)
+        return next(d for d in range(at, at + 4) if d / float(DRAW_MODULUS) >= p or d >= DRAW_MODULUS)
+
+    a = stir((seed + np.arange(reps, dtype=np.int64) * 104_729).astype(np.uint64) % m)
+    step, place = ((items.astype(np.uint64) * np.uint64(k) % m)[:, None] for k in (1_299_709, 1))
+    x = stir(step + a)
+    x += a
+    x = stir(x)
+    x += place
+    x = stir(x)
+    x += one  # m itself is zero
+    u = (fold(x) - one).astype(np.int32)
+    out = np.zeros(u.shape, np.int8)
+    for p in POISSON_ONE:
+        if (limit := least(p)) < DRAW_MODULUS:
+            out += u >= np.int32(limit)
+    return out
+
+
+def _resampled(rows: DataFrame, terms: dict[str, Column], stat: Callable[[np.ndarray], np.ndarray], reps: int, seed: int, key: str,
+               level: float) -> DataFrame:
+    """Percentile limits per key of a statistic of the replicates' weighted sums (row 0: weights, then the terms).
+
+    Rows are moved once, by key and chunk, and counted as one matrix product per key and block. A key of one chunk is
+    finished there; a longer one leaves its sums, a row per replicate and chunk, to be added.
+    """
     names = list(terms)
     data = rows.select(key, *[c.cast("double").alias(n) for n, c in terms.items()]).dropna(subset=names)
-    data = plain(row_index(lay_out(data, key, names[0]), key, names, "_i"))
-    spread = data.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = draw(seed, F.col("_rep"), F.col("_i") - 1) / F.lit(float(DRAW_MODULUS))
-    weight = sum((F.when(u >= p, 1.0).otherwise(0.0) for p in POISSON_ONE[1:]), F.when(u >= POISSON_ONE[0], 1.0).otherwise(0.0))
-    spread = spread.withColumn("_w", weight)
-    return spread.groupBy(key, "_rep").agg(F.sum("_w").alias("w"), *[
-        F.sum(F.col("_w") * F.col(n)).alias(f"s_{n}") for n in names]).filter("w > 0")
+    data = row_index(lay_out(data, key, names[0]), key, names, "_i")
+    data = plain(shift(data, key, "_i", {"_next": ("_i", 1)}))
+    data = data.select(key, F.col("_i") - 1, F.col("_next").isNull(), *names).toDF(key, "_i", "_last", *names)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number is given, as the work is many times what the size of the rows suggests
+    data = data.withColumn("_chunk", F.floor(F.col("_i") / CHUNK)).repartition(tasks, key, "_chunk").sortWithinPartitions(key, "_chunk", "_i").drop("_chunk")
+    tails_ = ((1 - level) / 2, 1 - (1 - level) / 2)
+
+    def limits(sums: np.ndarray) -> tuple[float | None, float | None]:
+        with np.errstate(all="ignore"):
+            found = stat(sums[:, sums[0] > 0])
+        found = np.sort(found[~np.isnan(found)])
+        if not len(found):
+            return None, None
+        at = [p * (len(found) - 1) for p in tails_]
+        return tuple(float(found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)])) for x in at)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums, name, whole = max(1, DRAWS // reps), None, None, False
+
+        def closed(complete: bool) -> pa.RecordBatch:
+            low, high = limits(sums) if complete else (None, None)
+            rest = pa.array([None if complete else sums.T.tolist()], pa.list_(pa.list_(pa.float64())))
+            return pa.RecordBatch.from_arrays([name, pa.array([low], pa.float64()), pa.array([high], pa.float64()), rest], [key, "ci_low", "ci_high", "_sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done: list[pa.RecordBatch] = []
+            at = batch.column(1).to_numpy()
+            last = batch.column(2).to_numpy(zero_copy_only=False)
+            x = np.vstack([np.ones(len(at)), *(batch.column(i).to_numpy() for i in range(3, 3 + len(names)))])
+            begins = at % CHUNK == 0
+            for lo in range(0, len(at), block):
+                hi = min(lo + block, len(at))
+                times = _poisson_counts(seed, reps, at[lo:hi]).astype(np.float64)
+                cuts = [lo, *(lo + 1 + np.flatnonzero(begins[lo + 1:hi])).tolist(), hi]
+                for i, j in zip(cuts, cuts[1:]):
+                    if begins[i]:
+                        if sums is not None:
+                            done.append(closed(whole))
+                        sums, name, whole = np.zeros((len(x), reps)), batch.column(0).slice(i, 1), False
+                        first = at[i] == 0
+                    sums += x[:, i:j] @ times[i - lo:j - lo]
+                    whole = first and bool(last[j - 1])
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if sums is not None:
+            yield closed(whole)
+
+    limits_type = [rows.schema[key], T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())]
+    found = settled(data.mapInArrow(add, T.StructType([*limits_type, T.StructField("_sums", T.ArrayType(T.ArrayType(T.DoubleType())))])))
+    parts = found.filter("_sums IS NOT NULL").select(key, F.posexplode("_sums").alias("_rep", "_s"))
+    parts = parts.groupBy(key, "_rep").agg(F.array(*[F.sum(F.col("_s")[i]) for i in range(len(names) + 1)]).alias("_s")).select(key, "_s")
+
+    def finish(table: pa.Table) -> pa.Table:  # a row per replicate
+        low, high = limits(np.array(table.column(1).to_pylist()).T)
+        return pa.table([table.column(0).slice(0, 1), pa.array([low], pa.float64()), pa.array([high], pa.float64())], names=[key, "ci_low", "ci_high"])
+
+    long = parts.groupBy(key).applyInArrow(finish, T.StructType(limits_type))
+    return found.filter("_sums IS NULL").drop("_sums").unionByName(long).filter("ci_low IS NOT NULL")
 
 
 def poisson_sql(u: str) -> str:
@@ -299,11 +394,13 @@ def bootstrap_lag_one(pairs: DataFrame, reps: int, seed: int, *, key: str = "rec
     live = pairs.join(sizes.filter("_n >= 3 AND _sa > 0 AND _sb > 0"), key)
     # Correlation does not change under shift and scale; working on unit scale keeps the sums accurate.
     a, b = (F.col("a") - F.col("_ma")) / F.col("_sa"), (F.col("b") - F.col("_mb")) / F.col("_sb")
-    sums = _resampled(live, {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}, reps, seed, key)
-    mean = lambda n: F.col(f"s_{n}") / F.col("w")
-    va, vb = mean("aa") - mean("a") * mean("a"), mean("bb") - mean("b") * mean("b")
-    r = F.when((va > 1e-15) & (vb > 1e-15), (mean("ab") - mean("a") * mean("b")) / F.nullif(F.sqrt(va * vb), F.lit(0.0)))
-    return _interval(sums.withColumn("stat", r), key, level)
+
+    def correlation(s: np.ndarray) -> np.ndarray:
+        xa, xb, aa, bb, ab = s[1:] / s[0]
+        va, vb = aa - xa * xa, bb - xb * xb
+        return np.where((va > 1e-15) & (vb > 1e-15), (ab - xa * xb) / np.sqrt(va * vb), np.nan)
+
+    return _resampled(live, {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}, correlation, reps, seed, key, level)
 
 
 def pooled_lag_one(rows: DataFrame, *, key: str = "grp", level: float = 0.95) -> DataFrame:
