@@ -207,7 +207,10 @@ def permutation_test(rows: DataFrame, label: str, features: Sequence[str], *, pe
     for r in of_class:
         ends[r["_l"]] = r["n"]
     ends = np.cumsum(ends)
-    products = data.agg(F.array(*[F.sum(F.element_at("_x", i + 1) * F.element_at("_x", j + 1)) for i in range(d) for j in range(d)])).first()[0]
+    products, n = data.agg(F.array(*[F.sum(F.element_at("_x", i + 1) * F.element_at("_x", j + 1)) for i in range(d) for j in range(d)]), F.count(F.lit(1))).first()
+    # Numbering leaves all rows in one task; they are dealt out again, as many as are scored at once.
+    tasks = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)))
+    data = data.select("_i", "_y", "_x").repartition(tasks, "_i")
     context, rates = rows.sparkSession.sparkContext, None
     step = max(1, MODEL_NUMBERS // (k * (d + 1) + d * d))
     for first in range(0, permutations + 1, step):
@@ -226,7 +229,7 @@ def permutation_test(rows: DataFrame, label: str, features: Sequence[str], *, pe
                 pa.array(np.repeat(np.arange(len(perms)), k)), pa.array(np.tile(np.arange(k), len(perms))),
                 pa.array(total.reshape(-1, d + 1).tolist(), pa.list_(pa.float64()))], ["p", "y", "s"])
 
-        sums = data.select("_i", "_y", "_x").mapInArrow(add, "p long, y long, s array<double>").groupBy("p", "y").agg(
+        sums = data.mapInArrow(add, "p long, y long, s array<double>").groupBy("p", "y").agg(
             F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(d + 1)]).alias("s"))
         found = np.zeros((len(perms), k, d + 1))
         for r in sums.toLocalIterator():
@@ -242,7 +245,7 @@ def permutation_test(rows: DataFrame, label: str, features: Sequence[str], *, pe
                     hits[i] += (_predicted(models.value[i], x, moved, leave_one_out=mode == "leave_one_out", equal=prior == "equal") == moved).sum()
             yield pa.RecordBatch.from_arrays([pa.array(list(perms), pa.int64()), pa.array(hits), pa.array(np.full(len(perms), n))], ["perm", "hits", "n"])
 
-        some = settled(data.select("_i", "_y", "_x").mapInArrow(count, "perm long, hits long, n long").groupBy("perm").agg(
+        some = settled(data.mapInArrow(count, "perm long, hits long, n long").groupBy("perm").agg(
             F.sum("n").alias("n"), (F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("ccr")))
         rates = some if rates is None else rates.union(some)
     # One row per permutation from here on.
