@@ -5,14 +5,15 @@ A state may carry `preferred_kind`, the kind that the caller wants for a changed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactus.layout import lay_out, plain, row_index, running, shift
 
@@ -121,97 +122,91 @@ def ring_buffer(frames: DataFrame, depth: int, *, key: str = "recording", order:
 EVENT_SCHEMA = "session_id string, seq long, pos int, kind string, payload string"
 
 
-def _events_between(key: str, rows: pd.DataFrame, idle_ms: int) -> pd.DataFrame:
-    """The change events of ordered snapshots after the first, each compared with the one before it, or with an empty
-    state when that is longer ago than `idle_ms`."""
-    whole = rows[list(STATE)].astype(object).reset_index(drop=True)
-    whole = whole.where(whole.notna(), None)
-    at = rows["at_ms"].astype("int64").to_numpy()
-    before = whole.iloc[:-1].reset_index(drop=True)
-    before.loc[np.diff(at) > idle_ms, :] = None
-    rows, now = rows.iloc[1:], whole.iloc[1:].reset_index(drop=True)
-    differs = ~((now == before) | (now.isna() & before.isna()))
-    text = lambda frame, c: frame[c].where(frame[c].notna(), "").astype(str)
-    unlike = lambda c: text(before, c) != text(now, c)
-    preferred = rows["preferred_kind"].reset_index(drop=True) if "preferred_kind" in rows else pd.Series([None] * len(now), dtype=object)
-    preferred = preferred.where(preferred.notna(), "").astype(str).str.strip(" ")
-    kind = pd.Series(np.select(
-        [~differs[list(STATE[:4])].any(axis=1), now["asset_id"].isna(), preferred != "", unlike("asset_id") | unlike("path"), unlike("revision_id")],
-        ["", "asset/cleared", preferred, "asset/opened", "asset/revision_changed"], "asset/updated"))
-    seq = rows["seq"].reset_index(drop=True)
-    parts = [(0, kind, kind != "", text(now, "asset_id") + "|" + text(now, "revision_id"))]
-    for pos, c in ((1, "playhead"), (2, "selection")):
-        parts.append((pos, pd.Series([KINDS[pos]] * len(now)), differs[c], now[c].map(lambda v: None if v is None else str(v))))
-    return pd.concat([pd.DataFrame({"session_id": key, "seq": seq[hit], "pos": np.int32(pos), "kind": kinds[hit], "payload": payload[hit].astype(object)})
-                      for pos, kinds, hit, payload in parts]).sort_values(["seq", "pos"], kind="stable")
-
-
-class _ChangeEvents(StatefulProcessor):
-    """Snapshots wait in a list until the watermark has passed them and are compared in order; a session that stays
-    without one for `idle_ms` of event time loses its state. One timer per session is enough for both.
+def _events_between(rows: Sequence[tuple], names: Sequence[str], idle_ms: int) -> Iterator[tuple]:
+    """(seq, pos, kind, payload) of ordered snapshots after the first, each compared with the one before it, or with an empty
+    state when that is longer ago than `idle_ms`. Plain tuples, as a session has few rows and a frame costs more than they do."""
+    place = {c: i for i, c in enumerate(names)}
+    seq, at, preferred = place["seq"], place["at_ms"], place.get("preferred_kind")
+    asset, path, revision, status, playhead, selection = (place[c] for c in STATE)
+    text = lambda row, i: "" if row[i] is None else str(row[i])
+    nothing = (None,) * len(names)
+    for k in range(1, len(rows)):
+        before, now = rows[k - 1], rows[k]
+        if now[at] - before[at] > idle_ms:
+            before = nothing
+        if any(now[i] != before[i] for i in (asset, path, revision, status)):
+            wanted = "" if preferred is None else text(now, preferred).strip(" ")
+            kind = ("asset/cleared" if now[asset] is None else wanted if wanted
+                    else "asset/opened" if text(before, asset) != text(now, asset) or text(before, path) != text(now, path)
+                    else "asset/revision_changed" if text(before, revision) != text(now, revision) else "asset/updated")
+            yield now[seq], 0, kind, f"{text(now, asset)}|{text(now, revision)}"
+        for pos, i in ((1, playhead), (2, selection)):
+            if now[i] != before[i]:
+                yield now[seq], pos, KINDS[pos], None if now[i] is None else str(now[i])
+
+
+def _tuples(pdf: pd.DataFrame, snapshot: T.StructType) -> list[tuple]:
+    """Rows of state; pandas turns whole numbers with gaps into floats, which go back here."""
+    columns = []
+    for f in snapshot.fields:
+        whole = isinstance(f.dataType, T.IntegralType)
+        columns.append([None if v is None or v != v else int(v) if whole else v for v in pdf[f.name].tolist()])
+    return list(zip(*columns, strict=True))
+
+
+#: Bundles of sessions that share a state; the rows waiting in one and its last snapshots are in a task's memory at once.
+BUNDLES = 1_024
+
+
+def _change_events(snapshot: T.StructType, idle_ms: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """Snapshots wait in the state until the watermark has passed them and are compared in order; a session that stays
+    without one for `idle_ms` of event time loses its state. A bundle of sessions has one state and one timeout, the next that
+    any of them needs, as a call costs more than the rows of a session.
     """
-
-    def __init__(self, snapshot: T.StructType, idle_ms: int):
-        self.snapshot, self.idle_ms = snapshot, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", self.snapshot)
-        self.waiting = handle.getListState("waiting", self.snapshot)
-
-    def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        """Rows of state; pandas turns whole numbers with gaps into floats, which go back here."""
-        pdf = pdf[self.snapshot.names].astype(object)
-        for f in self.snapshot.fields:
-            if isinstance(f.dataType, T.IntegralType):
-                pdf[f.name] = pd.Series([None if pd.isna(v) else int(v) for v in pdf[f.name]], dtype=object, index=pdf.index)
-        return list(pdf.where(pdf.notna(), None).itertuples(index=False, name=None))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            pdf = pdf[pdf["session_id"].notna()]
-            if len(pdf):
-                at = pdf["at"].astype("datetime64[ms]").astype("int64")
-                self.waiting.appendList(self._tuples(pdf.assign(at_ms=at)))
-                first = int(at.min()) if first is None else min(first, int(at.min()))
-        if first is not None:
-            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        old = self.last.get() if self.last.exists() else None
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.snapshot.names, dtype=object)
-        ready = rows["at_ms"].astype("int64") <= now
-        names = self.snapshot.names
-        due, rest = rows[ready].sort_values(["seq"], kind="stable"), rows[~ready]
-        if len(due):
-            # a snapshot older than the last one compared has come too late
-            due = due if old is None else due[due["seq"].astype("int64") > old[names.index("seq")]]
-        if len(due):
-            nothing = (None,) * len(names) if old is None else old
-            first = pd.DataFrame([nothing], columns=names, dtype=object)
-            if old is None:
-                first["at_ms"] = due["at_ms"].iloc[0]
-            found = _events_between(key[0], pd.concat([first, due]), self.idle_ms)
-            old = self._tuples(due.iloc[-1:])[0]
-            self.last.update(old)
-            if len(found):
-                yield found
-        if len(rest):
-            self.waiting.put(self._tuples(rest))
-            self.handle.registerTimer(int(rest["at_ms"].min()))
-            return
-        self.waiting.clear()
-        gone = None if old is None else old[self.snapshot.names.index("at_ms")] + self.idle_ms
-        if gone is None or gone <= now:
-            self.last.clear()
+    names = snapshot.names
+    seq, at = names.index("seq"), names.index("at_ms")
+
+    def settle(session: str, old: tuple | None, rows: list[tuple], now: int) -> tuple[list[tuple], tuple | None, list[tuple]]:
+        """A session's events up to the watermark, its last snapshot and the rows that still wait."""
+        # a snapshot older than the last one compared has come too late
+        due = sorted((r for r in rows if r[at] <= now and (old is None or r[seq] > old[seq])), key=lambda r: r[seq])
+        found = []
+        if due:
+            nothing = tuple(due[0][at] if c == "at_ms" else None for c in names)
+            found = [(session, *e) for e in _events_between([nothing if old is None else old, *due], names, idle_ms)]
+        return found, due[-1] if due else old, [r for r in rows if r[at] > now]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        sessions: dict[str, tuple[tuple | None, list[tuple]]] = pickle.loads(state.get[0]) if state.exists else {}
+        events: list[tuple] = []
+        if state.hasTimedOut:
+            for session in list(sessions):
+                found, old, rest = settle(session, *sessions[session], now)
+                events += found
+                sessions[session] = (old, rest)
+                if not rest and (old is None or old[at] + idle_ms <= now):
+                    del sessions[session]
         else:
-            self.handle.registerTimer(int(gone))
-
-
-def change_event_stream(states: DataFrame, *, lateness: str = "0 seconds", idle_sec: float = 86_400.0) -> DataFrame:
+            for pdf in frames:
+                pdf = pdf[pdf["session_id"].notna()]  # other rows only move the watermark
+                pdf = pdf.assign(at_ms=pdf["at"].astype("datetime64[ms]").astype("int64"))
+                for session, row in zip(pdf["session_id"].tolist(), _tuples(pdf, snapshot), strict=True):
+                    sessions.setdefault(session, (None, []))[1].append(row)
+        if events:
+            who, seqs, places, kinds, payloads = zip(*events)
+            yield pd.DataFrame({"session_id": who, "seq": np.array(seqs, np.int64), "pos": np.array(places, np.int32),
+                                "kind": kinds, "payload": pd.Series(payloads, dtype=object)})
+        if sessions:
+            state.update((pickle.dumps(sessions),))
+            state.setTimeoutTimestamp(max(now + 1, min(min(r[at] for r in rows) if rows else old[at] + idle_ms for old, rows in sessions.values())))
+        elif state.exists:
+            state.remove()
+
+    return step
+
+
+def change_event_stream(states: DataFrame, *, lateness: str = "0 seconds", idle_sec: float = 86_400.0, bundles: int = BUNDLES) -> DataFrame:
     """The change events as a stream; `at` is the snapshots' event time, `seq` their order.
 
     A snapshot is compared once the watermark (`lateness` behind the latest event time) has passed it, so snapshots may
@@ -220,9 +215,9 @@ def change_event_stream(states: DataFrame, *, lateness: str = "0 seconds", idle_
     """
     types = [("seq", T.LongType()), ("at_ms", T.LongType()), *((c, states.schema[c].dataType) for c in (*STATE, "preferred_kind") if c in states.columns)]
     snapshot = T.StructType([T.StructField(c, t) for c, t in types])
-    rows = states.withWatermark("at", lateness)
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        _ChangeEvents(snapshot, int(idle_sec * 1000)), EVENT_SCHEMA, "Append", "EventTime")
+    rows = states.withWatermark("at", lateness).withColumn("_bundle", F.pmod(F.xxhash64("session_id"), F.lit(bundles)).cast("int"))
+    return rows.groupBy("_bundle").applyInPandasWithState(
+        _change_events(snapshot, int(idle_sec * 1000)), EVENT_SCHEMA, "sessions binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -230,7 +225,7 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     spark = stream.sparkSession
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state on disk
     try:
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
             availableNow=True).outputMode("append").start()
