@@ -13,7 +13,8 @@
   best unexpanded candidates for their neighbours, and the new ones for their vectors. Scores are computed in double
   precision from the original vectors, so what is returned is exact.
 
-Work is done in bundles: groups of about `BUNDLE` nodes by hash, so tasks are bounded and even.
+Work is done in bundles: groups of about `BUNDLE` nodes, or `ASKING` queries, by hash, so tasks are bounded and even.
+Neighbours travel as packed lists, one row per node and place that found them; products with pivots go `STEP` rows at a time.
 
 Null, empty or zero vectors, vectors with null or non-finite components, of another length than most, or with a null id
 take no part. Rows of equal id stay apart. An empty table gives no rows. Extra columns are not returned.
@@ -26,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.common import stored
+from tactus.llm.common import lean, stored
 
 DEGREE = 32
 MEETING = 64
@@ -44,6 +46,10 @@ ROUNDS = 10
 #: A round that replaces less than this share of all neighbours is the last.
 SETTLED = 0.02
 BUNDLE = 1_024
+#: Queries in a bundle: each is sent up to EXPAND * DEGREE vectors a round, and a task holds a bundle's vectors.
+ASKING = 64
+#: Rows multiplied with all pivots at a time.
+STEP = 512
 MEMBERS = 64
 EXPAND = 24
 BEAM = 192
@@ -89,9 +95,19 @@ def _best(u: np.ndarray, w: np.ndarray, s: np.ndarray, most: int) -> tuple[np.nd
     return u[keep], w[keep], s[keep]
 
 
+def _flat(column, dtype: str) -> np.ndarray:
+    """The numbers of a binary column's values in a row; views of its buffer, where it has one."""
+    parts = []
+    for some in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(some):
+            some = some.cast(pa.large_binary())
+            edges = np.frombuffer(some.buffers()[1], np.int64)[some.offset:some.offset + len(some) + 1]
+            parts.append(np.frombuffer(some.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]].view(dtype))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def _matrix(column, dtype: str) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1) if raw else np.zeros((0, 1), dtype)
+    return _flat(column, dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype)
 
 
 def _pairs(m: np.ndarray, s: np.ndarray, most: int, beats: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +120,21 @@ def _pairs(m: np.ndarray, s: np.ndarray, most: int, beats: np.ndarray | None = N
     return m[a], m[p[a, b]], q[a, b]
 
 
-EDGES = "node long, other long, s float"
+EDGES = "node long, near binary, sims binary"
+
+
+def _edge_table(u: np.ndarray, w: np.ndarray, s: np.ndarray) -> pa.Table:
+    """A row per run of equal u: its w and s, packed."""
+    edges = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1], [True]))) if len(u) else np.zeros(1, int)
+    w, s = w.astype("<i8").tobytes(), s.astype("<f4").tobytes()
+    cut = lambda raw, size: pa.array([raw[a * size:b * size] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
+    return pa.table([pa.array(u[edges[:-1]].astype(np.int64)), cut(w, 8), cut(s, 4)], ["node", "near", "sims"])
 
 
-def _edge_table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    u, w, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-    return pa.table([pa.array(u.astype(np.int64)), pa.array(w.astype(np.int64)), pa.array(s.astype(np.float32))], ["node", "other", "s"])
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, STEP):
+            yield batch.slice(a, STEP)
 
 
 def _first_edges(nodes: DataFrame, pivots: np.ndarray, dim: int, seed: int) -> DataFrame:
@@ -118,7 +143,7 @@ def _first_edges(nodes: DataFrame, pivots: np.ndarray, dim: int, seed: int) -> D
     project = np.random.default_rng(seed).standard_normal((len(sets), dim)).astype(np.float32)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             x = _matrix(batch.column(1), "<f4")
             for d, p in enumerate(sets):
                 s = x @ p.T
@@ -135,7 +160,7 @@ def _first_edges(nodes: DataFrame, pivots: np.ndarray, dim: int, seed: int) -> D
             m = np.concatenate([r[1] for r in rows])
             if len(m) > 1:
                 x = np.concatenate([r[2] for r in rows])
-                yield from _edge_table([_pairs(m, x @ x.T, LEAF_BEST)]).to_batches()
+                yield from _edge_table(*_pairs(m, x @ x.T, LEAF_BEST)).to_batches()
 
         n = 0
         for batch in batches:
@@ -155,8 +180,8 @@ def _first_edges(nodes: DataFrame, pivots: np.ndarray, dim: int, seed: int) -> D
         if held:
             yield from leaf(held)
 
-    placed = nodes.select("node", "full").mapInArrow(assign, "cell int, place float, node long, full binary")
-    return placed.repartitionByRange("cell", "place", "node").sortWithinPartitions("cell", "place", "node").mapInArrow(leaves, EDGES)
+    placed = nodes.select("node", "full").mapInArrow(lean(assign), "cell int, place float, node long, full binary")
+    return placed.repartitionByRange("cell", "place", "node").sortWithinPartitions("cell", "place", "node").mapInArrow(lean(leaves), EDGES)
 
 
 GRAPH = "node long, full binary, near binary, sims binary, changed long"
@@ -164,21 +189,15 @@ GRAPH = "node long, full binary, near binary, sims binary, changed long"
 
 def _kept(nodes: DataFrame, old: DataFrame | None, new: DataFrame, bundles: int) -> DataFrame:
     """The graph with each node's best of old and proposed neighbours; a node is a row."""
-    blank = lambda kind: F.lit(None).cast(kind)
-    rows = new.select("node", "other", "s", blank("binary").alias("full"), blank("binary").alias("near"), blank("binary").alias("sims"))
-    base = (old or nodes.withColumns({"near": blank("binary"), "sims": blank("binary")})).select(
-        "node", blank("long").alias("other"), blank("float").alias("s"), "full", "near", "sims")
+    blank = F.lit(None).cast("binary")
+    base = (old or nodes.withColumns({"near": blank, "sims": blank})).select("node", "full", "near", "sims")
+    rows = new.select("node", blank.alias("full"), "near", "sims")
 
     def merge(table: pa.Table) -> pa.Table:
-        is_node = table["full"].is_valid().to_numpy()
-        own = table.filter(pa.array(is_node))
-        node = own["node"].to_numpy()
-        near, sims = ([x or b"" for x in own[c].to_pylist()] for c in ("near", "sims"))
-        other = table.filter(pa.array(~is_node))
-        u = np.concatenate([np.repeat(node, [len(x) // 8 for x in near]), other["node"].to_numpy()])
-        w = np.concatenate([np.frombuffer(b"".join(near), "<i8"), other["other"].to_numpy()])
-        s = np.concatenate([np.frombuffer(b"".join(sims), "<f4"), other["s"].to_numpy()])
-        u, w, s = _best(u, w, s, DEGREE)
+        own = table.filter(table["full"].is_valid())
+        node, near = own["node"].to_numpy(), [x or b"" for x in own["near"].to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(table["near"]), 0).to_numpy() // 8
+        u, w, s = _best(np.repeat(table["node"].to_numpy(), sizes), _flat(table["near"], "<i8"), _flat(table["sims"], "<f4"), DEGREE)
         a, b = np.searchsorted(u, node, "left"), np.searchsorted(u, node, "right")
         lists = [w[i:j] for i, j in zip(a, b)]
         changed = [len(x) - len(np.intersect1d(x, np.frombuffer(y, "<i8"))) for x, y in zip(lists, near)]
@@ -190,7 +209,7 @@ def _kept(nodes: DataFrame, old: DataFrame | None, new: DataFrame, bundles: int)
 
 
 def _proposed(graph: DataFrame, bundles: int, round_: int) -> DataFrame:
-    """Pairs of nodes that meet at a common neighbour."""
+    """Pairs of nodes that meet at a common neighbour: a row per node and place, so a node makes at most `DEGREE` of them at any size."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
@@ -214,8 +233,7 @@ def _proposed(graph: DataFrame, bundles: int, round_: int) -> DataFrame:
                 at = order[a:min(b, a + MEETING)]
                 y = x[at]
                 out.append(_pairs(node[at], y @ y.T, PROPOSED, worst[at]))
-        u, w, s = (np.concatenate([p[i] for p in out]) if out else np.zeros(0) for i in range(3))
-        return _edge_table([_best(u.astype(np.int64), w.astype(np.int64), s, DEGREE)])
+        return _edge_table(*(np.concatenate([p[i] for p in out]) if out else np.zeros(0) for i in range(3)))
 
     sent = graph.select("node", "full", "near", "sims").mapInArrow(
         lambda it: send(b.select(["node", "full", "near", "sims"]) for b in it), "place long, node long, worst float, full binary")
@@ -272,11 +290,11 @@ def _start(batch: pa.RecordBatch, pivots: tuple[np.ndarray, np.ndarray], dtype:
 def search(index: Index, queries: DataFrame, rounds: int = SEARCH_ROUNDS, expand: int = EXPAND, beam: int = BEAM) -> DataFrame:
     """(query, node, score) of the best candidates that the search reaches; `queries` has (query, vec), query being a node's number or any other."""
     dtype, pivots = index.dtype, index.pivots
-    count = queries.count() // 256 + 1
+    count = queries.count() // ASKING + 1
     blank = lambda kind: F.lit(None).cast(kind)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             yield _start(batch, pivots, dtype)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
