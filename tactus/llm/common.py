@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tactus.session import reliable_folder
 
+#: The C library; some keep what numpy arrays leave free.
+_LIBC = ctypes.CDLL(None)
 #: Bytes of text handled at a time inside a task; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Largest vocabulary file that is sent to all executors.
@@ -41,7 +44,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable:
-    """A task's function that leaves nothing behind in its worker: `forget` empties caches, Arrow's unused memory goes back.
+    """A task's function that leaves nothing behind in its worker: `forget` empties caches, unused memory goes back.
 
     Workers are kept for later stages, and their memory adds up beside the JVM's.
     """
@@ -53,6 +56,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fo
             if forget:
                 forget()
             pa.default_memory_pool().release_unused()
+            if hasattr(_LIBC, "malloc_trim"):
+                _LIBC.malloc_trim(0)
     return wrapped
 
 

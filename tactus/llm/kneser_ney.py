@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from tactus.llm.common import as_bytes, discard, lean, slices, stored, text_bytes, work_path
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-KEPT_WORDS = 400_000
 #: Tokens counted together in a map task, and tokens for which one bucket of bigrams is made.
 CHUNK_TOKENS = 3_000_000
 BUCKET_TOKENS = 4_000_000
+#: Bytes of text handled at a time; some 30 arrays of a number per token are in memory for each.
+SLICE = 2 << 20
 #: Word numbers in a file of dense arrays.
 SPAN = 1 << 20
 #: A context with more than this share of a bucket is spread over all buckets.
@@ -52,26 +53,25 @@ END = 0
 PACKED = "bucket int, n long, keys binary, counts binary"
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+#: Bytes between words.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-#: Hashes of words that this worker has met.
-_WORDS = _Words()
-
-
-def tokens(raw: bytes) -> np.ndarray:
-    """Hashes of a text's tokens."""
-    found = raw.translate(LOWER).split()
-    out = np.empty(len(found) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    out[-1] = END
-    return out
+def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes of the different tokens, the place there of each token of the texts in a row, and the number of tokens of each text."""
+    flat = np.frombuffer(b" ".join([*raw, b""]).translate(LOWER), np.uint8)  # a blank after each text
+    inside = ~WHITE[flat]
+    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1]))) if len(flat) else np.zeros(0, int)
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    lengths = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))) + 1
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])]).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    hashes, back = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+    at, word = np.full(int(lengths.sum()), back[-1]), np.ones(int(lengths.sum()), bool)
+    word[np.cumsum(lengths) - 1] = False
+    at[word] = back[words.indices.to_numpy()]
+    return hashes, at, lengths
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -123,7 +123,7 @@ def _counted(docs: DataFrame, keys_of: Callable, bucket_of: Callable) -> DataFra
             return pa.RecordBatch.from_pylist(list(_spread(keys, counts, bucket_of(keys))), schema=schema)
 
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 made = keys_of(as_bytes(part.column(0)))
                 held.append(np.unique(made, return_counts=True))
                 n += len(made)
@@ -149,7 +149,6 @@ def _save(folder: str, name: str, columns: dict[str, np.ndarray]) -> str:
 
 def _forget() -> None:
     _OPEN.clear()
-    _WORDS.clear()
 
 
 #: Mapped bytes above which a worker lets its files go.
@@ -228,17 +227,27 @@ class Vocabulary:
         return number, count
 
 
+def _distinct(raw: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers (ascending, -1 between them) and counts of the different tokens, the tokens' places there, and the number of tokens of each text."""
+    hashes, at, lengths = tokens(raw)
+    return *vocabulary.look_up(hashes), at, lengths
+
+
 def _numbered(raw: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers and counts of the tokens of some texts in a row, and the number of tokens of each."""
-    found = [tokens(x) for x in raw]
-    lengths = np.array([len(x) for x in found], np.int64)
-    if not len(found):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), lengths
-    hashes, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    number, count = vocabulary.look_up(hashes)
+    number, count, inverse, lengths = _distinct(raw, vocabulary)
     return number[inverse], count[inverse], lengths
 
 
+def _slots(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that are not -1 in ascending order, and the place of each number there (-1 if it is none)."""
+    some = np.flatnonzero(number >= 0)
+    some = some[np.argsort(number[some], kind="stable")]
+    slot = np.full(len(number), -1, np.int64)
+    slot[some] = np.arange(len(some))
+    return number[some], slot
+
+
 def _bigrams(number: np.ndarray, lengths: np.ndarray, begin: int) -> np.ndarray:
     """First words of all tokens' bigrams: the token before, or `begin`."""
     before = np.empty(len(number), np.int64)
@@ -352,14 +361,19 @@ class Model:
                 out[a:z] = columns_of(path)[0][ranks[a:z] - self.bases[b]]
         return out
 
-    def ranked(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The word before each token, and number (or -1) and count of the bigram that the token ends."""
+    def pairs(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers (or -1) and counts of the different bigrams, the tokens that end one, and the bigram of each of these."""
         before = _bigrams(number, lengths, self.vocabulary.words)
-        rank, count = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
         both = np.flatnonzero((before >= 0) & (number >= 0))
         keys, back = np.unique(_joined(before[both], number[both]), return_inverse=True)
-        rank[both], count[both] = (x[back] for x in self.places_of(keys))
-        return before, rank, count
+        return *self.places_of(keys), both, back
+
+    def ranked(self, number: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number (or -1) of the bigram that each token ends."""
+        places, _, both, back = self.pairs(number, lengths)
+        rank = np.full(len(number), -1, np.int64)
+        rank[both] = places[back]
+        return rank
 
     def low(self, preceding: np.ndarray) -> np.ndarray:
         """p(w) from the number of different words before w."""
@@ -370,17 +384,18 @@ class Model:
 
     def score(self, raw: list[bytes]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and score of some texts."""
-        number, count, lengths = _numbered(raw, self.vocabulary)
+        numbers, counts, inverse, lengths = _distinct(raw, self.vocabulary)
         first = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         n, v = self.vocabulary.tokens, self.vocabulary.words
-        base = np.log10(count + 1.0) - np.log10(float(n + v + 1))
-        known, at = np.unique(number[number >= 0], return_inverse=True)
-        preceding = np.zeros(len(number), np.int64)
-        preceding[number >= 0] = self.dense_of(known)[3][at]
-        p = self.low(preceding)
+        base = (np.log10(counts + 1.0) - np.log10(float(n + v + 1)))[inverse]
+        known, slot = _slots(numbers)
+        preceding = np.zeros(len(numbers), np.int64)
+        preceding[slot >= 0] = self.dense_of(known)[3][slot[slot >= 0]]
+        p = self.low(preceding)[inverse]
+        number, count = numbers[inverse], counts[inverse]
         if self.upper:
-            self.raise_order(p, number, lengths)
+            self.raise_order(p, number, known, slot[inverse], lengths)
             return lengths, total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
         begin = v
         before = _bigrams(number, lengths, begin)
@@ -398,30 +413,33 @@ class Model:
         return lengths, total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
 
 
-    def raise_order(self, p: np.ndarray, number: np.ndarray, lengths: np.ndarray) -> None:
-        """Makes p(w) the trigram model's p, in place."""
+    def raise_order(self, p: np.ndarray, number: np.ndarray, known: np.ndarray, slot: np.ndarray, lengths: np.ndarray) -> None:
+        """Makes p(w) the trigram model's p, in place; `known` holds the different numbers, `slot` each token's place there or -1."""
         up = self.upper
-        before, rank, count = self.ranked(number, lengths)
-        ends, at = np.unique(rank[rank >= 0], return_inverse=True)
-        preceding = np.zeros(len(number), np.int64)
-        preceding[rank >= 0] = _dense(up.dense, self.span, ends)[3][at]
-        _mix(p, before, _dense, (up.heads, self.span), None, preceding, up.middle)
+        # begin marks have the largest numbers, so they are last in every list of heads
+        heads = _dense(up.heads, self.span, np.append(known, self.vocabulary.words))
+        places, counts, both, back = self.pairs(number, lengths)
+        ranks, at = _slots(places)
+        pairs = _dense(up.dense, self.span, np.append(ranks, up.bigrams))
+        rank, ends, count, preceding = (np.full(len(number), k, np.int64) for k in (-1, -1, 0, 0))
+        rank[both], ends[both], count[both] = places[back], at[back], counts[back]
+        preceding[ends >= 0] = pairs[3][ends[ends >= 0]]
+        _mix(p, _bigrams(slot, lengths, len(known)), heads, None, preceding, up.middle)
         pair, context = _bigrams(rank, lengths, up.bigrams), _bigrams(count, lengths, self.documents)
         follows = np.zeros(len(number), np.int64)
         both = np.flatnonzero((pair >= 0) & (number >= 0))
         keys, back = np.unique(_joined(pair[both], number[both]), return_inverse=True)
         follows[both] = _counts(up.files, _bucket_of(keys, self.buckets, up.hot), self.buckets, keys)[back]
-        _mix(p, pair, _dense, (up.dense, self.span), context, follows, up.discounts)
+        _mix(p, _bigrams(ends, lengths, len(ranks)), pairs, context, follows, up.discounts)
 
 
-def _mix(p: np.ndarray, head: np.ndarray, look_up: Callable, where: tuple, context: np.ndarray | None, follows: np.ndarray, d: tuple[float, float, float]) -> None:
-    """One more order, in place, where the head is known; without `context` the dense arrays' last column is the total."""
-    heads, at = np.unique(head[head >= 0], return_inverse=True)
-    once, twice, more, last = (x[at] for x in look_up(*where, heads))
-    total = last if context is None else context[head >= 0]
-    some = np.flatnonzero(head >= 0)[total > 0]
-    once, twice, more, total = (x[total > 0] for x in (once, twice, more, total))
-    p[some] = np.maximum(follows[some] - _discount(follows[some], d), 0) / total + (d[0] * once + d[1] * twice + d[2] * more) / total * p[some]
+def _mix(p: np.ndarray, head: np.ndarray, columns: tuple[np.ndarray, ...], context: np.ndarray | None, follows: np.ndarray, d: tuple[float, float, float]) -> None:
+    """One more order, in place, where the head is known: its place in the columns, else -1; without `context` the last column is the total."""
+    some = np.flatnonzero(head >= 0)
+    total = columns[3][head[some]] if context is None else context[some]
+    some, total = some[total > 0], total[total > 0]
+    held = (d[0] * columns[0] + d[1] * columns[1] + d[2] * columns[2])[head[some]]
+    p[some] = np.maximum(follows[some] - _discount(follows[some], d), 0) / total + held / total * p[some]
 
 
 def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -458,7 +476,11 @@ def count_words(train: DataFrame, folder: str) -> tuple[Vocabulary, np.ndarray,
     """The vocabulary, hashes and counts of its most frequent words, and the number of documents."""
     bits = _power_bits(train.rdd.getNumPartitions())
     bucket = Vocabulary(bits, {}, 0, 0).bucket
-    packed = _counted(train, lambda raw: np.concatenate([tokens(x) for x in raw]), bucket)
+    def hashes_of(raw: list[bytes]) -> np.ndarray:
+        hashes, at, _ = tokens(raw)
+        return hashes[at]
+
+    packed = _counted(train, hashes_of, bucket)
 
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
@@ -554,7 +576,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
 
     def trigrams_of(raw: list[bytes]) -> np.ndarray:
         number, _, lengths = _numbered(raw, vocabulary)
-        return _joined(_bigrams(model.ranked(number, lengths)[1], lengths, base), number)
+        return _joined(_bigrams(model.ranked(number, lengths), lengths, base), number)
 
     def merge_trigrams(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
@@ -604,7 +626,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, shared.value.score(as_bytes(part.column(1))))],
                                                  ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -1,10 +1,13 @@
 """What travels and what a task holds stays bounded."""
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 
-from tactus.llm import neighbours, pieces
+from tactus.llm import kneser_ney, neighbours, pieces
 
 
 def vectors(spark, n, dim=16):
@@ -68,3 +71,27 @@ def test_pieces_met_again_are_not_encoded_again(monkeypatch):
     texts = [common, rare(0) + "?! " + common, rare(7), "", "x" * 100, common]
     plain = worker.library.encode_batch_fast(texts, add_special_tokens=False)
     assert [np.frombuffer(x, worker.dtype).tolist() for x in worker.encode([t.encode() for t in texts])] == [e.ids for e in plain]
+
+
+def test_each_different_word_of_a_slice_is_hashed_once(monkeypatch):
+    raw = ["A b\tc  A".encode(), b"", b" \n", "É é\x0bz\x1cz\xa0".encode(), b"b" * 5_000, b"a\x00 \xff\xfe a", b"", b" b c "]
+    asked, plain = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(kneser_ney.xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or plain(w))
+    hashes, at, lengths = kneser_ney.tokens(raw)
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", x.lower()) for x in raw]
+    assert lengths.tolist() == [len(x) + 1 for x in split]
+    assert hashes[at].tolist() == [h for x in split for h in [*map(plain, x), kneser_ney.END]]
+    assert sorted(asked) == sorted({w for x in split for w in x}) and (np.diff(hashes.astype(float)) > 0).all()
+    assert [len(x) for x in kneser_ney.tokens([])] == [1, 0, 0]
+
+
+def test_scoring_looks_up_each_different_word_and_bigram_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d{i % 7} a b a") for i in range(60)], "doc_id long, text string")
+    model = kneser_ney.train_model(docs, docs.doc_id >= 0, order=3)
+    asked, plain = [], kneser_ney._dense
+    monkeypatch.setattr(kneser_ney, "_dense", lambda files, span, number: asked.append(len(number)) or plain(files, span, number))
+    one = model.score([b"a b c d1 a b a"])
+    asked_one, _ = asked[:], asked.clear()
+    many = model.score([b"a b c d1 a b a"] * 50)
+    assert asked == asked_one and len(asked) == 3  # words, heads of bigrams, heads of trigrams
+    assert all(np.array_equal(np.repeat(x, 50), y) for x, y in zip(one, many))
