@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from tactus.session import reliable_folder
 
-#: The C library; some keep what numpy arrays leave free.
-_LIBC = ctypes.CDLL(None)
 #: Bytes of text handled at a time inside a task; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Largest vocabulary file that is sent to all executors.
@@ -43,6 +41,13 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def _trim() -> None:
+    """Hands back what freed numpy arrays leave in the C library, where it can."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable:
     """A task's function that leaves nothing behind in its worker: `forget` empties caches, unused memory goes back.
 
@@ -56,8 +61,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fo
             if forget:
                 forget()
             pa.default_memory_pool().release_unused()
-            if hasattr(_LIBC, "malloc_trim"):
-                _LIBC.malloc_trim(0)
+            _trim()
     return wrapped
 
 
