@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import as_bytes, discard, lean, slices, stored, text_bytes, work_path
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A to Z lowered, blanks of all kinds made spaces.
+LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Tokens counted together in a map task, and tokens for which one bucket of bigrams is made.
 CHUNK_TOKENS = 3_000_000
 BUCKET_TOKENS = 4_000_000
@@ -53,24 +54,25 @@ END = 0
 PACKED = "bucket int, n long, keys binary, counts binary"
 
 
-#: Bytes between words.
-WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
 def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ascending hashes of the different tokens, the place there of each token of the texts in a row, and the number of tokens of each text."""
     flat = np.frombuffer(b" ".join([*raw, b""]).translate(LOWER), np.uint8)  # a blank after each text
-    inside = ~WHITE[flat]
-    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1]))) if len(flat) else np.zeros(0, int)
-    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    inside = np.concatenate(([False], flat != 32))
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
     lengths = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))) + 1
-    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])]).dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    # a word reaches to the next one, so one that is followed by several blanks differs from the same followed by one
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(flat))), pa.py_buffer(flat)]).dictionary_encode()
+    different = words.dictionary.buffers()[2].to_pybytes().split() if len(starts) else []
+    word = words.indices.to_numpy()
+    if len(starts) and np.count_nonzero(inside) + len(starts) < len(flat) - starts[0]:
+        place: dict[bytes, int] = {}
+        word = np.fromiter((place.setdefault(w, len(place)) for w in different), np.int64, len(different))[word]
+        different = list(place)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
     hashes, back = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
-    at, word = np.full(int(lengths.sum()), back[-1]), np.ones(int(lengths.sum()), bool)
-    word[np.cumsum(lengths) - 1] = False
-    at[word] = back[words.indices.to_numpy()]
+    at, inner = np.full(int(lengths.sum()), back[-1]), np.ones(int(lengths.sum()), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    at[inner] = back[word]
     return hashes, at, lengths
 
 
@@ -98,9 +100,17 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(_unplaned(x, np.uint64)) for x in table["keys"].to_pylist()]
-    counts = [_unplaned(x, np.uint32) for x in table["counts"].to_pylist()]
-    return _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+    """Ascending keys and their counts; each large array is let go as soon as the next one is made."""
+    ends = np.cumsum(table["n"].to_numpy())
+    keys, counts = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+    for key, count, n, z in zip(table["keys"], table["counts"], table["n"].to_numpy(), ends):
+        np.cumsum(_unplaned(key.as_buffer(), np.uint64), out=keys[z - n:z])
+        counts[z - n:z] = _unplaned(count.as_buffer(), np.uint32)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def _spread(keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[dict]:
@@ -113,7 +123,7 @@ def _spread(keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterat
 
 
 def _counted(docs: DataFrame, keys_of: Callable, bucket_of: Callable) -> DataFrame:
-    """Packed counts of the keys that `keys_of` makes of the training texts of a slice."""
+    """Packed counts of the keys that `keys_of` gives, ascending and with counts, for the training texts of a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
         held, n = [], 0
@@ -124,9 +134,8 @@ def _counted(docs: DataFrame, keys_of: Callable, bucket_of: Callable) -> DataFra
 
         for batch in batches:
             for part in slices(batch, 0, SLICE):
-                made = keys_of(as_bytes(part.column(0)))
-                held.append(np.unique(made, return_counts=True))
-                n += len(made)
+                held.append(keys_of(as_bytes(part.column(0))))
+                n += int(held[-1][1].sum())
                 if n >= CHUNK_TOKENS:
                     yield flush()
                     held, n = [], 0
@@ -468,6 +477,14 @@ def _bucket_of(keys: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
     return (_mixed(np.where(spread, keys, head)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _trimmed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A group's function after which unused memory goes back, as `lean` does for tasks."""
+    def wrapped(table: pa.Table) -> pa.Table:
+        once = lean(lambda tables: map(run, tables))
+        return list(once(iter([table])))[0]
+    return wrapped
+
+
 def _rows(batch: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(batch, schema=schema)
 
@@ -476,12 +493,13 @@ def count_words(train: DataFrame, folder: str) -> tuple[Vocabulary, np.ndarray,
     """The vocabulary, hashes and counts of its most frequent words, and the number of documents."""
     bits = _power_bits(train.rdd.getNumPartitions())
     bucket = Vocabulary(bits, {}, 0, 0).bucket
-    def hashes_of(raw: list[bytes]) -> np.ndarray:
+    def hashes_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes, at, _ = tokens(raw)
-        return hashes[at]
+        return hashes, np.bincount(at, minlength=len(hashes))
 
     packed = _counted(train, hashes_of, bucket)
 
+    @_trimmed
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
         b = table["bucket"][0].as_py()
@@ -514,9 +532,9 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
     most = HOT_SHARE * vocabulary.tokens / buckets
     hot = np.array(sorted([*often[often[:, 1] > most, 0].tolist(), *([begin] if documents > most else [])]), np.uint64)
 
-    def keys_of(raw: list[bytes]) -> np.ndarray:
+    def keys_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         number, _, lengths = _numbered(raw, vocabulary)
-        return _bigrams(number, lengths, begin).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+        return np.unique(_joined(_bigrams(number, lengths, begin), number), return_counts=True)
 
     packed = _counted(train, keys_of, lambda keys: _bucket_of(keys, buckets, hot))
     sums = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("large", pa.string()), ("n", pa.list_(pa.int64())), ("span", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("place", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
@@ -527,6 +545,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
             a, z = np.searchsorted(ids, (s * span, (s + 1) * span))
             yield {"span": int(s), "kind": kind, "ids": _planes(np.diff(ids[a:z] - s * span, prepend=0).astype(np.uint32)), "values": _planes(n[a:z].astype(np.uint32))}
 
+    @_trimmed
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
         b = table["bucket"][0].as_py()
@@ -542,6 +561,7 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
     found = stored(packed.groupBy("bucket").applyInArrow(
         merge, sums_type), "bigrams")
 
+    @_trimmed
     def gather(table: pa.Table) -> pa.Table:
         dense = np.zeros((4, span), np.int64)
         for kind, ids, values in zip(table["kind"].to_pylist(), table["ids"].to_pylist(), table["values"].to_pylist()):
@@ -574,21 +594,30 @@ def train_model(docs: DataFrame, chosen: Column, text_col: str = "text", folder:
     often = [(bases[r["bucket"]] + p, c) for r in files for p, c in zip(r["place"], r["times"])] + [(base, documents)]
     hot_pairs = np.array(sorted(p for p, c in often if c > most), np.uint64)
 
-    def trigrams_of(raw: list[bytes]) -> np.ndarray:
+    def trigrams_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         number, _, lengths = _numbered(raw, vocabulary)
-        return _joined(_bigrams(model.ranked(number, lengths), lengths, base), number)
+        return np.unique(_joined(_bigrams(model.ranked(number, lengths), lengths, base), number), return_counts=True)
 
+    @_trimmed
     def merge_trigrams(table: pa.Table) -> pa.Table:
         keys, counts = _unpacked(table)
         b = table["bucket"][0].as_py()
         path, large = _counts_file(folder, f"trigrams-{b}", keys, counts)
         out = [{"bucket": b, "path": path, "large": large, "n": [*_times(counts).values(), len(keys)]}]
-        pair, last = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        pair = (keys >> np.uint64(32)).astype(np.int64)
         for kind in range(3):
             out += span_rows(kind, *np.unique(pair[counts == kind + 1 if kind < 2 else counts > 2], return_counts=True))
+        del counts
+        # keys ascend, so those of the begin mark, which has the largest number, are last
+        known = int(np.searchsorted(pair, base))
         middle = np.full(len(keys), begin, np.uint64)
-        middle[pair < base] = model.keys_of(pair[pair < base]) & np.uint64(0xFFFFFFFF)
-        ends, n = np.unique(_joined(middle, last), return_counts=True)
+        middle[:known] = model.keys_of(pair[:known])
+        del pair
+        middle <<= np.uint64(32)
+        middle |= keys & np.uint64(0xFFFFFFFF)
+        del keys
+        ends, n = np.unique(middle, return_counts=True)
+        del middle
         ranks, _ = model.places_of(ends)
         by = np.argsort(ranks)
         return _rows([*out, *span_rows(3, ranks[by], n[by])], sums)
